@@ -53,8 +53,10 @@ def letter_words(text: Column) -> Column:
 
 
 def space_words(text: Column) -> Column:
-    """Whitespace-separated words; null has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    """Whitespace-separated words; null has none.  Texts with no white space but blanks and line feeds are split without a regular expression."""
+    text = F.coalesce(text, F.lit(""))
+    odd = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
+    return F.array_remove(F.when(odd, F.split(text, SPACE)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")), "")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
