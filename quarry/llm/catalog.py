@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, quality_rules
+from quarry.llm import decontamination, license_scan, near_dedup, packing, quality_rules, tokens
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_license_scan": license_scan.op7_license_scan,
+    "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op1_decontamination": decontamination.ORACLE}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op7_license_scan": license_scan.ORACLE}
