@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, license_scan, near_dedup, packing, quality_rules, tokens
+from quarry.llm import chat_format, decontamination, license_scan, near_dedup, packing, quality_classifier, quality_rules, tokens, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_chat_format": chat_format.op5_chat_format,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_warc": warc.op8_warc,
     "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op1_decontamination": decontamination.ORACLE, "op7_license_scan": license_scan.ORACLE}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op5_chat_format": chat_format.ORACLE, "op7_license_scan": license_scan.ORACLE, "op8_warc": warc.ORACLE}
