@@ -11,7 +11,8 @@ BLOCK = 2 << 20
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _FOLDED[97:123]  # A-Z as a-z
 
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
@@ -33,8 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _words(data: np.ndarray, offs: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and by row the first and the end of its words."""
+def _words(data: np.ndarray, offs: np.ndarray, breaks: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, by row the first and the end of its words, and the words' first bytes and lengths."""
     inside = ~breaks[data]
     before, after = np.empty_like(inside), np.empty_like(inside)
     before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -45,40 +46,49 @@ def _words(data: np.ndarray, offs: np.ndarray, breaks: np.ndarray) -> tuple[np.n
     first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
     lens = last - first + 1
     if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), first, lens
     at = np.cumsum(lens) - lens
     spot = np.arange(int(lens.sum())) - np.repeat(at, lens)
-    values = _BYTE[data[inside]] * powers(int(lens.max()))[spot]
-    return mix(np.add.reduceat(values, at) + lens.astype(np.uint64)), np.searchsorted(first, offs)
+    terms = values[data[inside]] * powers(int(lens.max()))[spot]
+    return mix(np.add.reduceat(terms, at) + lens.astype(np.uint64)), np.searchsorted(first, offs), first, lens
 
 
-def hashed_words(column: pa.Array, breaks: np.ndarray = SPACES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(row, end row, hashes, offsets) for blocks of rows of some BLOCK bytes; nulls have no words.  A longer text is hashed in parts, cut between words."""
+def spelled_words(column: pa.Array, breaks: np.ndarray = SPACES, fold: bool = True, block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, end row, hashes, offsets, first bytes, lengths, bytes) for blocks of rows of some `block` bytes; nulls have no words.
+
+    fold: A-Z count as a-z.  A text of more than two blocks is hashed in parts, cut between words."""
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_string())
     offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    i = 0
+    values, i = (_FOLDED if fold else _BYTE), 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + block, "right")) - 1)
         part = data[offs[i] : offs[j]]
-        if len(part) <= 2 * BLOCK:
-            yield i, j, *_words(part, offs[i : j + 1] - offs[i], breaks)
+        if len(part) <= 2 * block:
+            yield i, j, *_words(part, offs[i : j + 1] - offs[i], breaks, values), part
         else:  # one row
             cut, found = 0, []
             while cut < len(part):
-                end = cut + BLOCK
+                end = cut + block
                 while end < len(part) and not (b := breaks[part[end : end + 4096]]).any():
                     end += 4096
                 end = min(len(part), end + int(b.argmax())) if end < len(part) else len(part)
-                found.append(_words(part[cut:end], np.array([0, end - cut]), breaks)[0])
+                h, _, first, lens = _words(part[cut:end], np.array([0, end - cut]), breaks, values)
+                found.append((h, first + cut, lens))
                 cut = end
-            all_words = np.concatenate(found)
-            yield i, j, all_words, np.array([0, len(all_words)])
+            h, first, lens = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield i, j, h, np.array([0, len(h)]), first, lens, part
         i = j
 
 
+def hashed_words(column: pa.Array, breaks: np.ndarray = SPACES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, end row, hashes, offsets) of spelled_words."""
+    for i, j, words, at, *_ in spelled_words(column, breaks):
+        yield i, j, words, at
+
+
 def shingles(words: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each row, sorted; a row of fewer words, but not none, has its whole sequence as one."""
     n = np.diff(offs)

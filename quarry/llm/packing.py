@@ -10,39 +10,120 @@ of many pieces is counted by many tasks) and with it their place.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.llm._bytes import spelled_words
 from quarry.llm._shared import staged, table
-from quarry.llm.tokens import pieces as split
-from quarry.llm.tokens import transducer, vocabulary
+from quarry.llm.tokens import vocabulary
 from quarry.workers import ship
 
 CAPACITY, END = 2048, 0
 #: Pieces of one length that a task ranks, about.
 SALTED = 50_000
+#: What a worker holds of words and of their letters, at most.
+MOST_WORDS, MOST_CORES = 4_000_000, 800_000
+#: Letters that stay themselves in the tokenizer's normal form, in lower case; marks that it splits off a word's end.
+LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+MARKS = ".,;:!?"
+
+
+class IdPool:
+    """Token ids of words, by the word's 64-bit hash: of code c they are ids[starts[c] : starts[c] + lengths[c]].
+
+    Hashes are held sorted, 12 bytes each.  A new word of Latin letters, with or without one mark at its end, is put together
+    from the ids of its letters in lower case and of the mark, as the tokenizer splits them; any other is encoded whole.
+    Beyond MOST_WORDS or MOST_CORES what is held is forgotten, and encoded again when met again."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        encode = Tokenizer.from_file(path).encode
+        self.encode = lambda x: np.array(encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        self.marks = {m: self.encode(m) for m in MARKS}
+        self.cores: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.lengths, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def spell(self, word: str) -> bytes:
+        core, mark = word.lower(), b""
+        if core[-1] in self.marks:
+            core, mark = core[:-1], self.marks[core[-1]]
+        found = self.cores.get(core)
+        if found is None:
+            if not LETTERS(core):
+                return self.encode(word)
+            if len(self.cores) >= MOST_CORES:
+                self.cores.clear()
+            found = self.cores[core] = self.encode(core)
+        return found + mark
+
+    def tokens(self, words: np.ndarray, offs: np.ndarray, first: np.ndarray, lens: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of texts, and each text's first and end in them."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        if len(self.keys) > MOST_WORDS:
+            self.forget()
+        which, keys = pd.factorize(words)
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[near] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            spot = np.empty(len(keys), np.int64)
+            spot[which[::-1]] = np.arange(len(words))[::-1]  # a word's first occurrence
+            new = new[np.argsort(keys[new])]
+            lo = first[spot[new]]
+            raw = data.tobytes()
+            found = [self.spell(raw[a:b].decode()) for a, b in zip(lo.tolist(), (lo + lens[spot[new]]).tolist(), strict=True)]
+            n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            codes = np.arange(len(self.lengths), len(self.lengths) + len(new), dtype=np.int32)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
+            self.lengths, self.ids = np.concatenate([self.lengths, n]), np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+            self.codes, self.keys = np.insert(self.codes, at[new], codes), np.insert(self.keys, at[new], keys[new])
+            at = np.searchsorted(self.keys, keys)
+        own = self.codes[at][which]
+        n = self.lengths[own]
+        ends = np.cumsum(n)
+        ids = self.ids[np.arange(int(ends[-1])) + np.repeat(self.starts[own] - (ends - n), n)]
+        return ids, np.concatenate([[0], ends])[offs]
+
+
+_pools: dict[str, IdPool] = {}
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32.  Null texts are empty: one piece, the end id."""
+    """doc_id, piece, start, length, ids_crc32.  Null texts are empty: one piece, the end id.
+
+    White space is dropped by the tokenizer and never merged across, so words are encoded one by one, each once a worker."""
     ship(docs.sparkSession)
     path, end = path or vocabulary(), np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = transducer(path, ids=True)
+        if path not in _pools:
+            _pools[path] = IdPool(path)
+        pool = _pools[path]
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, x in enumerate(b.column(1)):
-                ids = b"".join(map(fst.__getitem__, split(x.as_py() or ""))) + end
-                for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[s : s + 4 * capacity]
-                    at.append(i), piece.append(k), start.append(s // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
+            for i, j, words, offs, first, lens, data in spelled_words(b.column(1), fold=False, block=4 << 20):
+                ids, ends = pool.tokens(words, offs, first, lens, data)
+                raw, ends = memoryview(ids.astype("<u4").tobytes()), ends.tolist()
+                for row in range(i, j):
+                    lo, hi = ends[row - i], ends[row - i + 1]
+                    for k, s in enumerate(range(0, hi - lo + 1, capacity)):
+                        n = min(capacity, hi - lo + 1 - s)
+                        own = zlib.crc32(raw[4 * (lo + s) : 4 * min(lo + s + n, hi)])
+                        at.append(row), piece.append(k), start.append(s), length.append(n), crc.append(zlib.crc32(end, own) if lo + s + n > hi else own)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
