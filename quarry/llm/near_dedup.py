@@ -8,8 +8,8 @@ sets are one class, held by the smallest id.  Registers in bands of ROWS put cla
 Pairs aren't enumerated within a bucket.  Each bucket compares its members with one hub, the member that shares the most
 buckets with others.  Pairs are estimated jointly by maximum likelihood from both sketches and sizes, and those not far
 below the threshold are verified on the full sets of shingles.  Links give components.  Buckets that still hold several
-components try a second hub; of what is left then, members of different components are compared by their sketches, in
-blocks that are held in memory, and likely pairs are verified.  So no link between components is lost, and copies cost one
+components try a second hub; of what is left then, full sets of members of different components are compared block by block
+in memory, and one link for each two components comes out.  So no link between components is lost, and copies cost one
 comparison each.
 """
 
@@ -161,62 +161,68 @@ def _once(pairs: DataFrame) -> DataFrame:
 
 
 def _several(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, rep, weight, label of the buckets that hold several components."""
-    known = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "weight", F.coalesce("label", "rep").alias("label"))
+    """bucket, rep, k, weight, label of the buckets that hold several components."""
+    known = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "k", "weight", F.coalesce("label", "rep").alias("label"))
     several = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     return staged(known.join(several, "bucket"), "op6-open")
 
 
-def _rest(known: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Likely pairs (x, c) of different components within a bucket.
+def _rest(known: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (x, c) between different components of a bucket, verified on full sets: one for each two components of a block.
 
-    Sketches of a bucket are compared in memory, in blocks of some PART members against each other; only pairs whose sizes
-    and estimate allow a link come out, and each in the first band that both share."""
+    Buckets are dealt in blocks of some PART members against each other.  A task holds two blocks' sets and counts all their
+    intersections in matrix products over the shingles that occur more than once; only links leave it."""
     blocks = known.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks"))
     dealt = known.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label")
-    dealt = dealt.join(reps, "rep").select("bucket", "lo", "hi", "own", "rep", "label", "n", "registers").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-
-    def compare(group: list) -> tuple[list, list]:
-        own, rep, label, n = (np.array([g[i] for g in group]) for i in (3, 4, 5, 6))
-        regs = np.frombuffer(b"".join(g[7] for g in group), np.uint16).reshape(-1, M)
-        bands = np.ascontiguousarray(regs).view(np.uint64).reshape(len(group), BANDS)
-        where = np.flatnonzero((bands == bands[0]).all(0))  # the bucket's band is among these
-        cross, xs, cs = group[0][1] != group[0][2], [], []
-        for k in range(len(group) - 1):
-            fits = (label[k + 1 :] != label[k]) & (np.minimum(n[k + 1 :], n[k]) >= least * np.maximum(n[k + 1 :], n[k]))
-            if cross:
-                fits &= own[k + 1 :] != own[k]
-            at = k + 1 + np.flatnonzero(fits)
-            if len(at):
-                early = (bands[at] == bands[k]).argmax(1)
-                at = at[np.isin(early, where)]
-            if len(at):
-                a, b = regs[k][None, :], regs[at]
-                got = estimate((a > b).sum(1), (a < b).sum(1), (a == b).sum(1), np.full(len(at), n[k]), n[at])
-                at = at[got >= least - MARGIN]
-                xs += rep[at].tolist()
-                cs += [int(rep[k])] * len(at)
-        return xs, cs
+    dealt, _ = sized(staged(dealt, "op6-dealt"), MOST_NEEDS)
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null").join(dealt, "rep").select("bucket", "lo", "hi", "own", "rep", "label", "text")
+    texts = texts.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    def compare(group: list) -> pa.RecordBatch:
+        own, rep, label = (np.array([g[i] for g in group]) for i in (3, 4, 5))
+        sets, offs = [], [np.zeros(1, np.int64)]
+        for _, _, words, at in hashed_words(pa.array([g[6] for g in group], pa.large_string())):
+            s, o = shingles(words, at, size)
+            sets.append(s), offs.append(o[1:] + offs[-1][-1])
+        n = np.diff(np.concatenate(offs))
+        both = intersections(np.concatenate(sets), n)
+        linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0) & (label[:, None] < label[None, :])
+        if group[0][1] != group[0][2]:
+            linked &= own[:, None] != own[None, :]
+        x, c = np.nonzero(linked)
+        _, one = np.unique(np.stack([label[x], label[c]]), axis=1, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(rep[x[one]], pa.int64()), pa.array(rep[c[one]], pa.int64())], ["x", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(group) > 1:
-                xs, cs = compare(group)
-                yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(cs, pa.int64())], ["x", "c"])
-
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if group and group[0][:3] != row[:3]:
-                    yield from done()
+                    yield compare(group)
                     group = []
                 group.append(row)
-        yield from done()
+        if group:
+            yield compare(group)
+
+    return texts.mapInArrow(run, "x bigint, c bigint")
+
 
-    return dealt.mapInArrow(run, "x bigint, c bigint")
+def intersections(sets: np.ndarray, n: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other; sets: their elements, one set after the other, of n elements each."""
+    row = np.repeat(np.arange(len(n)), n)
+    _, col, count = np.unique(sets, return_inverse=True, return_counts=True)
+    shared = count[col] > 1
+    row, col = row[shared], (np.cumsum(count > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col, out = row[order], col[order], np.zeros((len(n), len(n)), np.float32)
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+        lo, hi = np.searchsorted(col, (first, first + columns))
+        part = np.zeros((len(n), columns), np.float32)
+        part[row[lo:hi], col[lo:hi] - first] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -235,7 +241,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = rows.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     rows = staged(rows.join(shared, "bucket"), "op6-buckets")
     weight = rows.groupBy("rep").agg(F.sum("k").alias("weight"))
-    rows = staged(rows.drop("k").join(weight, "rep"), "op6-weights")
+    rows = staged(rows.join(weight, "rep"), "op6-weights")
     least = percent / 100
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -251,7 +257,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         hubs = known.join(first, "bucket").where("label <> first").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "label")).alias("h")).select("bucket", (-F.col("h.rep")).alias("hub"), F.col("h.label").alias("hub_label"))
         edges = edges.unionByName(links(_once(known.join(hubs, "bucket").where("label <> hub_label").select(F.col("rep").alias("x"), F.col("hub").alias("c")))))
         labels = components(edges)
-    edges = edges.unionByName(links(_once(_rest(_several(rows, labels), reps, least))))
+    # hub against member, all pairs of a bucket of two or three have been compared
+    edges = edges.unionByName(staged(_rest(_several(rows, labels).where("k > 3"), docs, size, percent), "op6-found"))
     labels = components(edges)
     out = classes.select("sig_a", "sig_b", "rep")
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig_a", "sig_b", F.coalesce("label", "rep").alias("component"))
