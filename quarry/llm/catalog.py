@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat_format, decontamination, license_scan, near_dedup, packing, quality_classifier, quality_rules, tokens, warc
+from quarry.llm import chat_format, decontamination, license_scan, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, tokens, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_warc": warc.op8_warc,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {"op1_decontamination": decontamination.ORACLE, "op5_chat_format": chat_format.ORACLE, "op7_license_scan": license_scan.ORACLE, "op8_warc": warc.ORACLE}
