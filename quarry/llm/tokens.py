@@ -27,7 +27,7 @@ from quarry.workers import ship
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
 CHUNK, MOST_PATHS = 1 << 17, 700_000
 #: White space of the tokenizer's patterns; str.split() takes the separators 1C to 1F for white space too, the patterns don't.
-SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD = re.compile("[\x1c-\x1f]")
 
 
