@@ -28,7 +28,7 @@ from quarry.workers import ship
 
 CAPACITY, END = 2048, 0
 #: Pieces of one length that a task ranks, about.
-SALTED = 50_000
+SALTED = 4_000
 #: What a worker holds of words and of their letters, at most.
 MOST_WORDS, MOST_CORES = 4_000_000, 800_000
 #: Letters that stay themselves in the tokenizer's normal form, in lower case; marks that it splits off a word's end.

@@ -35,9 +35,14 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
+def clean_url(url: str) -> str:
+    """White space and control characters as per cent codes: they can't stand in a header or an index line."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
 def url_key(url: str | None) -> str:
     """Reversed host, then the rest: http://www.a.example.org:80/x?y is org,example,a,www:80)/x?y.  A null url has the empty key."""
-    m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?(.*)", url or "", re.DOTALL)
+    m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?(.*)", clean_url(url or ""))
     return f"{','.join(reversed(m[1].lower().split('.')))}{m[2] or ''}){m[3] or '/'}" if url else ""
 
 
@@ -47,7 +52,7 @@ def _record(page: int | None, url: str | None, digest: str, size: int, refers: i
     block = http + (payload or b"")
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {urn(page)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+        head.append("WARC-Target-URI: " + clean_url(url))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {urn(refers)}", f"X-Refers-To-Page: {refers}"]
@@ -131,7 +136,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
 
         for b in batches:
             for key, page, file, spot, length in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                lines.append("\t".join((re.sub(r"[\t\n]", lambda m: f"%{ord(m[0]):02X}", key), "-" if page is None else str(page), file, str(spot), str(length))))
+                lines.append("\t".join((key, "-" if page is None else str(page), file, str(spot), str(length))))
                 if len(lines) == BLOCK:
                     close_block()
         if lines:
