@@ -30,22 +30,30 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return scored.where(F.col("__score") >= quality_classifier.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _rows_of(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined to keys (__id, __h) by id, nulls alike, and hash of the text."""
+    return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h")), how)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays; rows without an id stay if they are of no group.  Of rows that repeat an id and a set all go but one."""
-    found = near_dedup.near_duplicates(docs, SHINGLE, PERCENT)
-    gone = staged(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone")).distinct(), "pipeline-gone")
-    gone, _ = sized(gone, MOST_IDS)
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    null_gone = found.where("doc_id is null and not kept").isEmpty()
-    return kept if null_gone else kept.where("doc_id is not null")
+    """Of each group of near duplicates the document of the smallest id stays, and of rows that repeat its id and text one.  Rows without words are in no group."""
+    found = staged(near_dedup.near_duplicates(docs, SHINGLE, PERCENT), "pipeline-groups")
+    keys = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")]
+    gone, _ = sized(staged(found.where("not kept").select(*keys).distinct(), "pipeline-gone"), MOST_IDS)
+    again = staged(found.where("kept and n_shingles > 0").groupBy(*keys).count().where("count > 1").drop("count"), "pipeline-again")
+    kept = _rows_of(docs, gone, "left_anti")
+    if again.isEmpty():
+        return kept
+    again, _ = sized(again, MOST_IDS)
+    one = _rows_of(kept, again, "left_semi").withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    return _rows_of(kept, again, "left_anti").unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = staged(found.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct(), "pipeline-contaminated")
-    bad, _ = sized(bad, MOST_IDS)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h")), "left_anti")
+    bad, _ = sized(staged(found.where("contaminated").select(F.col("doc_id").cast("long").alias("__id"), F.col("text_hash").alias("__h")).distinct(), "pipeline-contaminated"), MOST_IDS)
+    return _rows_of(docs, bad, "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def mix_light(sets: np.ndarray, i: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, sig_a, sig_b (128 bits of the set), registers (binary) for each row of docs."""
+    """doc_id, text_hash, n_shingles, sig_a, sig_b (128 bits of the set), registers (binary) for each row of docs."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,10 +69,11 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 regs = sketch(sets, offs)
                 one, two = np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ _ODD[40]), dtype=np.uint64)]), np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ _ODD[41]), dtype=np.uint64)])
                 sums = [(c[offs[1:]] - c[offs[:-1]]).view(np.int64) for c in (one, two)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n_shingles", "sig_a", "sig_b", "registers"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(offs)), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "text_hash", "n_shingles", "sig_a", "sig_b", "registers"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, sig_a bigint, sig_b bigint, registers binary")
+    own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return own.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, sig_a bigint, sig_b bigint, registers binary")
 
 
 def estimate(more: np.ndarray, less: np.ndarray, same: np.ndarray, n: np.ndarray, m: np.ndarray, steps: int = 200) -> np.ndarray:
@@ -226,7 +227,7 @@ def intersections(sets: np.ndarray, n: np.ndarray, columns: int = 4096) -> np.nd
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
+    """One row for each row of docs: doc_id, text_hash (xxhash64), n_shingles, component_id, kept.
 
     Null, empty and blank texts have no shingles and are linked with nothing.  Rows of one text (or one set) are linked;
     rows that share an id are one node.  Rows without an id belong to the component of their class, if another row of it
@@ -262,10 +263,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     labels = components(edges)
     out = classes.select("sig_a", "sig_b", "rep")
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig_a", "sig_b", F.coalesce("label", "rep").alias("component"))
-    joined = full.select("doc_id", "n_shingles", "sig_a", "sig_b").join(out, ["sig_a", "sig_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    joined = joined.unionByName(drawn.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    joined = full.select("doc_id", "text_hash", "n_shingles", "sig_a", "sig_b").join(out, ["sig_a", "sig_b"]).select("doc_id", "text_hash", "n_shingles", F.col("component").alias("component_id"))
+    joined = joined.unionByName(drawn.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")))
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+    return near_duplicates(table(spark, sf_dir, "documents"), 3, 85).drop("text_hash")
