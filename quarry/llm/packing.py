@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,20 +35,24 @@ MOST_WORDS, MOST_CORES = 4_000_000, 800_000
 #: Letters that stay themselves in the tokenizer's normal form, in lower case; marks that it splits off a word's end.
 LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 MARKS = ".,;:!?"
+#: Bytes that byte-level vocabularies write as other characters: those that aren't printable, from 256 on.
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
 class IdPool:
     """Token ids of words, by the word's 64-bit hash: of code c they are ids[starts[c] : starts[c] + lengths[c]].
 
     Hashes are held sorted, 12 bytes each.  A new word of Latin letters, with or without one mark at its end, is put together
-    from the ids of its letters in lower case and of the mark, as the tokenizer splits them; any other is encoded whole.
+    from the ids of its letters in lower case, merged without the tokenizer's splitting, and of the mark; any other is encoded whole.
     Beyond MOST_WORDS or MOST_CORES what is held is forgotten, and encoded again when met again."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(path).encode
-        self.encode = lambda x: np.array(encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        whole = Tokenizer.from_file(path)
+        encode, merge = whole.encode, whole.model.tokenize
+        self.encode = lambda x: array("I", encode(x, add_special_tokens=False).ids).tobytes()
+        self.merge = lambda x: array("I", [t.id for t in merge(x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
         self.marks = {m: self.encode(m) for m in MARKS}
         self.cores: dict[str, bytes] = {}
         self.forget()
@@ -66,7 +71,7 @@ class IdPool:
                 return self.encode(word)
             if len(self.cores) >= MOST_CORES:
                 self.cores.clear()
-            found = self.cores[core] = self.encode(core)
+            found = self.cores[core] = self.merge(core)
         return found + mark
 
     def tokens(self, words: np.ndarray, offs: np.ndarray, first: np.ndarray, lens: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,13 +81,16 @@ class IdPool:
         if len(self.keys) > MOST_WORDS:
             self.forget()
         which, keys = pd.factorize(words)
+        order = np.argsort(keys)  # sorted, look-ups walk the table once
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        which, keys = place[which], keys[order]
         at = np.searchsorted(self.keys, keys)
         near = np.minimum(at, max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[near] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
             spot = np.empty(len(keys), np.int64)
             spot[which[::-1]] = np.arange(len(words))[::-1]  # a word's first occurrence
-            new = new[np.argsort(keys[new])]
             lo = first[spot[new]]
             raw = data.tobytes()
             found = [self.spell(raw[a:b].decode()) for a, b in zip(lo.tolist(), (lo + lens[spot[new]]).tolist(), strict=True)]
