@@ -123,7 +123,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
         pool = _pools[path]
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, j, words, offs, first, lens, data in spelled_words(b.column(1), fold=False, block=4 << 20):
+            for i, j, words, offs, first, lens, data in spelled_words(b.column(1), fold=False, block=2 << 20):
                 ids, ends = pool.tokens(words, offs, first, lens, data)
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), ends.tolist()
                 for row in range(i, j):
