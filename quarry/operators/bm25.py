@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import tokenize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Scores are rounded, so that equal texts tie in whatever order their terms were summed.
+DIGITS = 9
 #: Query terms (query, term, count) that are broadcast at most.
 MOST_TERMS = 100_000
 
@@ -63,7 +65,7 @@ def scores(toks: DataFrame, queries: DataFrame) -> DataFrame:
     own = own.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     met = own.join(asked, "term").crossJoin(F.broadcast(stats))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return met.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    return met.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

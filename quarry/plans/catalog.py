@@ -21,7 +21,6 @@ from quarry.operators import bm25, catalog, changes, chunking, dense, fusion
 from quarry.operators.ignore import ignored, parse_patterns
 
 QUERY = "the of and the was pathetic"
-N_QUERIES = 5  # benchmark items in a batch
 NOW = "2024-01-02 03:04:05"
 IGNORE_TEXT = "# own patterns\n\nsrc1\n*.fr\n/src2/*\n*src3/1*\n"
 PATHS = ["src/main.py", "a/node_modules/x.js", "b.tar.PY", ".gitignore", "x.", "noext", "a.b/c", "__pycache__/m.pyc", "lib/a.pyc", "web/App.TSX", "venv/lib/a.py", "x.egg-info/a.py", "pkg/x.egg-info", "conf/app.yml", "k.hpp", "docs/README.md"]
@@ -52,11 +51,13 @@ def one_text(spark: SparkSession, query: str = QUERY) -> DataFrame:
 
 
 def batch_texts(spark: SparkSession, d: str) -> DataFrame:
-    return tbl(spark, d, "benchmark").where(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), "text")
+    return tbl(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def batch_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).where(F.col("id") < N_QUERIES).select(F.col("id").alias("query_id"), "embedding")
+    """The vector of each benchmark item."""
+    items = tbl(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return vectors(spark, d).withColumnRenamed("id", "query_id").join(items, "query_id", "left_semi").select("query_id", "embedding")
 
 
 def code_chunks(spark: SparkSession, d: str, size: int = 10, overlap: int = 2) -> DataFrame:
@@ -180,7 +181,7 @@ def dense_topk(s, d):
 
 
 def dense_rank(s, d):
-    return _hits(dense.top(vectors(s, d), batch_vectors(s, d).where("query_id = 1"), 20), "query_id", "id", "dense_rank")
+    return _hits(dense.top(vectors(s, d), batch_vectors(s, d), 20), "query_id", "id", "dense_rank")
 
 
 def dense_topk_batch(s, d):
@@ -288,7 +289,7 @@ def registry_lookup(s, d):
 
 
 def file_content(s, d):
-    return files(s, d).where("path like '/src0/%' and doc_id < 100").select("path", "text")
+    return files(s, d).where("path like '/src0/%'").select("path", "text")
 
 
 # --- changes -------------------------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quarry.functions.text import LANGUAGES, SUPPORTED
 from quarry.operators.ignore import IGNORED
-from quarry.plans.catalog import CHANGED, N_QUERIES, NOW, PATHS, QUERY, SNIPPETS
+from quarry.plans.catalog import CHANGED, NOW, PATHS, QUERY, SNIPPETS
 
 
 def _q(x: str) -> str:
@@ -44,7 +44,7 @@ _STATS = f"""{_TOKENS},
 def _scores(queries: str) -> str:
     return f"""{_STATS},
      q AS ({queries}), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 2)) AS term FROM q) GROUP BY ALL),
-     sc AS (SELECT query_id, id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len(toks) / avgdl))) AS score FROM tf JOIN qt USING (term) JOIN idf USING (term) JOIN t USING (id), st GROUP BY ALL),
+     sc AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len(toks) / avgdl))), 9) AS score FROM tf JOIN qt USING (term) JOIN idf USING (term) JOIN t USING (id), st GROUP BY ALL),
      sp AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS sparse_rank FROM sc WHERE score > 0)"""
 
 
@@ -55,8 +55,8 @@ def _dense(queries: str) -> str:
 
 
 _ONE, _NONE = f"SELECT 0 AS query_id, {_q(QUERY)} AS text", "SELECT 0 AS query_id, 'zzzzqq -- ?' AS text"
-_BATCH = f"SELECT item_id AS query_id, text FROM benchmark WHERE item_id < {N_QUERIES}"
-_QV0, _QVB = "SELECT 0 AS query_id, embedding FROM embeddings WHERE vec_id = 0", f"SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < {N_QUERIES}"
+_BATCH = "SELECT item_id AS query_id, text FROM benchmark"
+_QV0, _QVB = "SELECT 0 AS query_id, embedding FROM embeddings WHERE vec_id = 0", "SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)"
 
 
 def _fused(texts: str, vectors: str, each: int, top: int, k: int = 60) -> str:
@@ -97,7 +97,7 @@ ORACLES = {
     "bm25_topk": f"WITH {_scores(_ONE)} SELECT id, sparse_rank::INT AS sparse_rank, round(score, 6) AS score FROM sp WHERE sparse_rank <= 10",
     "bm25_empty": f"WITH {_scores(_NONE)} SELECT id, sparse_rank::INT AS sparse_rank, round(score, 6) AS score FROM sp WHERE sparse_rank <= 10",
     "dense_topk": f"WITH {_dense(_QV0)} SELECT id, dense_rank::INT AS dense_rank, round(score, 6) AS score FROM dn WHERE dense_rank <= 10",
-    "dense_rank": f"WITH {_dense(_QVB)} SELECT query_id, id, dense_rank::INT AS dense_rank, round(score, 6) AS score FROM dn WHERE dense_rank <= 20 AND query_id = 1",
+    "dense_rank": f"WITH {_dense(_QVB)} SELECT query_id, id, dense_rank::INT AS dense_rank, round(score, 6) AS score FROM dn WHERE dense_rank <= 20",
     "dense_topk_batch": f"WITH {_dense(_QVB)} SELECT query_id, id, dense_rank::INT AS dense_rank, round(score, 6) AS score FROM dn WHERE dense_rank <= 10",
     "vec_normalize": "SELECT id, round(s / n, 6) AS total, round(sqrt(q / (n * n)) * 3, 6) AS norm FROM (SELECT vec_id AS id, list_sum(list_transform(embedding, lambda x: (x * 3)::FLOAT::DOUBLE)) AS s, sqrt(list_sum(list_transform(embedding, lambda x: (x * 3)::FLOAT::DOUBLE * (x * 3)::FLOAT::DOUBLE))) AS n, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS q FROM embeddings)",
     "vec_mean_pool": "SELECT label, dim::INT AS dim, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY ALL",
@@ -118,7 +118,7 @@ ORACLES = {
     "dry_run": f"SELECT path FROM ({_FILES}) WHERE project IN ('src1', 'src2')",
     "registry_upsert": f"SELECT coalesce(n.project, o.project) AS project, coalesce(n.project_path, o.project_path) AS project_path, coalesce(o.t, '{NOW}') AS first_indexed, CASE WHEN n.project IS NULL THEN o.t ELSE '{NOW}' END AS last_indexed FROM {_REG} o FULL JOIN {_values([('src1', '/new/src1'), ('src9', '/new/src9')], 'project, project_path')} n ON o.project = n.project",
     "registry_lookup": f"WITH {_CODE} SELECT project, project_path FROM (SELECT DISTINCT project FROM c) LEFT JOIN {_REG} USING (project)",
-    "file_content": f"SELECT path, text FROM ({_FILES}) WHERE path LIKE '/src0/%' AND doc_id < 100",
+    "file_content": f"SELECT path, text FROM ({_FILES}) WHERE path LIKE '/src0/%'",
     "detect_changes": f"WITH {_OLD}, n AS ({_NEXT}), oh AS (SELECT DISTINCT project, path, file_hash FROM o) SELECT coalesce(n.project, oh.project) AS project, coalesce(n.path, oh.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN oh.path IS NULL THEN 'added' WHEN sha256(n.text) = file_hash THEN 'unchanged' ELSE 'changed' END AS change FROM n FULL JOIN oh ON n.path = oh.path AND n.project = oh.project",
     "append_new_chunks": f"WITH {_OLD}, {_chunks(_NEXT, 8, 0, 'n')} SELECT project, chunk_id, line_start, line_end FROM o UNION ALL SELECT project, chunk_id, line_start, line_end FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.project = n.project AND o.chunk_id = n.chunk_id)",
     "delete_paths": f"WITH {_CODE} SELECT chunk_id FROM c WHERE path NOT IN (SELECT path FROM ({_FILES}) WHERE doc_id % 7 = 0)",
