@@ -117,19 +117,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def with_scores(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
     """docs and a double column `name`, 0 to 1; a column of that name is replaced.  Null and empty texts have the zero vector, and a score like any other.  Rows may repeat, ids may be null."""
-    shared, spot = docs.sparkSession.sparkContext.broadcast(model), [c for c in docs.columns if c != name]
-    docs = docs.select(*[F.col(f"`{c}`") for c in spot])
-    text = spot.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = [shared.value.score(x) for _, _, x in terms(b.column(text))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*spot, name])
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    from pyspark.sql.types import DoubleType, StructType
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        # only the text goes to Python and only the score comes back
+        scores = [shared.value.score(x) for _, _, x in terms(text)]
+        return pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
 
-    ship(docs.sparkSession)
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(name, DoubleType()))
+    return docs.drop(name).withColumn(name, score("text"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
