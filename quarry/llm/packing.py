@@ -16,7 +16,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -31,7 +30,7 @@ CAPACITY, END = 2048, 0
 #: Pieces of one length that a task ranks, about.
 SALTED = 4_000
 #: What a worker holds of words and of their letters, at most.
-MOST_WORDS, MOST_CORES = 4_000_000, 800_000
+MOST_WORDS, MOST_CORES = 1_000_000, 150_000
 #: Letters that stay themselves in the tokenizer's normal form, in lower case; marks that it splits off a word's end.
 LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 MARKS = ".,;:!?"
@@ -42,7 +41,7 @@ BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33
 class IdPool:
     """Token ids of words, by the word's 64-bit hash: of code c they are ids[starts[c] : starts[c] + lengths[c]].
 
-    Hashes are held sorted, 12 bytes each.  A new word of Latin letters, with or without one mark at its end, is put together
+    Hashes are held sorted, 12 bytes each, and 20 bytes with them.  A new word of Latin letters, with or without one mark at its end, is put together
     from the ids of its letters in lower case, merged without the tokenizer's splitting, and of the mark; any other is encoded whole.
     Beyond MOST_WORDS or MOST_CORES what is held is forgotten, and encoded again when met again."""
 
@@ -59,7 +58,7 @@ class IdPool:
 
     def forget(self) -> None:
         self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.lengths, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.lengths, self.starts, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def spell(self, word: str) -> bytes:
         core, mark = word.lower(), b""
@@ -80,28 +79,22 @@ class IdPool:
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         if len(self.keys) > MOST_WORDS:
             self.forget()
-        which, keys = pd.factorize(words)
-        order = np.argsort(keys)  # sorted, look-ups walk the table once
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        which, keys = place[which], keys[order]
+        keys, spot, which = np.unique(words, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         near = np.minimum(at, max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[near] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            spot = np.empty(len(keys), np.int64)
-            spot[which[::-1]] = np.arange(len(words))[::-1]  # a word's first occurrence
             lo = first[spot[new]]
             raw = data.tobytes()
             found = [self.spell(raw[a:b].decode()) for a, b in zip(lo.tolist(), (lo + lens[spot[new]]).tolist(), strict=True)]
-            n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            n = np.fromiter(map(len, found), np.int32, len(found)) // 4
             codes = np.arange(len(self.lengths), len(self.lengths) + len(new), dtype=np.int32)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
+            self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(n) - n).astype(np.int32)])
             self.lengths, self.ids = np.concatenate([self.lengths, n]), np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
             self.codes, self.keys = np.insert(self.codes, at[new], codes), np.insert(self.keys, at[new], keys[new])
             at = np.searchsorted(self.keys, keys)
         own = self.codes[at][which]
-        n = self.lengths[own]
+        n = self.lengths[own].astype(np.int64)
         ends = np.cumsum(n)
         ids = self.ids[np.arange(int(ends[-1])) + np.repeat(self.starts[own] - (ends - n), n)]
         return ids, np.concatenate([[0], ends])[offs]
@@ -123,7 +116,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
         pool = _pools[path]
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, j, words, offs, first, lens, data in spelled_words(b.column(1), fold=False, block=2 << 20):
+            for i, j, words, offs, first, lens, data in spelled_words(b.column(1), fold=False, block=1 << 20):
                 ids, ends = pool.tokens(words, offs, first, lens, data)
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), ends.tolist()
                 for row in range(i, j):
