@@ -3,21 +3,33 @@
 Texts are tokenized once; term frequencies are pre-aggregated before they are shuffled.  A scored plan carries only the
 queries' own terms past the tokenizer; document frequencies, which the floor of the idf needs for the whole vocabulary,
 are one aggregate by term.
+
+scores() gives every score, as joins.  top_batch() only gives the best of each of many queries: the queries' weights go to
+the tasks, each block of chunks meets them in one matrix product, and k hits a query leave a task, so that no posting is
+shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenize
+from quarry.workers import ship
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Scores are rounded, so that equal texts tie in whatever order their terms were summed.
 DIGITS = 9
 #: Query terms (query, term, count) that are broadcast at most.
 MOST_TERMS = 100_000
+#: Queries that meet the chunks in one pass, and numbers of a block's matrix.
+QUERIES, CELLS = 1024, 2_000_000
 
 
 def tokens(chunks: DataFrame) -> DataFrame:
@@ -72,3 +84,59 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, sparse_rank of the k best with a positive score; equal scores by id.  k <= 0 gives nothing."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.where("score > 0").withColumn("sparse_rank", F.row_number().over(order)).where(F.col("sparse_rank") <= k)
+
+
+def top_batch(toks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """What top(scores(toks, queries), k) gives."""
+    ship(toks.sparkSession)
+    schema = "query_id bigint, id bigint, score double"
+    stats = corpus_stats(toks)
+    n, avgdl = stats.first()
+    weighted = query_terms(queries).join(idf(document_frequencies(toks), stats), "term").select("query_id", "term", "qtf", "idf").orderBy("query_id", "term")
+    found, block, last = None, [], None
+
+    def searched(rows: list) -> DataFrame:
+        names, ids = sorted({r["term"] for r in rows}), sorted({r["query_id"] for r in rows})
+        at, row = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(ids)}
+        q = np.zeros((len(ids), len(names)))
+        for r in rows:
+            q[row[r["query_id"]], at[r["term"]]] = r["qtf"] * r["idf"] * (K1 + 1)
+        shared = toks.sparkSession.sparkContext.broadcast((names, np.array(ids, np.int64), q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, ids, q = shared.value
+            known, best = pa.array(names), [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+            for big in batches:
+                step = max(1, CELLS // max(1, len(names)))
+                for first in range(0, len(big), step):
+                    b = big.slice(first, step)
+                    dl = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                    code = pc.fill_null(pc.index_in(b.column(1).flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    spot = (np.repeat(np.arange(len(b)), dl) * len(names) + code)[code >= 0]
+                    tf = np.bincount(spot, minlength=len(b) * len(names)).reshape(len(b), len(names)).astype(np.float64)
+                    score = np.round((tf / (tf + (K1 * (1 - B + B * dl / avgdl))[:, None])) @ q.T, DIGITS)
+                    own = b.column(0).to_numpy()
+                    for j in range(len(ids)):
+                        hit = np.flatnonzero(score[:, j] > 0)
+                        if len(hit) > k:
+                            hit = hit[score[hit, j] >= np.partition(score[hit, j], len(hit) - k)[len(hit) - k]]
+                        if len(hit):
+                            i, s = np.concatenate([best[j][0], own[hit]]), np.concatenate([best[j][1], score[hit, j]])
+                            order = np.lexsort((i, -s))[:k]
+                            best[j] = i[order], s[order]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(i) for i, _ in best]), pa.int64()), pa.array(np.concatenate([i for i, _ in best]), pa.int64()), pa.array(np.concatenate([s for _, s in best]), pa.float64())], schema_names)
+
+        return toks.select(F.col("id").cast("long"), "tokens").mapInArrow(run, schema)
+
+    schema_names = ["query_id", "id", "score"]
+    if n and k > 0 and avgdl:
+        seen = set()
+        for r in weighted.toLocalIterator():
+            if r["query_id"] != last and len(seen) == QUERIES:
+                found = searched(block) if found is None else found.unionByName(searched(block))
+                block, seen = [], set()
+            last = r["query_id"]
+            seen.add(last), block.append(r)
+        if block:
+            found = searched(block) if found is None else found.unionByName(searched(block))
+    return top(toks.sparkSession.createDataFrame([], schema) if found is None else found, k)

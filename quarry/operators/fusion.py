@@ -35,7 +35,7 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, texts: DataFrame, queri
     chunks: id, text, ...; vectors: id, embedding; texts: query_id, text; queries: query_id, embedding.  A query without any
     sparse hit gets its first top_k dense hits, with 1 - distance as the score."""
     near = dense.top(vectors, queries, OVERFETCH * top_k)
-    sparse = bm25.top(bm25.scores(bm25.tokens(chunks), texts), OVERFETCH * top_k)
+    sparse = bm25.top_batch(bm25.tokens(chunks), texts, OVERFETCH * top_k)
     fused = fuse(near, sparse, k, top_k)
     has = sparse.select("query_id").distinct()
     both = fused.join(has, "query_id", "left_semi").withColumn("search_type", F.lit("hybrid_rrf"))

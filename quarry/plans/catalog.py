@@ -199,7 +199,7 @@ def vec_mean_pool(s, d):
 
 def _lists(s, d):
     dn = dense.top(vectors(s, d), batch_vectors(s, d), 10)
-    sp = bm25.top(bm25.scores(bm25.tokens(corpus(s, d)), batch_texts(s, d)), 10)
+    sp = bm25.top_batch(bm25.tokens(corpus(s, d)), batch_texts(s, d), 10)
     return dn, sp
 
 

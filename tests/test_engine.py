@@ -111,6 +111,18 @@ def test_bm25_is_the_model(spark):
     assert scored(spark, texts, "aa the the zz ff") == pytest.approx(model_bm25(texts, "aa the the zz ff"))
 
 
+def test_bm25_batch_is_the_relational_form(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "CELLS", 20), monkeypatch.setattr(bm25, "QUERIES", 2)
+    rng = random.Random(4)
+    word = lambda: rng.choice([f"w{i}" for i in range(40)] + ["the"] * 9)
+    texts = [" ".join(word() for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    df = bm25.tokens(values(spark, list(enumerate([*texts, *texts[:20], "", "  ", "zz"])), "id long, text string").repartition(3))
+    queries = values(spark, [(i, " ".join(word() for _ in range(4))) for i in range(5)] + [(9, "unknown"), (10, "")], "query_id long, text string")
+    key = lambda d: sorted((r["query_id"], r["sparse_rank"], r["id"], r["score"]) for r in d.collect())
+    assert key(bm25.top_batch(df, queries, 7)) == key(bm25.top(bm25.scores(df, queries), 7)) != []
+    assert bm25.top_batch(df, queries, 0).isEmpty() and bm25.top_batch(df.limit(0), queries, 3).isEmpty()
+
+
 def test_dense_is_exact_with_ties(spark):
     rng = np.random.default_rng(1)
     v = np.round(rng.standard_normal((300, 4)), 1).astype(np.float32)
