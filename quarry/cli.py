@@ -1,16 +1,18 @@
-"""python -m quarry.cli index|auto|changed|dry-run|search|projects|health ..."""
+"""python -m quarry.cli index|auto|changed|watch|hook|search|projects|health ..."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarry.engine import PROJECT, Engine
 from quarry.operators.catalog import dry_run, projects_to_index
-from quarry.sources.tree import discover_repos, scan_files
+from quarry.sources.tree import discover_repos, install_hook, scan_files
+from quarry.streaming.poll import watch
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +27,10 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("name"), x.add_argument("paths", nargs="+")
     x = sub.add_parser("search")
     x.add_argument("query"), x.add_argument("--name", default=PROJECT), x.add_argument("--top-k", type=int, default=5)
+    x = sub.add_parser("watch")
+    x.add_argument("path"), x.add_argument("--name", default=PROJECT)
+    x = sub.add_parser("hook")
+    x.add_argument("path"), x.add_argument("--name", default=PROJECT)
     sub.add_parser("projects")
     sub.add_parser("health")
     return p
@@ -32,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.what == "hook":
+        print(install_hook(a.path, a.name, a.index))
+        return 0
     spark = spark or SparkSession.builder.getOrCreate()
     engine = Engine(spark, a.index)
     if a.what == "index":
@@ -44,7 +53,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in todo.orderBy("project").collect():
             print(r["project"] if a.dry_run else engine.index(r["path"], r["project"], force=a.force))
     elif a.what == "changed":
-        engine.reindex_files(a.name, a.paths)
+        engine.reindex_files(a.name, [str(Path(p).resolve()) for p in a.paths])
+    elif a.what == "watch":
+        watch(a.path, lambda paths: engine.reindex_files(a.name, paths))
     elif a.what == "search":
         print(engine.search(a.query, a.top_k, a.name))
     elif a.what == "projects":

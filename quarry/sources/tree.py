@@ -106,3 +106,20 @@ def changed_files(repo: str, commit: str = "HEAD") -> list[str]:
 
     out = subprocess.run(["git", "-C", repo, "diff-tree", "--no-commit-id", "--name-only", "-r", "--root", commit], capture_output=True, text=True, check=True)
     return out.stdout.splitlines()
+
+
+def install_hook(repo: str, project: str, index: str) -> Path:
+    """A post-commit hook that indexes what each commit touched, in the background; an existing hook is kept and continued."""
+    import shlex
+    import sys
+
+    hook = Path(repo, ".git/hooks/post-commit")
+    if not hook.parent.parent.is_dir():
+        raise FileNotFoundError(f"{repo} is no repository")
+    hook.parent.mkdir(exist_ok=True)
+    line = f'git diff-tree --no-commit-id --name-only -r --root -z HEAD | (cd {shlex.quote(str(Path(repo).resolve()))} && xargs -0 {shlex.quote(sys.executable)} -m quarry.cli --index {shlex.quote(index)} changed {shlex.quote(project)}) &\n'
+    old = hook.read_text() if hook.exists() else "#!/bin/sh\n"
+    if line not in old:
+        hook.write_text(old + line)
+    hook.chmod(0o755)
+    return hook

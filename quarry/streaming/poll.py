@@ -1,0 +1,52 @@
+"""Watching a source tree: what changed between two looks at it, and a loop that applies it once the tree is quiet."""
+
+from __future__ import annotations
+
+import os
+import time
+from collections.abc import Callable, Iterable
+from pathlib import Path
+
+from quarry.functions.text import SUPPORTED
+from quarry.operators.ignore import ignored_name, parse_patterns
+from quarry.sources.tree import IGNORE_FILE
+
+DEBOUNCE, POLL = 5.0, 1.0
+
+
+def snapshot(root: str) -> dict[str, tuple[int, int]]:
+    """Time and size of every file that a scan would read."""
+    base = Path(root).resolve()
+    own = base / IGNORE_FILE
+    custom = parse_patterns(own.read_text("utf-8", "ignore")) if own.exists() else []
+    out = {}
+    for here, dirs, files in os.walk(base):
+        dirs[:] = [d for d in dirs if not ignored_name(f"{here}/{d}", custom)]
+        for name in files:
+            path = f"{here}/{name}"
+            if os.path.splitext(name)[1].lower() in SUPPORTED and not ignored_name(path, custom):
+                try:
+                    s = os.stat(path)
+                except FileNotFoundError:
+                    continue  # gone since it was listed
+                out[path] = (s.st_mtime_ns, s.st_size)
+    return out
+
+
+def changed(before: dict, after: dict) -> set[str]:
+    """Paths that are new, gone or different."""
+    return {p for p in before.keys() | after.keys() if before.get(p) != after.get(p)}
+
+
+def watch(root: str, apply: Callable[[list[str]], None], debounce: float = DEBOUNCE, poll: float = POLL, looks: Iterable[int] | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Applies all changed paths when nothing at all has changed for `debounce` seconds. looks: as many looks are taken (without end if None)."""
+    seen, pending, last = snapshot(root), set(), clock()
+    for _ in looks if looks is not None else iter(int, 1):
+        sleep(poll)
+        now = snapshot(root)
+        if new := changed(seen, now):
+            pending |= new
+            seen, last = now, clock()
+        elif pending and clock() - last >= debounce:
+            apply(sorted(pending))
+            pending = set()

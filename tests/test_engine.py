@@ -277,3 +277,38 @@ def test_hashing_embedder(spark):
     assert np.allclose(np.linalg.norm(x, axis=1), [1, 0, 1]) and (x[0] == x[2]).all() and e.encode("one").shape == (1, 64)
     with pytest.raises(KeyError):
         embed.backend("none")
+
+
+def test_sql_functions(spark):
+    from quarry.functions.sql import register
+
+    register(spark)
+    values(spark, [("a.py", "def f():\n  pass\nx = 1")], "path string, text string").createOrReplaceTempView("own_files")
+    got = spark.sql("SELECT c.* FROM own_files, LATERAL quarry_chunk_lines(text, 2, 0) c ORDER BY 1").collect()
+    assert [(r["text"], r["line_start"], r["line_end"]) for r in got] == windows("def f():\n  pass\nx = 1", 2, 0)
+    assert [tuple(r) for r in spark.sql("SELECT c.type, c.name FROM own_files, LATERAL quarry_chunk_symbols(text) c").collect()] == [("function", "f")]
+    assert spark.sql("SELECT quarry_tokenize('A bc D_e') t, quarry_squared_l2(array(1f, 2f), array(3f, 5f)) d").first()[:] == (["bc", "d_e"], 13.0)
+
+
+def test_watch_waits_until_the_tree_is_quiet(tree):
+    from quarry.streaming.poll import watch
+
+    now, calls, steps = [0.0], [], iter([("pkg/b.py", "1"), None, ("pkg/b.py", "22"), None, None, None, ("own/z.py", "ignored"), None, None])
+
+    def sleep(seconds):
+        now[0] += 2
+        step = next(steps)
+        if step:
+            (tree / step[0]).write_text(step[1])
+
+    watch(str(tree), calls.append, debounce=5, looks=range(9), clock=lambda: now[0], sleep=sleep)
+    assert calls == [[f"{tree}/pkg/b.py"]]
+
+
+def test_hook(tree):
+    from quarry.sources.tree import install_hook
+
+    hook = install_hook(str(tree), "p", "/index")
+    assert hook.stat().st_mode & 0o111 and hook == install_hook(str(tree), "p", "/index") and hook.read_text().count("quarry.cli") == 1
+    with pytest.raises(FileNotFoundError):
+        install_hook("/nowhere", "p", "/index")
