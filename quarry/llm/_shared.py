@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Within, texts go to Python in batches of so many rows at most: both sides then hold a few MB of them at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: lineage ends there, so a lost executor repeats little."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

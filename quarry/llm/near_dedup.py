@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._bytes import _ODD, hashed_words, mix, shingles
-from quarry.llm._shared import sized, staged, table
+from quarry.llm._shared import arrow_rows, sized, staged, table
 from quarry.workers import ship
 
 BANDS, ROWS = 20, 4
@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows that share an id are one node.  Rows without an id belong to the component of their class, if another row of it
     has an id, else they have none (null) and are kept.  Other columns are not read.  docs.doc_id must be a number."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    drawn = staged(sketches(docs, size), "op6-sketches")
+    with arrow_rows(docs.sparkSession):
+        drawn = staged(sketches(docs, size), "op6-sketches")
     full = drawn.where("n_shingles > 0")
     classes = staged(full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "op6-classes")
     reps = classes.where("rep is not null").select("rep", "n", "registers")
@@ -246,7 +247,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     least = percent / 100
 
     def links(pairs: DataFrame) -> DataFrame:
-        return staged(verified(likely(staged(pairs, "op6-pairs"), reps, least), docs, size, percent), "op6-found")
+        with arrow_rows(docs.sparkSession):
+            return staged(verified(likely(staged(pairs, "op6-pairs"), reps, least), docs, size, percent), "op6-found")
 
     # first every bucket's heaviest member, then, in buckets that still hold several components, the heaviest outside the first hub's
     hubs = rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("h")).select("bucket", (-F.col("h.rep")).alias("hub"))
@@ -259,7 +261,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         edges = edges.unionByName(links(_once(known.join(hubs, "bucket").where("label <> hub_label").select(F.col("rep").alias("x"), F.col("hub").alias("c")))))
         labels = components(edges)
     # hub against member, all pairs of a bucket of two or three have been compared
-    edges = edges.unionByName(staged(_rest(_several(rows, labels).where("k > 3"), docs, size, percent), "op6-found"))
+    with arrow_rows(docs.sparkSession):
+        edges = edges.unionByName(staged(_rest(_several(rows, labels).where("k > 3"), docs, size, percent), "op6-found"))
     labels = components(edges)
     out = classes.select("sig_a", "sig_b", "rep")
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig_a", "sig_b", F.coalesce("label", "rep").alias("component"))

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm._bytes import spelled_words
-from quarry.llm._shared import staged, table
+from quarry.llm._shared import arrow_rows, staged, table
 from quarry.llm.tokens import vocabulary
 from quarry.workers import ship
 
@@ -173,7 +173,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     Every document has a piece, empty and null ones that of the end id alone.  Repeated rows are packed each by itself;
     ids may be null; other columns are not read.  An empty table gives no row."""
     spark = docs.sparkSession
-    made = staged(token_pieces(docs, capacity, path), "op10-pieces")
+    with arrow_rows(spark):
+        made = staged(token_pieces(docs, capacity, path), "op10-pieces")
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     rows = sorted(plan(counts, capacity))
     salts = max(1, -(-max(counts.values(), default=0) // SALTED))
