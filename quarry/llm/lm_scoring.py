@@ -1,19 +1,23 @@
 """Stupid-backoff scores of all documents, by hash-partitioned n-gram counts.
 
-Words are white-space separated, A-Z folded, and named by 40 bits or more of a hash.  A document's word w2 after w1 scores
+Words are white-space separated, A-Z folded, and named by 40 bits or more of a hash.  A document's word w2 after w0 w1 scores
 
+    S(w2 | w0 w1) = c'(w0 w1 w2) / c(w0 w1)   if c' > 0, else   ALPHA * S(w2 | w1)
     S(w2 | w1) = c'(w1 w2) / c(w1)   if c' > 0, else   ALPHA * c(w2) / N
 
 c counts all documents, c' all documents but the one that is scored (else nothing would ever back off), N is the number of
-words.  A document's score is the mean of log10 S over its words after the first; it is null without any.
+words.  A document's second word has one word before it and starts at S(w2 | w1), as all words do where the order is 2.  A
+document's score is the mean of log10 S over its words after the first; it is null without any.
 
-Bigrams are exploded into buckets by the hash of w1; a bucket's count table, bigrams and contexts, is made and joined to the
-exploded bigrams in the same task.  Bigrams that no other document has become look-ups of w2, by the hash of w2, in the
-unigram tables that the buckets leave.  What buckets add to a document is summed per task and then per document.
+Trigrams are exploded into buckets by the hash of their middle word w1; a bucket's count table, trigrams, bigrams and contexts,
+is made and joined to the exploded trigrams in the same task, for w1 stands in all of them.  Bigrams that no other document has
+become look-ups of w2, by the hash of w2, in the unigram tables that the buckets leave.  What buckets add to a document is
+summed per task and then per document.
 
 A bucket holds some BUCKET words; their number follows the corpus.  Words that make up 1 / HOT of the corpus, HOT at most, are
-counted first and broadcast; their bigrams are dealt by both words, so that no context fills a bucket.  N-grams travel as
-packed arrays, some 10 bytes each, for rows of their own would take more disk than the input.
+counted first and broadcast; where w1 is one of them, trigrams are dealt by w1 and w2, so that no context fills a bucket.  Such
+a bucket lacks c(w0 w1): a trigram that another document has becomes a look-up of w0 w1 in tables of pairs, which the buckets
+of w0 leave.  N-grams travel as packed arrays, hot words in two bytes, for rows of their own would take more disk than the input.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from quarry.llm._shared import table
 from quarry.workers import ship
 
 ALPHA, HOT, BUCKET = 0.4, 2048, 1_000_000
+#: Words of the longest n-gram in op9.
+ORDER = 3
 #: Words of a batch, and numbers a task sums before it passes them on.
 BATCH, HELD = 1_000_000, 4_000_000
 _ROW = "bucket bigint, uid bigint, kind int, blob binary"
@@ -72,19 +78,40 @@ def _steps(d: np.ndarray) -> tuple[str, bytes]:
     return kind[-1], diff.astype(kind).tobytes()
 
 
-def pack_ngrams(d: np.ndarray, r1: np.ndarray, w2: np.ndarray, width: int) -> bytes:
+def pack_words(space: Space, w: np.ndarray) -> bytes:
+    """A bit for each word, hot words' places in two bytes, and the others' names."""
+    at, hot = _hot_place(space, w)
+    names = np.ascontiguousarray(w[~hot].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : space.width])
+    return np.packbits(hot).tobytes() + at[hot].astype("<u2").tobytes() + names.tobytes()
+
+
+def unpack_words(space: Space, blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """n words and the place after them."""
+    hot = np.unpackbits(np.frombuffer(blob, np.uint8, -(-n // 8), at), count=n).astype(bool)
+    at, k = at + -(-n // 8), int(hot.sum())
+    names = np.zeros((n - k, 8), np.uint8)
+    names[:, : space.width] = np.frombuffer(blob, np.uint8, (n - k) * space.width, at + 2 * k).reshape(n - k, space.width)
+    w = np.empty(n, np.uint64)
+    if k:
+        w[hot] = space.hot[np.frombuffer(blob, "<u2", k, at)]
+    w[~hot] = names.view("<u8").ravel()
+    return w, at + 2 * k + (n - k) * space.width
+
+
+def pack_ngrams(space: Space, order: int, d: np.ndarray, r1: np.ndarray, w2: np.ndarray, w0: np.ndarray) -> bytes:
     size, steps = _steps(d)
-    return struct.pack("<Ic", len(d), size.encode()) + steps + r1.astype("<u4").tobytes() + np.ascontiguousarray(w2.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return struct.pack("<Ic", len(d), size.encode()) + steps + r1.astype("<u4").tobytes() + pack_words(space, w2) + (pack_words(space, w0) if order == 3 else b"")
 
 
-def unpack_ngrams(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_ngrams(space: Space, order: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """d, r1, w2, w0; bigrams have ends for w0."""
     n, size = struct.unpack_from("<Ic", blob)
     size, at = int(size), 5
     d = np.cumsum(np.frombuffer(blob, f"<u{size}", n, at), dtype=np.int64)
     r1 = np.frombuffer(blob, "<u4", n, at + size * n)
-    w2 = np.zeros((n, 8), np.uint8)
-    w2[:, :width] = np.frombuffer(blob, np.uint8, n * width, at + (size + 4) * n).reshape(n, width)
-    return d, r1, w2.view("<u8").ravel()
+    w2, at = unpack_words(space, blob, at + (size + 4) * n, n)
+    w0 = unpack_words(space, blob, at, n)[0] if order == 3 else np.full(n, space.end, np.uint64)
+    return d, r1, w2, w0
 
 
 def find_hot(docs: DataFrame) -> Space:
@@ -131,7 +158,11 @@ def _hot_place(space: Space, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, space.hot[at] == w
 
 
-def explode(space: Space):  # noqa: ANN201
+def _pair(w: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    return mix(w * np.uint64(0x9E3779B97F4A7C15) + w2)
+
+
+def explode(space: Space, order: int):  # noqa: ANN201
     """Batches of (doc_id, text) to rows of NGRAMS for each bucket, and a HEAD with the batch's ids and numbers of words."""
 
     def one(uid: int, ids: list, words: list, sizes: list) -> pa.RecordBatch:
@@ -141,17 +172,21 @@ def explode(space: Space):  # noqa: ANN201
         w2[:-1] = w[1:]
         if len(w):
             w2[np.cumsum(n)[n > 0] - 1] = space.end
+        w0 = np.empty_like(w)
+        w0[1:] = w[:-1]
+        if len(w):
+            w0[(np.cumsum(n) - n)[n > 0]] = space.end
         at, hot = _hot_place(space, w)
         bucket = (w >> np.uint64(32)).astype(np.int64)
-        both = mix(w * np.uint64(0x9E3779B97F4A7C15) + w2) >> np.uint64(64 - space.bits)
+        both = _pair(w, w2) >> np.uint64(64 - space.bits)
         bucket[hot] = (1 << space.bits) + both[hot].astype(np.int64)
         r1 = np.where(hot, at, (w & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        order = np.argsort(bucket, kind="stable")
-        bucket, d, r1, w2 = bucket[order], d[order], r1[order], w2[order]
+        by = np.argsort(bucket, kind="stable")
+        bucket, d, r1, w2, w0 = bucket[by], d[by], r1[by], w2[by], w0[by]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
         head = struct.pack("<I", len(ids)) + np.array([0 if x is None else x for x in ids], "<i8").tobytes() + np.array([x is None for x in ids], np.uint8).tobytes() + n.astype("<u4").tobytes()
         rows = [(-1 - uid % 4096, uid, HEAD, head)]
-        rows += [(int(bucket[a]), uid, NGRAMS, pack_ngrams(d[a:b], r1[a:b], w2[a:b], space.width)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows += [(int(bucket[a]), uid, NGRAMS, pack_ngrams(space, order, d[a:b], r1[a:b], w2[a:b], w0[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +228,28 @@ class Sums:
         return out
 
 
-def score_seen(space: Space):  # noqa: ANN201
-    """Rows sorted by bucket: NGRAMS become SUMS, UNIGRAMS of each bucket, and look-ups (NGRAMS again) of bigrams that no other document has."""
+def score_seen(space: Space, order: int):  # noqa: ANN201
+    """Rows sorted by bucket: NGRAMS become SUMS, UNIGRAMS of each bucket and of pairs, and look-ups (NGRAMS again).
+
+    Looked up are the words of bigrams that no other document has, and contexts of two words whose second is hot.  A pair's
+    name is like a word's, in buckets of pairs, 2 << bits and more."""
+
+    def pair_name(w: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        return (_pair(w, w2) >> np.uint64(32 - space.bits)) + np.uint64(2 << 32 + space.bits)
+
+    def pair_counts(found: list) -> list[tuple]:
+        name, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(name)
+        name, c = name[by], c[by]
+        bucket = (name >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
+        return [(int(bucket[a]), 0, UNIGRAMS, struct.pack("<I", b - a) + (name[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + c[a:b].astype("<u8").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def look_ups(asked: list) -> list[tuple]:
         uid, d, w2 = (np.concatenate(x) for x in zip(*asked, strict=True))
         bucket = (w2 >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((d, uid, bucket))
-        bucket, uid, d, r = bucket[order], uid[order], d[order], w2[order] & np.uint64(0xFFFFFFFF)
+        by = np.lexsort((d, uid, bucket))
+        bucket, uid, d, r = bucket[by], uid[by], d[by], w2[by] & np.uint64(0xFFFFFFFF)
         rows, cuts = [], np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             inner = np.flatnonzero(np.diff(uid[a:b], prepend=-1, append=-2))
@@ -212,37 +261,61 @@ def score_seen(space: Space):  # noqa: ANN201
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, asked, waiting = Sums(), [], 0
+        sums, asked, waiting, pairs, paired = Sums(), [], 0, [], 0
+
+        def counts(key: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of each n-gram: how many there are, how many in other documents, and whether it is the first of its kind."""
+            by = np.argsort(key, kind="stable")  # batches and documents stay in order
+            ks, gs = key[by], g[by]
+            new = np.concatenate([[True], ks[1:] != ks[:-1]])
+            fresh = new | np.concatenate([[True], gs[1:] != gs[:-1]])
+            count = lambda first: np.repeat(k := np.diff(np.append(np.flatnonzero(first), len(first))), k)
+            every, other, one = np.empty(len(ks), np.int64), np.empty(len(ks), np.int64), np.empty(len(ks), bool)
+            every[by] = count(new)
+            other[by] = count(new) - count(fresh)
+            one[by] = new
+            return every, other, one
 
         def bucket_done(bucket: int, blobs: list) -> list[tuple]:
-            nonlocal waiting
-            parts = [unpack_ngrams(x, space.width) for _, x in blobs]
+            nonlocal waiting, paired
+            parts = [unpack_ngrams(space, order, x) for _, x in blobs]
             n = np.array([len(p[0]) for p in parts])
-            d, r1, w2 = (np.concatenate(x) for x in zip(*parts, strict=True))
-            g = np.repeat(np.arange(len(parts)), n) << 32 | d
-            rows = []
-            if bucket < 1 << space.bits:
+            d, r1, w2, w0 = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            g = np.repeat(np.arange(len(n)), n) << 32 | d
+            rows, cold = [], bucket < 1 << space.bits
+            if cold:
                 r, inv, c = np.unique(r1, return_inverse=True, return_counts=True)
                 c1 = c[inv]
                 rows.append((bucket, 0, UNIGRAMS, struct.pack("<I", len(r)) + r.astype("<u4").tobytes() + c.astype("<u8").tobytes()))
+                w1 = np.uint64(bucket << 32) | r1.astype(np.uint64)
             else:
                 c1 = space.counts[r1]
-            key = mix(mix(r1.astype(np.uint64)) + w2)
-            order = np.argsort(key, kind="stable")  # batches and documents stay in order
-            ks, gs = key[order], g[order]
-            new = np.concatenate([[True], ks[1:] != ks[:-1]])
-            fresh = new | np.concatenate([[True], gs[1:] != gs[:-1]])
-            count = lambda first: np.repeat(k := np.diff(np.append(np.flatnonzero(first), len(first))), k)
-            other = np.empty(len(ks), np.int64)
-            other[order] = count(new) - count(fresh)
+                w1 = space.hot[r1]
+            every, other, one = counts(mix(mix(r1.astype(np.uint64)) + w2), g)
             real = w2 != np.uint64(space.end)
             at, hot = _hot_place(space, w2)
-            value = np.zeros(len(ks))
-            seen = real & (other > 0)
-            value[seen] = np.log10(other[seen] / c1[seen])
-            near = real & (other == 0) & hot
-            value[near] = np.log10(ALPHA * space.counts[at[near]] / space.n)
-            far = real & (other == 0) & ~hot
+            value = np.zeros(len(d))
+            rest, context = real, None
+            if order == 3:
+                left = one & hot & (other > 0)  # a trigram that another document has begins with a bigram that another document has
+                pairs.append((pair_name(w1[left], w2[left]), every[left]))
+                paired += int(left.sum())
+                inner = real & (w0 != np.uint64(space.end))
+                before = mix(mix(mix(r1.astype(np.uint64)) + np.uint64(1)) + w0)
+                again = inner & (counts3 := counts(mix(before + mix(w2)), g)[1]).astype(bool)
+                value[again] = np.log10(counts3[again])
+                if cold:
+                    value[again] -= np.log10(counts(before, g)[0][again])
+                else:
+                    context = again
+                value[inner & ~again] = np.log10(ALPHA)
+                rest = real & ~again
+            seen = rest & (other > 0)
+            value[seen] += np.log10(other[seen] / c1[seen])
+            near = rest & (other == 0) & hot
+            value[near] += np.log10(ALPHA * space.counts[at[near]] / space.n)
+            far = rest & (other == 0) & ~hot
             first = 0
             for (uid, _), size in zip(blobs, n, strict=True):
                 own = slice(first, first + size)
@@ -251,11 +324,18 @@ def score_seen(space: Space):  # noqa: ANN201
                 if ask.any():
                     asked.append((np.full(int(ask.sum()), uid), d[own][ask], w2[own][ask]))
                     waiting += int(ask.sum())
+                if context is not None and (ask := context[own]).any():
+                    asked.append((np.full(int(ask.sum()), uid), d[own][ask], pair_name(w0[own][ask], w1[own][ask])))
+                    waiting += int(ask.sum())
                 first += size
             if waiting > HELD:
                 rows += look_ups(asked)
                 asked.clear()
                 waiting = 0
+            if paired > HELD:
+                rows += pair_counts(pairs)
+                pairs.clear()
+                paired = 0
             return rows + (sums.rows() if sums.size > HELD else [])
 
         current, blobs = None, []
@@ -274,16 +354,18 @@ def score_seen(space: Space):  # noqa: ANN201
         rows = sums.rows()
         if asked:
             rows += look_ups(asked)
+        if pairs:
+            rows += pair_counts(pairs)
         yield _rows(rows)
 
     return run
 
 
 def score_unseen(space: Space):  # noqa: ANN201
-    """Rows sorted by bucket and kind: look-ups meet their bucket's UNIGRAMS and become SUMS."""
+    """Rows sorted by bucket and kind: look-ups meet their bucket's UNIGRAMS, of pairs in several rows, and become SUMS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, current, names, counts = Sums(), None, None, None
+        sums, current, tables, names, counts = Sums(), None, [], None, None
         for b in batches:
             rows = []
             for bucket, uid, kind, blob in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -291,15 +373,22 @@ def score_unseen(space: Space):  # noqa: ANN201
                     rows.append((bucket, uid, kind, blob))
                 elif kind == UNIGRAMS:
                     (n,) = struct.unpack_from("<I", blob)
-                    current, names, counts = bucket, np.frombuffer(blob, "<u4", n, 4), np.frombuffer(blob, "<u8", n, 4 + 4 * n)
+                    if bucket != current:
+                        current, tables = bucket, []
+                    tables.append((np.frombuffer(blob, "<u4", n, 4), np.frombuffer(blob, "<u8", n, 4 + 4 * n)))
                 else:
                     if bucket != current:
                         raise ValueError(f"bucket {bucket} has look-ups but no counts")
+                    if tables:
+                        names, counts = (np.concatenate(x) for x in zip(*tables, strict=True))
+                        by, tables = np.argsort(names, kind="stable"), []
+                        names, counts = names[by], counts[by]
                     groups, n, size = struct.unpack_from("<IIc", blob)
                     size, at = int(size), 9
                     uids, each = np.frombuffer(blob, "<i8", groups, at), np.frombuffer(blob, "<u4", groups, at + 8 * groups).astype(np.int64)
                     steps = np.frombuffer(blob, f"<u{size}", n, at + 12 * groups).astype(np.int64)
-                    value = np.log10(ALPHA * counts[np.searchsorted(names, np.frombuffer(blob, "<u4", n, at + 12 * groups + size * n))] / space.n)
+                    c = counts[np.searchsorted(names, np.frombuffer(blob, "<u4", n, at + 12 * groups + size * n))]
+                    value = -np.log10(c) if bucket >= 2 << space.bits else np.log10(ALPHA * c / space.n)
                     first = 0
                     for one, k in zip(uids.tolist(), each.tolist(), strict=True):
                         sums.add(one, np.cumsum(steps[first : first + k]), value[first : first + k])
@@ -339,19 +428,21 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(head, total)
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, score for each row of docs; counts are of docs themselves.
+def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
+    """doc_id, n_words, score for each row of docs; counts are of docs themselves.  order: 2 (bigrams) or 3 (trigrams).
 
     Null and empty texts have no words; texts of one word have no score.  Repeated rows are documents of their own, and each
     other's evidence.  Null ids stay null; doc_id must be a number; other columns are not read."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}; there are 2 and 3")
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     space = find_hot(docs)
-    exploded = docs.mapInArrow(explode(space), _ROW).repartition("bucket").sortWithinPartitions("bucket", "kind", "uid")
-    seen = exploded.mapInArrow(score_seen(space), _ROW).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    exploded = docs.mapInArrow(explode(space, order), _ROW).repartition("bucket").sortWithinPartitions("bucket", "kind", "uid")
+    seen = exploded.mapInArrow(score_seen(space, order), _ROW).repartition("bucket").sortWithinPartitions("bucket", "kind")
     sums = seen.mapInArrow(score_unseen(space), _ROW).repartition("uid").sortWithinPartitions("uid", "kind")
     return sums.mapInArrow(_documents, "doc_id bigint, n_words bigint, score double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(table(spark, sf_dir, "documents"), ORDER)
