@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from quarry.embed import embed
 from quarry.operators.changes import apply_changes, coalesce_changes
 from quarry.operators.chunking import chunks
 from quarry.sources.store import IndexStore
@@ -12,16 +13,16 @@ from quarry.sources.store import IndexStore
 CHANGE = "project string, path string, op string, text string, event_time timestamp, event_id bigint"
 
 
-def apply_batch(store: IndexStore, batch: DataFrame, batch_id: int, source: str) -> None:
-    """A batch that was applied before, and comes again after a failure, is left out."""
+def apply_batch(store: IndexStore, batch: DataFrame, batch_id: int, source: str, embedder: str = "hashing") -> None:
+    """Changed files are chunked and embedded anew.  A batch that was applied before, and comes again after a failure, is left out."""
     if store.applied([source, batch_id]):
         return
     last = coalesce_changes(batch).select("project", "path", "op", "event_time")
     texts = batch.select("project", "path", "event_time", "text").dropDuplicates(["project", "path", "event_time"])
-    store.replace(apply_changes(store.chunks(), last.join(texts, ["project", "path", "event_time"]), chunks), [source, batch_id])
+    store.replace(apply_changes(store.chunks(), last.join(texts, ["project", "path", "event_time"]), lambda files: embed(chunks(files), embedder)), [source, batch_id])
 
 
-def stream_changes(changes: DataFrame, store: IndexStore, checkpoint: str, debounce: str = "5 seconds", once: bool = False) -> StreamingQuery:
-    """Applies a stream of CHANGE rows; the trigger's interval gathers a burst of events into one batch."""
-    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: apply_batch(store, df, i, checkpoint))
+def stream_changes(changes: DataFrame, store: IndexStore, checkpoint: str, debounce: str = "5 seconds", once: bool = False, embedder: str = "hashing") -> StreamingQuery:
+    """Applies a stream of CHANGE rows; the trigger's interval gathers a burst of events into one batch.  embedder: that of the index."""
+    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: apply_batch(store, df, i, checkpoint, embedder))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=debounce)).start()
