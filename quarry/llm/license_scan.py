@@ -7,8 +7,12 @@ filter; a block's tokens outside all templates count for nothing and are left ou
 (length filter), and what follows the first common token on both sides must still give alpha (positional filter).
 Survivors are compared whole, so that the join is exact.
 
-Three passes over documents, none of which shuffles a text: token frequencies (of the templates' words only, summed before
-the shuffle), base phrases, and blocks.  The templates' tables are of a fixed size and broadcast.
+Statements that are wrapped over several lines are met by a second kind of blocks: all runs of consecutive words, whatever line
+they stand in, 1 / THRESHOLD times as long as the template.  Every word starts one, so each statement lies whole in a block.
+Only texts of several lines that hold enough of a template's words somewhere are looked at this way.
+
+Four passes over documents, none of which shuffles a text: token frequencies (of the templates' words only, summed before
+the shuffle), base phrases, lines, and runs of words.  The templates' tables are of a fixed size and broadcast.
 """
 
 from __future__ import annotations
@@ -74,6 +78,23 @@ def matching_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     return met.select("id", "h", "line", "label", (F.col("common") / F.col("n")).alias("containment"))
 
 
+def wrapped_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """id, h (text hash), label, containment: the best run of words for each template that one meets, in texts of several lines."""
+    rows = []
+    for (label, text), (_, s) in zip(templates, template_sets(templates), strict=True):
+        n_words = len([w for w in re.split(BREAKS, text.lower()) if w])
+        rows.append((label, len(s), math.ceil(threshold * len(s) - 1e-9), math.ceil(n_words / threshold - 1e-9), s))
+    known = F.split(F.lit(" ".join(sorted({t for r in rows for t in r[4]}))), " ")
+    each = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(n).alias("n"), F.lit(alpha).alias("alpha"), F.lit(span).alias("span"), F.split(F.lit(" ".join(s)), " ").alias("whole")) for label, n, alpha, span, s in rows])
+    texts = docs.where(F.col("text").contains("\n")).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), pinned(letter_words(F.col("text"))).alias("words"))
+    bags = texts.select("id", "h", "words", pinned(F.array_intersect(known, F.col("words"))).alias("bag")).where(F.size("bag") >= min(r[2] for r in rows))
+    may = bags.select("id", "h", "words", pinned(F.filter(each, lambda t: F.size(F.array_intersect(F.col("bag"), t["whole"])) >= t["alpha"])).alias("ts")).where(F.size("ts") > 0)
+    may = may.select("id", "h", "words", F.explode("ts").alias("t")).select("id", "h", "words", "t.*")
+    starts = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("whole", w), i + 1)), lambda i: i.isNotNull())
+    common = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("span")), F.col("whole")))))
+    return may.select("id", "h", "label", "alpha", "n", pinned(common).alias("common")).where("common >= alpha").select("id", "h", "label", (F.col("common") / F.col("n")).alias("containment"))
+
+
 def _base_places(words: Column) -> Column:
     """(start, label) of every base phrase; the words are looked at one by one only where the phrase's first word occurs."""
     def place(w: Column, i: Column) -> Column:
@@ -92,17 +113,20 @@ def _base_places(words: Column) -> Column:
     return F.when(some, F.filter(F.transform(words, place), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<i:int,label:string>>"))
 
 
-def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 with a base phrase, else the best containment that meets the threshold, else 0.  Null and empty texts have
     no words and no labels ('').  Equal rows give equal results, one each; rows of one id and other texts are kept apart.
-    Null ids count as an id.  Other columns are not read."""
+    Null ids count as an id.  wrapped: statements that line breaks cut count too.  Other columns are not read."""
     base = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), pinned(letter_words(F.col("text"))).alias("words"))
     base = base.select("id", "h", F.size("words").cast("long").alias("n"), pinned(_base_places(F.col("words"))).alias("at"))
     base = base.select("id", "h", "n", F.size("at").cast("long").alias("n_base"), F.array_min("at.i").cast("long").alias("first_word"), F.array_max("at.i").cast("long").alias("last_word"), F.array_distinct("at.label").alias("bl"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("c"))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("n", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("bl", "array<string>"))]
-    found = matching_blocks(docs, templates, threshold).groupBy("id", "h", "label").agg(F.max("containment").alias("c")).select("id", "h", *none, "label", "c")
+    met = matching_blocks(docs, templates, threshold).select("id", "h", "label", "containment")
+    if wrapped:
+        met = met.unionByName(wrapped_blocks(docs, templates, threshold))
+    found = met.groupBy("id", "h", "label").agg(F.max("containment").alias("c")).select("id", "h", *none, "label", "c")
     # labels are as many as templates at most, so each group is small
     out = base.unionByName(found).groupBy("id", "h").agg(
         *[F.max(c).alias(c) for c in ("n", "n_base", "first_word", "last_word", "bl", "c")], F.count("n").alias("copies"), F.collect_set("label").alias("own"))
@@ -112,7 +136,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True)
 
 
 def _oracle() -> str:
