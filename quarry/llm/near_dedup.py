@@ -2,7 +2,7 @@
 
 A sketch has M registers; register i is floor(1 - log_B(x)), cut to 16 bits, of the smallest x that the set's elements have
 in the i-th exponential hash: exponentially spaced truncated minima, which merge by the larger register.  Texts of equal
-sets are one class, held by the smallest id.  Registers in bands of ROWS put classes into buckets; two sets of similarity
+sets are one class, named by 64 bits of its signature; its smallest (id, text hash) says where its text is.  Registers in bands of ROWS put classes into buckets; two sets of similarity
 0.85 share none of BANDS buckets with probability below 4e-7.
 
 Pairs aren't enumerated within a bucket.  Each bucket compares its members with one hub, the member that shares the most
@@ -109,7 +109,13 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "x bigint, c bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, needs: DataFrame) -> DataFrame:
+    """needs (with place_id and place_hash of a class) and the class's text; once for each row that repeats it."""
+    own = docs.where("doc_id is not null").select(F.col("doc_id").alias("place_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("place_hash"), "text")
+    return own.join(needs, ["place_id", "place_hash"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (x, c) whose full sets have 100 * intersection >= percent * union.
 
     Texts travel to their hub; a hub's members are dealt into salted groups of some SPLIT, each with a copy of the hub's text.
@@ -117,8 +123,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     deg = pairs.groupBy("c").agg(F.ceil(F.count("*") / SPLIT).alias("salts"))
     dealt = pairs.join(deg, "c").select("x", "c", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt"))
     needs = dealt.select("c", "salt", F.col("x").alias("id"), F.lit(1).alias("kind")).unionByName(dealt.select("c", "salt").distinct().select("c", "salt", F.col("c").alias("id"), F.lit(0).alias("kind")))
-    needs, _ = sized(staged(needs, "op6-needs"), MOST_NEEDS)
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null").join(needs, "id").select("c", "salt", "kind", "id", "text")
+    needs, _ = sized(staged(needs.join(places.withColumnRenamed("rep", "id"), "id"), "op6-needs"), MOST_NEEDS)
+    texts = _texts(docs, needs).select("c", "salt", "kind", "id", "text")
     texts = texts.repartition("c", "salt").sortWithinPartitions("c", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +174,7 @@ def _several(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return staged(known.join(several, "bucket"), "op6-open")
 
 
-def _rest(known: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _rest(known: DataFrame, docs: DataFrame, places: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (x, c) between different components of a bucket, verified on full sets: one for each two components of a block.
 
     Buckets are dealt in blocks of some PART members against each other.  A task holds two blocks' sets and counts all their
@@ -177,8 +183,8 @@ def _rest(known: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFra
     dealt = known.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "label")
-    dealt, _ = sized(staged(dealt, "op6-dealt"), MOST_NEEDS)
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null").join(dealt, "rep").select("bucket", "lo", "hi", "own", "rep", "label", "text")
+    dealt, _ = sized(staged(dealt.join(places, "rep"), "op6-dealt"), MOST_NEEDS)
+    texts = _texts(docs, dealt).select("bucket", "lo", "hi", "own", "rep", "label", "text")
     texts = texts.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
     def compare(group: list) -> pa.RecordBatch:
@@ -229,15 +235,18 @@ def intersections(sets: np.ndarray, n: np.ndarray, columns: int = 4096) -> np.nd
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: doc_id, text_hash (xxhash64), n_shingles, component_id, kept.
 
-    Null, empty and blank texts have no shingles and are linked with nothing.  Rows of one text (or one set) are linked;
-    rows that share an id are one node.  Rows without an id belong to the component of their class, if another row of it
+    Null, empty and blank texts have no shingles and are linked with nothing.  Rows of one text (or one set) are one node;
+    rows that share an id and no text are different ones.  A component's id is the smallest of its rows' ids, and of rows of
+    that id those of one text (the smallest hash) are kept.  Rows without an id belong to the component of their class, if another row of it
     has an id, else they have none (null) and are kept.  Other columns are not read.  docs.doc_id must be a number."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with arrow_rows(docs.sparkSession):
         drawn = staged(sketches(docs, size), "op6-sketches")
     full = drawn.where("n_shingles > 0")
-    classes = staged(full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "op6-classes")
-    reps = classes.where("rep is not null").select("rep", "n", "registers")
+    least_row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("place")
+    classes = staged(full.groupBy("sig_a", "sig_b").agg(least_row, F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).withColumn("rep", F.xxhash64("sig_a", "sig_b")), "op6-classes")
+    reps = classes.where("place is not null").select("rep", "n", "registers")
+    places = classes.where("place is not null").select("rep", F.col("place.doc_id").alias("place_id"), F.col("place.text_hash").alias("place_hash"))
     bands = F.array(*[F.xxhash64(F.lit(j), F.substring("registers", 1 + 2 * ROWS * j, 2 * ROWS)) for j in range(BANDS)])
     rows = reps.select("rep", F.explode(bands).alias("bucket")).distinct()
     shared = rows.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
@@ -248,7 +257,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     def links(pairs: DataFrame) -> DataFrame:
         with arrow_rows(docs.sparkSession):
-            return staged(verified(likely(staged(pairs, "op6-pairs"), reps, least), docs, size, percent), "op6-found")
+            return staged(verified(likely(staged(pairs, "op6-pairs"), reps, least), docs, places, size, percent), "op6-found")
 
     # first every bucket's heaviest member, then, in buckets that still hold several components, the heaviest outside the first hub's
     hubs = rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("h")).select("bucket", (-F.col("h.rep")).alias("hub"))
@@ -262,13 +271,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         labels = components(edges)
     # hub against member, all pairs of a bucket of two or three have been compared
     with arrow_rows(docs.sparkSession):
-        edges = edges.unionByName(staged(_rest(_several(rows, labels).where("k > 3"), docs, size, percent), "op6-found"))
+        edges = edges.unionByName(staged(_rest(_several(rows, labels).where("k > 3"), docs, places, size, percent), "op6-found"))
     labels = components(edges)
-    out = classes.select("sig_a", "sig_b", "rep")
-    out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig_a", "sig_b", F.coalesce("label", "rep").alias("component"))
-    joined = full.select("doc_id", "text_hash", "n_shingles", "sig_a", "sig_b").join(out, ["sig_a", "sig_b"]).select("doc_id", "text_hash", "n_shingles", F.col("component").alias("component_id"))
-    joined = joined.unionByName(drawn.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")))
-    return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = labels.join(classes.select(F.col("rep").alias("node"), "place"), "node").groupBy("label").agg(F.min("place").alias("best"))
+    out = classes.select("sig_a", "sig_b", "rep", "place").join(labels.join(first, "label").select(F.col("node").alias("rep"), "best"), "rep", "left")
+    out = out.select("sig_a", "sig_b", F.coalesce("best", "place").alias("best"))
+    joined = full.select("doc_id", "text_hash", "n_shingles", "sig_a", "sig_b").join(out, ["sig_a", "sig_b"])
+    kept = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
+    joined = joined.select("doc_id", "text_hash", "n_shingles", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
+    return joined.unionByName(drawn.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
