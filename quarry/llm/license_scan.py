@@ -42,12 +42,18 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+#: Words that tell a license from its siblings, by label; a template that has them isn't met without.
+DISTINGUISHING = {"mit": ["mit"], "apache-2.0": ["apache", "2"], "gpl-3.0": ["3"], "lgpl": ["lesser"], "cc-by-nc-4.0": ["nc", "4"], "cc-by-sa-4.0": ["sharealike", "4"], "mpl-2.0": ["mozilla", "2"]}
 
 
 def template_sets(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, list[str]]]:
     return [(label, sorted({w for w in re.split(BREAKS, text.lower()) if w})) for label, text in templates]
 
 
+def _needed(label: str, words: list[str], strict: bool) -> list[str]:
+    return [w for w in DISTINGUISHING.get(label, []) if w in words] if strict else []
+
+
 def token_order(docs: DataFrame, tokens: list[str]) -> list[str]:
     """tokens, by their number of occurrences in all documents.  Gathers one row a template word."""
     known = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in tokens], "w string"))
@@ -56,8 +62,8 @@ def token_order(docs: DataFrame, tokens: list[str]) -> list[str]:
     return sorted(tokens, key=lambda t: (counts.get(t, 0), t))
 
 
-def matching_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """id, h (text hash), line, label, containment: every line that meets a template, exactly."""
+def matching_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, strict: bool = False) -> DataFrame:
+    """id, h (text hash), line, label, containment: every line that meets a template, exactly.  strict: and has its DISTINGUISHING words."""
     sets = template_sets(templates)
     order = token_order(docs, sorted({t for _, s in sets for t in s}))
     rank = {t: i for i, t in enumerate(order)}
@@ -65,8 +71,8 @@ def matching_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     for label, s in sets:
         ts = sorted(s, key=rank.get)
         alpha = math.ceil(threshold * len(ts) - 1e-9)
-        rows += [(t, label, i, len(ts), alpha, ts) for i, t in enumerate(ts[: len(ts) - alpha + 1])]
-    prefixes = F.broadcast(docs.sparkSession.createDataFrame(rows, "token string, label string, i int, n int, alpha int, whole array<string>"))
+        rows += [(t, label, i, len(ts), alpha, ts, _needed(label, ts, strict)) for i, t in enumerate(ts[: len(ts) - alpha + 1])]
+    prefixes = F.broadcast(docs.sparkSession.createDataFrame(rows, "token string, label string, i int, n int, alpha int, whole array<string>, needed array<string>"))
     least = min(r[4] for r in rows)
     lines = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.posexplode(F.split(ascii_lower(F.coalesce("text", F.lit(""))), "\n")).alias("line", "block"))
     known = F.split(F.lit(" ".join(order)), " ")
@@ -74,24 +80,26 @@ def matching_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     each = sets.select("id", "h", "line", "b", F.posexplode("b").alias("j", "token")).join(prefixes, "token")
     m = F.size("b")
     each = each.where((m >= F.col("alpha")) & (F.col("j") <= m - F.col("alpha")) & (1 + F.least(F.col("n") - F.col("i") - 1, m - F.col("j") - 1) >= F.col("alpha")))
+    each = each.where(F.size(F.array_except("needed", "b")) == 0)
     met = each.select("id", "h", "line", "label", "alpha", "n", F.size(F.array_intersect("b", "whole")).alias("common")).where("common >= alpha")
     return met.select("id", "h", "line", "label", (F.col("common") / F.col("n")).alias("containment"))
 
 
-def wrapped_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def wrapped_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, strict: bool = False) -> DataFrame:
     """id, h (text hash), label, containment: the best run of words for each template that one meets, in texts of several lines."""
     rows = []
     for (label, text), (_, s) in zip(templates, template_sets(templates), strict=True):
         n_words = len([w for w in re.split(BREAKS, text.lower()) if w])
         rows.append((label, len(s), math.ceil(threshold * len(s) - 1e-9), math.ceil(n_words / threshold - 1e-9), s))
     known = F.split(F.lit(" ".join(sorted({t for r in rows for t in r[4]}))), " ")
-    each = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(n).alias("n"), F.lit(alpha).alias("alpha"), F.lit(span).alias("span"), F.split(F.lit(" ".join(s)), " ").alias("whole")) for label, n, alpha, span, s in rows])
+    each = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(n).alias("n"), F.lit(alpha).alias("alpha"), F.lit(span).alias("span"), F.split(F.lit(" ".join(s)), " ").alias("whole"), F.array(*[F.lit(w) for w in _needed(label, s, strict)]).cast("array<string>").alias("needed")) for label, n, alpha, span, s in rows])
     texts = docs.where(F.col("text").contains("\n")).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), pinned(letter_words(F.col("text"))).alias("words"))
     bags = texts.select("id", "h", "words", pinned(F.array_intersect(known, F.col("words"))).alias("bag")).where(F.size("bag") >= min(r[2] for r in rows))
     may = bags.select("id", "h", "words", pinned(F.filter(each, lambda t: F.size(F.array_intersect(F.col("bag"), t["whole"])) >= t["alpha"])).alias("ts")).where(F.size("ts") > 0)
     may = may.select("id", "h", "words", F.explode("ts").alias("t")).select("id", "h", "words", "t.*")
     starts = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("whole", w), i + 1)), lambda i: i.isNotNull())
-    common = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("span")), F.col("whole")))))
+    runs = F.transform(starts, lambda i: F.array_intersect(F.slice("words", i, F.col("span")), F.col("whole")))
+    common = F.array_max(F.transform(runs, lambda b: F.when(F.size(F.array_except("needed", b)) == 0, F.size(b))))
     return may.select("id", "h", "label", "alpha", "n", pinned(common).alias("common")).where("common >= alpha").select("id", "h", "label", (F.col("common") / F.col("n")).alias("containment"))
 
 
@@ -113,19 +121,20 @@ def _base_places(words: Column) -> Column:
     return F.when(some, F.filter(F.transform(words, place), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<i:int,label:string>>"))
 
 
-def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False, strict: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 with a base phrase, else the best containment that meets the threshold, else 0.  Null and empty texts have
     no words and no labels ('').  Equal rows give equal results, one each; rows of one id and other texts are kept apart.
-    Null ids count as an id.  wrapped: statements that line breaks cut count too.  Other columns are not read."""
+    Null ids count as an id.  wrapped: statements that line breaks cut count too.  strict: only
+    with the words that tell a license from its siblings.  Other columns are not read."""
     base = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), pinned(letter_words(F.col("text"))).alias("words"))
     base = base.select("id", "h", F.size("words").cast("long").alias("n"), pinned(_base_places(F.col("words"))).alias("at"))
     base = base.select("id", "h", "n", F.size("at").cast("long").alias("n_base"), F.array_min("at.i").cast("long").alias("first_word"), F.array_max("at.i").cast("long").alias("last_word"), F.array_distinct("at.label").alias("bl"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("c"))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("n", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("bl", "array<string>"))]
-    met = matching_blocks(docs, templates, threshold).select("id", "h", "label", "containment")
+    met = matching_blocks(docs, templates, threshold, strict).select("id", "h", "label", "containment")
     if wrapped:
-        met = met.unionByName(wrapped_blocks(docs, templates, threshold))
+        met = met.unionByName(wrapped_blocks(docs, templates, threshold, strict))
     found = met.groupBy("id", "h", "label").agg(F.max("containment").alias("c")).select("id", "h", *none, "label", "c")
     # labels are as many as templates at most, so each group is small
     out = base.unionByName(found).groupBy("id", "h").agg(
@@ -136,7 +145,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True)
+    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True, strict=True)
 
 
 def _oracle() -> str:
