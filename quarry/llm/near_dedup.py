@@ -2,8 +2,9 @@
 
 A sketch has M registers; register i is floor(1 - log_B(x)), cut to 16 bits, of the smallest x that the set's elements have
 in the i-th exponential hash: exponentially spaced truncated minima, which merge by the larger register.  Texts of equal
-sets are one class, named by 64 bits of its signature; its smallest (id, text hash) says where its text is.  Registers in bands of ROWS put classes into buckets; two sets of similarity
-0.85 share none of BANDS buckets with probability below 4e-7.
+sequences of words (by a 128-bit cryptographic digest) are one class; its smallest (id, text hash) says where its text is.
+Registers in bands of ROWS put classes into buckets; two sets of similarity 0.85 share none of BANDS buckets with probability
+below 4e-7.  Hashes of words and shingles only find candidates: every link is confirmed on the words themselves.
 
 Pairs aren't enumerated within a bucket.  Each bucket compares its members with one hub, the member that shares the most
 buckets with others.  Pairs are estimated jointly by maximum likelihood from both sketches and sizes, and those not far
@@ -15,6 +16,7 @@ comparison each.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._bytes import _ODD, hashed_words, mix, shingles
+from quarry.llm._bytes import FOLD, distinct, exact_sets, shingles, spelled_words
 from quarry.llm._shared import arrow_rows, sized, staged, table
 from quarry.workers import ship
 
@@ -59,21 +61,21 @@ def mix_light(sets: np.ndarray, i: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, sig_a, sig_b (128 bits of the set), registers (binary) for each row of docs."""
+    """doc_id, text_hash, n_shingles, digest (of the folded words in their order), registers (binary) for each row of docs."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, words, at in hashed_words(b.column(1)):
+            for i, j, words, at, first, lens, data in spelled_words(b.column(1)):
                 sets, offs = shingles(words, at, size)
                 regs = sketch(sets, offs)
-                one, two = np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ _ODD[40]), dtype=np.uint64)]), np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ _ODD[41]), dtype=np.uint64)])
-                sums = [(c[offs[1:]] - c[offs[:-1]]).view(np.int64) for c in (one, two)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(offs)), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "text_hash", "n_shingles", "sig_a", "sig_b", "registers"])
+                ends, raw = (first + lens).tolist(), data.tobytes().translate(FOLD)
+                digests = [hashlib.blake2b(b" ".join(raw[first[lo] : ends[hi - 1]].split()) if hi > lo else b"", digest_size=16).digest() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(offs)), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "registers"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    return own.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, sig_a bigint, sig_b bigint, registers binary")
+    return own.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, digest binary, registers binary")
 
 
 def estimate(more: np.ndarray, less: np.ndarray, same: np.ndarray, n: np.ndarray, m: np.ndarray, steps: int = 200) -> np.ndarray:
@@ -111,7 +113,7 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 def _texts(docs: DataFrame, needs: DataFrame) -> DataFrame:
     """needs (with place_id and place_hash of a class) and the class's text; once for each row that repeats it."""
-    own = docs.where("doc_id is not null").select(F.col("doc_id").alias("place_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("place_hash"), "text")
+    own = docs.where("doc_id is not null").select(F.col("doc_id").alias("place_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("place_hash"), F.col("text").cast("binary").alias("text"))
     return own.join(needs, ["place_id", "place_hash"])
 
 
@@ -128,20 +130,18 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, size: int, pe
     texts = texts.repartition("c", "salt").sortWithinPartitions("c", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, held = None, np.zeros(0, np.uint64)
+        hub, held, names = None, np.zeros((0, size), np.int32), {}
         for b in batches:
-            cs, kinds, ids = (b.column(i).to_pylist() for i in (0, 2, 3))
             out = []
-            for i, j, words, at in hashed_words(b.column(4)):
-                sets, offs = shingles(words, at, size)
-                for k in range(i, j):
-                    own = sets[offs[k - i] : offs[k - i + 1]]
-                    if kinds[k] == 0:
-                        hub, held = cs[k], own
-                    elif hub == cs[k]:
-                        both = len(np.intersect1d(own, held, assume_unique=True))
-                        if 100 * both >= percent * (len(own) + len(held) - both) > 0:
-                            out.append((ids[k], cs[k]))
+            for c, kind, rep, text in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if kind == 0:
+                    names = {}
+                    hub, held = c, exact_sets([text], size, names)[0]
+                elif hub == c:
+                    own = exact_sets([text], size, names)[0]
+                    both = len(own) + len(held) - len(distinct(np.concatenate([own, held]))[1])
+                    if 100 * both >= percent * (len(own) + len(held) - both) > 0:
+                        out.append((rep, c))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["x", "c"])
 
     return texts.mapInArrow(run, "x bigint, c bigint")
@@ -189,12 +189,9 @@ def _rest(known: DataFrame, docs: DataFrame, places: DataFrame, size: int, perce
 
     def compare(group: list) -> pa.RecordBatch:
         own, rep, label = (np.array([g[i] for g in group]) for i in (3, 4, 5))
-        sets, offs = [], [np.zeros(1, np.int64)]
-        for _, _, words, at in hashed_words(pa.array([g[6] for g in group], pa.large_string())):
-            s, o = shingles(words, at, size)
-            sets.append(s), offs.append(o[1:] + offs[-1][-1])
-        n = np.diff(np.concatenate(offs))
-        both = intersections(np.concatenate(sets), n)
+        rows, ends = exact_sets([g[6] for g in group], size, {})
+        n = np.diff(ends)
+        both = intersections(distinct(rows)[0], n)
         linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0) & (label[:, None] < label[None, :])
         if group[0][1] != group[0][2]:
             linked &= own[:, None] != own[None, :]
@@ -235,7 +232,7 @@ def intersections(sets: np.ndarray, n: np.ndarray, columns: int = 4096) -> np.nd
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: doc_id, text_hash (xxhash64), n_shingles, component_id, kept.
 
-    Null, empty and blank texts have no shingles and are linked with nothing.  Rows of one text (or one set) are one node;
+    Null, empty and blank texts have no shingles and are linked with nothing.  Rows of the same words in the same order are one node;
     rows that share an id and no text are different ones.  A component's id is the smallest of its rows' ids, and of rows of
     that id those of one text (the smallest hash) are kept.  Rows without an id belong to the component of their class, if another row of it
     has an id, else they have none (null) and are kept.  Other columns are not read.  docs.doc_id must be a number."""
@@ -244,7 +241,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         drawn = staged(sketches(docs, size), "op6-sketches")
     full = drawn.where("n_shingles > 0")
     least_row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("place")
-    classes = staged(full.groupBy("sig_a", "sig_b").agg(least_row, F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).withColumn("rep", F.xxhash64("sig_a", "sig_b")), "op6-classes")
+    # a class's number is written with it, so that it stays; no two classes have the same
+    classes = staged(full.groupBy("digest").agg(least_row, F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).withColumn("rep", F.monotonically_increasing_id()), "op6-classes")
     reps = classes.where("place is not null").select("rep", "n", "registers")
     places = classes.where("place is not null").select("rep", F.col("place.doc_id").alias("place_id"), F.col("place.text_hash").alias("place_hash"))
     bands = F.array(*[F.xxhash64(F.lit(j), F.substring("registers", 1 + 2 * ROWS * j, 2 * ROWS)) for j in range(BANDS)])
@@ -274,9 +272,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         edges = edges.unionByName(staged(_rest(_several(rows, labels).where("k > 3"), docs, places, size, percent), "op6-found"))
     labels = components(edges)
     first = labels.join(classes.select(F.col("rep").alias("node"), "place"), "node").groupBy("label").agg(F.min("place").alias("best"))
-    out = classes.select("sig_a", "sig_b", "rep", "place").join(labels.join(first, "label").select(F.col("node").alias("rep"), "best"), "rep", "left")
-    out = out.select("sig_a", "sig_b", F.coalesce("best", "place").alias("best"))
-    joined = full.select("doc_id", "text_hash", "n_shingles", "sig_a", "sig_b").join(out, ["sig_a", "sig_b"])
+    out = classes.select("digest", "rep", "place").join(labels.join(first, "label").select(F.col("node").alias("rep"), "best"), "rep", "left")
+    out = out.select("digest", F.coalesce("best", "place").alias("best"))
+    joined = full.select("doc_id", "text_hash", "n_shingles", "digest").join(out, "digest")
     kept = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
     joined = joined.select("doc_id", "text_hash", "n_shingles", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
     return joined.unionByName(drawn.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
