@@ -39,9 +39,10 @@ BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33
 
 
 class IdPool:
-    """Token ids of words, by the word's 64-bit hash: of code c they are ids[starts[c] : starts[c] + lengths[c]].
+    """Token ids of words, found by the word's 64-bit hash: of code c they are ids[starts[c] : starts[c] + lengths[c]].
 
-    Hashes are held sorted, 12 bytes each, and 20 bytes with them.  A new word of Latin letters, with or without one mark at its end, is put together
+    Hashes are held sorted, and the words with them: each word of a text is compared with the one it was found as, byte by byte, and
+    a block in which one differs is encoded word by word without hashes.  A new word of Latin letters, with or without one mark at its end, is put together
     from the ids of its letters in lower case, merged without the tokenizer's splitting, and of the mark; any other is encoded whole.
     Beyond MOST_WORDS or MOST_CORES what is held is forgotten, and encoded again when met again."""
 
@@ -59,6 +60,7 @@ class IdPool:
     def forget(self) -> None:
         self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.lengths, self.starts, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.sizes, self.spots, self.spelled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def spell(self, word: str) -> bytes:
         core, mark = word.lower(), b""
@@ -73,6 +75,14 @@ class IdPool:
             found = self.cores[core] = self.merge(core)
         return found + mark
 
+    def agree(self, own: np.ndarray, first: np.ndarray, lens: np.ndarray, data: np.ndarray) -> bool:
+        """Whether each word is that of its code."""
+        if not (self.sizes[own] == lens).all():
+            return False
+        at = np.cumsum(lens) - lens
+        spot = np.arange(int(lens.sum()))
+        return bool((data[np.repeat(first - at, lens) + spot] == self.spelled[np.repeat(self.spots[own] - at, lens) + spot]).all())
+
     def tokens(self, words: np.ndarray, offs: np.ndarray, first: np.ndarray, lens: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts, and each text's first and end in them."""
         if not len(words):
@@ -86,7 +96,11 @@ class IdPool:
         if len(new):
             lo = first[spot[new]]
             raw = data.tobytes()
-            found = [self.spell(raw[a:b].decode()) for a, b in zip(lo.tolist(), (lo + lens[spot[new]]).tolist(), strict=True)]
+            texts = [raw[a:b] for a, b in zip(lo.tolist(), (lo + lens[spot[new]]).tolist(), strict=True)]
+            found = [self.spell(x.decode()) for x in texts]
+            size = lens[spot[new]]
+            self.spots, self.sizes = np.concatenate([self.spots, len(self.spelled) + np.cumsum(size) - size]), np.concatenate([self.sizes, size])
+            self.spelled = np.concatenate([self.spelled, np.frombuffer(b"".join(texts), np.uint8)])
             n = np.fromiter(map(len, found), np.int32, len(found)) // 4
             codes = np.arange(len(self.lengths), len(self.lengths) + len(new), dtype=np.int32)
             self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(n) - n).astype(np.int32)])
@@ -94,6 +108,14 @@ class IdPool:
             self.codes, self.keys = np.insert(self.codes, at[new], codes), np.insert(self.keys, at[new], keys[new])
             at = np.searchsorted(self.keys, keys)
         own = self.codes[at][which]
+        if not self.agree(own, first, lens, data):
+            raw, found = data.tobytes(), {}
+            spelled = [raw[a:b] for a, b in zip(first.tolist(), (first + lens).tolist(), strict=True)]
+            for x in spelled:
+                if x not in found:
+                    found[x] = self.spell(x.decode())
+            ends = np.cumsum([0, *(len(found[x]) // 4 for x in spelled)])
+            return np.frombuffer(b"".join([found[x] for x in spelled]), "<u4"), ends[offs]
         n = self.lengths[own].astype(np.int64)
         ends = np.cumsum(n)
         ids = self.ids[np.arange(int(ends[-1])) + np.repeat(self.starts[own] - (ends - n), n)]
