@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm._bytes import spelled_words
 from quarry.llm._shared import arrow_rows, staged, table
-from quarry.llm.tokens import vocabulary
+from quarry.llm.tokens import BYTE_LEVEL, vocabulary
 from quarry.workers import ship
 
 CAPACITY, END = 2048, 0
@@ -34,8 +34,6 @@ MOST_WORDS, MOST_CORES = 1_000_000, 150_000
 #: Letters that stay themselves in the tokenizer's normal form, in lower case; marks that it splits off a word's end.
 LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 MARKS = ".,;:!?"
-#: Bytes that byte-level vocabularies write as other characters: those that aren't printable, from 256 on.
-BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
 class IdPool:

@@ -119,7 +119,8 @@ def test_classifier(spark, odd):
 def library():
     from tokenizers import Tokenizer
 
-    return lambda text: Tokenizer.from_file(tokens.vocabulary()).encode(text or "", add_special_tokens=False).ids
+    encode = Tokenizer.from_file(tokens.vocabulary()).encode
+    return lambda text: encode(text or "", add_special_tokens=False).ids
 
 
 def test_token_counts(spark, odd, library):
@@ -129,19 +130,39 @@ def test_token_counts(spark, odd, library):
     assert all(r["over_limit"] == (r["n_tokens"] > 2048) for r in got) and tokens.token_counts(docs(spark, [])).count() == 0
 
 
-def test_state_maps_compose(library):
+def odd_texts(rng, n):
+    bits = ["a", "b", "e", "s", "t", "th", "in", "É", ".", "'s", "'re", "'", " ", "\n", "\u3000", "<|endoftext|>", "12", "\x1c", "\u0301", "漢字", "İ", "Σ", "ß", "ς", "'ll", "l", "r", "v", "!!", "😀", "aaaa", "--", "½", "٣", "ǅ", "Å"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 16, 256])
+def test_transducer_agrees_with_the_library(library, chunk):
+    fst, rng = tokens.transducer(tokens.vocabulary()), random.Random(chunk)
+    texts = [*odd_texts(rng, 150), "a" * 700, "ab" * 300 + "'re", "".join(rng.choice("etaoinshrdlu") for _ in range(2000)), None, "", " \n"]
+    texts += ["".join(rng.choices("etaoinshrdlu'. ", k=rng.randrange(60))) for _ in range(150)]
+    assert tokens.count_tokens(texts, fst, chunk).tolist() == [len(library(t)) for t in texts]
+    assert tokens.count_tokens(texts[:40], fst, chunk).tolist() == [tokens.count_tokens([t], fst, chunk)[0] for t in texts[:40]]
+
+
+def test_transducer_forgets(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_STATES", 50)
+    monkeypatch.setattr(tokens, "MOST_PAIRS", 20)
+    monkeypatch.setattr(tokens, "BLOCK", 100)
+    fst, texts = tokens.Transducer(tokens.vocabulary()), odd_texts(random.Random(9), 200)
+    assert tokens.count_tokens(texts, fst).tolist() == [len(library(t)) for t in texts]
+
+
+def test_transducer_spells_the_vocabulary():
     fst = tokens.transducer(tokens.vocabulary())
-    rng = random.Random(5)
-    for _ in range(60):
-        text = "".join(rng.choice(["a", "b", "É", ".", "'s", " ", "\n", "　", "<|endoftext|>", "12", "\x1c"]) for _ in range(rng.randrange(40)))
-        for chunk in (1, 2, 5, 16):
-            assert tokens.count_tokens(text, fst, chunk) == len(library(text))
-        maps = [tokens.state_map(text[i : i + 3], fst) for i in range(0, len(text), 3)]
-        for i, m in enumerate(tokens.scan(maps, fst)):  # a scan's i-th map is that of the first i + 1 chunks
-            whole = maps[0]
-            for x in maps[1 : i + 1]:
-                whole = tokens.compose(whole, x, fst)
-            assert m == whole
+    words = [w for t in list(fst.merges.vocabulary)[512::97] if (w := t.removesuffix("</w>")).isascii() and w.isalpha()]
+    assert len(words) > 300
+    got = tokens.count_tokens(words, fst)
+    assert [int(n) for n, w in zip(got, words, strict=True) if w + "</w>" in fst.merges.vocabulary] == [1] * sum(w + "</w>" in fst.merges.vocabulary for w in words)
+
+
+def test_token_counts_of_other_ids(spark):
+    df = spark.createDataFrame([("x", "a b"), ("x", None), (None, "c")], "doc_id string, text string")
+    assert sorted([tuple(r) for r in tokens.token_counts(df).collect()], key=str) == sorted([("x", 3, 2, False), ("x", 0, 0, False), (None, 1, 1, False)], key=str)
 
 
 def packed(spark, rows, library, capacity):
