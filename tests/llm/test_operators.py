@@ -105,11 +105,39 @@ def test_classifier(spark, odd):
     for i in held[:5]:  # exact neighbours
         near = np.argsort(-cos[i - 1000], kind="stable")[: quality_classifier.NEIGHBOURS]
         w = np.maximum(cos[i - 1000][near], 1e-3) ** quality_classifier.POWER
-        assert score[i] == pytest.approx((w * model.votes[near]).sum() / w.sum(), abs=1e-3)
+        share = (w * model.votes[near]).sum() / w.sum()
+        assert score[i] == pytest.approx(1 / (1 + math.exp(-np.clip(model.curve[0] * math.log((share + 0.01) / (1.01 - share)) + model.curve[1], -30, 30))), abs=2e-3)
     none = quality_classifier.fit(df, labels.limit(0))
     assert {r["__score"] for r in quality_classifier.with_scores(df, none).collect()} == {0.5}
     assert quality_classifier.with_scores(docs(spark, []), model).count() == 0
     assert quality_classifier.fit(df, labels, sample=7).votes.shape == (7,)
+    many = df.unionByName(docs(spark, [(1001, f"other text {k}") for k in range(20)]))  # ids that repeat
+    assert quality_classifier.fit(many, labels, sample=7).votes.shape == (7,)
+
+
+def test_terms_of_blocks():
+    rng = random.Random(14)
+    texts = [None, "", "one", "a a a a", "é漢 b", *[prose(rng, rng.randrange(60)) for _ in range(600)], "w " * 300_000]
+    whole = {}
+    for i, j, x in quality_classifier.terms(__import__("pyarrow").array(texts)):
+        whole.update(zip(range(i, j), x, strict=True))
+    assert sorted(whole) == list(range(len(texts)))
+    for k, t in enumerate(texts):
+        size, n = len((t or "").encode()), len((t or "").split())
+        assert whole[k].sum() == size + max(0, size - 1) + max(0, size - 2) + n + max(0, n - 3)
+        if k < 50:
+            assert (whole[k] == next(quality_classifier.terms(__import__("pyarrow").array([t], "string")))[2]).all()
+
+
+def test_held_out_accuracy(spark):
+    """On the smallest labelled tables, with and without the patterns of recurrence."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    df, labels = read("documents").select("doc_id", "text"), read("labels")
+    for patterns, least in ((True, 0.95), (False, 0.9)):
+        model = quality_classifier.fit(df, labels, patterns=patterns)
+        held = df.join(labels, "doc_id").where(quality_classifier.held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).collect()
+        x = np.concatenate([t for _, _, t in quality_classifier.terms(__import__("pyarrow").array([r["text"] for r in held]), patterns)])
+        assert np.mean((model.score(x) >= quality_classifier.THRESHOLD) == np.array([r["quality"] == 1 for r in held])) >= least
 
 
 # --- 3, 10 -------------------------------------------------------------------------------------------------------------
