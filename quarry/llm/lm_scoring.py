@@ -18,6 +18,9 @@ A bucket holds some BUCKET words; their number follows the corpus.  Words that m
 counted first and broadcast; where w1 is one of them, trigrams are dealt by w1 and w2, so that no context fills a bucket.  Such
 a bucket lacks c(w0 w1): a trigram that another document has becomes a look-up of w0 w1 in tables of pairs, which the buckets
 of w0 leave.  N-grams travel as packed arrays, hot words in two bytes, for rows of their own would take more disk than the input.
+
+lm_scores_by_rows is the same as plain joins of count tables, with the words themselves for names: exact whatever hashes do, and
+split by Spark where an n-gram is hot; it moves several times as much.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._bytes import hashed_words, mix
-from quarry.llm._shared import table
+from quarry.llm._shared import ascii_lower, space_words, staged, table
 from quarry.workers import ship
 
 ALPHA, HOT, BUCKET = 0.4, 2048, 1_000_000
@@ -223,7 +226,7 @@ class Sums:
             old[: len(new)] += new
 
     def rows(self) -> list[tuple]:
-        out = [(-1 - uid % 4096, uid, SUMS, v.astype("<f4").tobytes()) for uid, v in self.by.items()]
+        out = [(-1 - uid % 4096, uid, SUMS, v.astype("<f8").tobytes()) for uid, v in self.by.items()]
         self.by, self.size = {}, 0
         return out
 
@@ -422,7 +425,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif own != uid:
                 raise ValueError(f"sums of batch {own}, which has no documents")
             else:
-                part = np.frombuffer(blob, "<f4")
+                part = np.frombuffer(blob, "<f8")
                 total[: len(part)] += part
     if head is not None:
         yield out(head, total)
@@ -444,5 +447,51 @@ def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     return sums.mapInArrow(_documents, "doc_id bigint, n_words bigint, score double")
 
 
+def lm_scores_by_rows(docs: DataFrame) -> DataFrame:
+    """lm_scores of order 3, in DataFrame functions only: exploded n-grams joined to their count tables, summed by document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), space_words(ascii_lower(F.coalesce("text", F.lit("")))).alias("words"))
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "op9-rows")
+    each = rows.select("row", "words", F.posexplode("words").alias("i", "w2"))
+    each = each.select("row", "w2", F.when(F.col("i") > 0, F.get("words", F.col("i") - 1)).alias("w1"), F.when(F.col("i") > 1, F.get("words", F.col("i") - 2)).alias("w0"))
+    # an n-gram once a document, with its number: counts are summed before they are shuffled
+    own = staged(each.groupBy("row", "w0", "w1", "w2").agg(F.count("*").alias("n")), "op9-ngrams")
+    total = lambda *by: own.groupBy(*by).agg(F.sum("n").alias("c")).where(" and ".join(f"{x} is not null" for x in by))
+    c1 = staged(total("w2").withColumnRenamed("w2", "w"), "op9-words")
+    n = c1.agg(F.sum("c")).first()[0] or 1
+    c2, c3 = staged(total("w1", "w2"), "op9-pairs"), total("w0", "w1", "w2")
+    grams = own.where("w1 is not null").join(c3.withColumnRenamed("c", "c3"), ["w0", "w1", "w2"], "left")
+    context = F.col("w0").isNotNull()
+    seen = context & (F.col("c3") > F.col("n"))
+    grams = grams.select("row", "w0", "w1", "w2", "n", seen.alias("seen"), F.when(seen, F.log10(F.col("c3") - F.col("n"))).when(context, F.log10(F.lit(ALPHA))).otherwise(0.0).alias("s"))
+    met = grams.where("seen").join(c2.select(F.col("w1").alias("w0"), F.col("w2").alias("w1"), F.col("c").alias("d")), ["w0", "w1"]).select("row", (F.col("n") * (F.col("s") - F.log10("d"))).alias("s"))
+    rest = grams.where("not seen").groupBy("row", "w1", "w2").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("s")).alias("s"))
+    # a pair's own count is that of the whole document, in whatever contexts
+    pairs = own.where("w1 is not null").groupBy("row", "w1", "w2").agg(F.sum("n").alias("own"))
+    rest = rest.join(pairs, ["row", "w1", "w2"]).join(c2, ["w1", "w2"])
+    again = F.col("c") > F.col("own")
+    two = rest.where(again).join(c1.select(F.col("w").alias("w1"), F.col("c").alias("d")), "w1").select("row", (F.col("s") + F.col("n") * F.log10((F.col("c") - F.col("own")) / F.col("d"))).alias("s"))
+    one = rest.where(~again).join(c1.select(F.col("w").alias("w2"), F.col("c").alias("d")), "w2").select("row", (F.col("s") + F.col("n") * F.log10(ALPHA * F.col("d") / n)).alias("s"))
+    sums = met.unionByName(two).unionByName(one).groupBy("row").agg(F.sum("s").alias("s"))
+    size = F.size("words").cast("long")
+    return rows.join(sums, "row", "left").select("doc_id", size.alias("n_words"), F.when(size > 1, F.col("s") / (size - 1)).alias("score"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"), ORDER)
+    """Scores are rounded to six digits, so that they don't depend on the order of sums."""
+    return lm_scores(table(spark, sf_dir, "documents"), ORDER).withColumn("score", F.round("score", 6))
+
+
+ORACLE = rf"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+     e AS (SELECT r, w[i] AS w2, CASE WHEN i > 1 THEN w[i - 1] END AS w1, CASE WHEN i > 2 THEN w[i - 2] END AS w0 FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM t)),
+     c1 AS (SELECT w2 AS w, count(*) AS c FROM e GROUP BY ALL),
+     c2 AS (SELECT w1, w2, count(*) AS c FROM e WHERE w1 IS NOT NULL GROUP BY ALL), o2 AS (SELECT r, w1, w2, count(*) AS o FROM e WHERE w1 IS NOT NULL GROUP BY ALL),
+     c3 AS (SELECT w0, w1, w2, count(*) AS c FROM e WHERE w0 IS NOT NULL GROUP BY ALL), o3 AS (SELECT r, w0, w1, w2, count(*) AS o FROM e WHERE w0 IS NOT NULL GROUP BY ALL),
+     s AS (SELECT e.r, CASE WHEN c3.c > o3.o THEN log10((c3.c - o3.o) / d2.c)
+                       ELSE CASE WHEN e.w0 IS NULL THEN 0 ELSE log10({ALPHA}) END + CASE WHEN c2.c > o2.o THEN log10((c2.c - o2.o) / d1.c) ELSE log10({ALPHA} * u.c / (SELECT sum(c) FROM c1)) END END AS s
+           FROM e JOIN c2 USING (w1, w2) JOIN o2 USING (r, w1, w2) JOIN c1 AS d1 ON d1.w = e.w1 JOIN c1 AS u ON u.w = e.w2
+           LEFT JOIN c3 ON c3.w0 = e.w0 AND c3.w1 = e.w1 AND c3.w2 = e.w2 LEFT JOIN o3 ON o3.r = e.r AND o3.w0 = e.w0 AND o3.w1 = e.w1 AND o3.w2 = e.w2
+           LEFT JOIN c2 AS d2 ON d2.w1 = e.w0 AND d2.w2 = e.w1),
+     m AS (SELECT r, sum(s) AS s FROM s GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN len(w) > 1 THEN round(s / (len(w) - 1), 6) END AS score FROM t LEFT JOIN m USING (r)
+"""
