@@ -16,4 +16,4 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op1_decontamination": decontamination.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op5_chat_format": chat_format.ORACLE, "op7_license_scan": license_scan.ORACLE, "op8_warc": warc.ORACLE, "op9_lm_scoring": lm_scoring.ORACLE}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op5_chat_format": chat_format.ORACLE, "op6_near_dedup": near_dedup.ORACLE, "op7_license_scan": license_scan.ORACLE, "op8_warc": warc.ORACLE, "op9_lm_scoring": lm_scoring.ORACLE}

@@ -7,9 +7,10 @@ filter; a block's tokens outside all templates count for nothing and are left ou
 (length filter), and what follows the first common token on both sides must still give alpha (positional filter).
 Survivors are compared whole, so that the join is exact.
 
-Statements that are wrapped over several lines are met by a second kind of blocks: all runs of consecutive words, whatever line
-they stand in, 1 / THRESHOLD times as long as the template.  Every word starts one, so each statement lies whole in a block.
-Only texts of several lines that hold enough of a template's words somewhere are looked at this way.
+Statements that are wrapped over several lines, and whole license texts (NOTICES), are met by a second kind of blocks: all runs of
+consecutive words, whatever line they stand in, 1 / THRESHOLD times as long as the template.  Every word starts one, so each
+statement lies whole in a block.  Only texts of several lines that hold enough of a template's words somewhere are looked at
+this way.
 
 Four passes over documents, none of which shuffles a text: token frequencies (of the templates' words only, summed before
 the shuffle), base phrases, lines, and runs of words.  The templates' tables are of a fixed size and broadcast.
@@ -42,8 +43,18 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+#: Whole license texts, or the whole notice that a license asks for, which stand on several lines.
+NOTICES = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
 #: Words that tell a license from its siblings, by label; a template that has them isn't met without.
-DISTINGUISHING = {"mit": ["mit"], "apache-2.0": ["apache", "2"], "gpl-3.0": ["3"], "lgpl": ["lesser"], "cc-by-nc-4.0": ["nc", "4"], "cc-by-sa-4.0": ["sharealike", "4"], "mpl-2.0": ["mozilla", "2"]}
+DISTINGUISHING = {"mit": ["mit"], "apache-2.0": ["apache", "2"], "gpl-3.0": ["3"], "lgpl": ["lesser"], "cc-by-nc-4.0": ["nc", "4"], "cc-by-sa-4.0": ["sharealike", "4"], "mpl-2.0": ["mozilla", "2"], "isc": ["fee"]}
 
 
 def template_sets(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, list[str]]]:
@@ -126,7 +137,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     score is 1 with a base phrase, else the best containment that meets the threshold, else 0.  Null and empty texts have
     no words and no labels ('').  Equal rows give equal results, one each; rows of one id and other texts are kept apart.
-    Null ids count as an id.  wrapped: statements that line breaks cut count too.  strict: only
+    Null ids count as an id.  wrapped: statements that line breaks cut, and NOTICES, count too.  strict: only
     with the words that tell a license from its siblings.  Other columns are not read."""
     base = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), pinned(letter_words(F.col("text"))).alias("words"))
     base = base.select("id", "h", F.size("words").cast("long").alias("n"), pinned(_base_places(F.col("words"))).alias("at"))
@@ -134,7 +145,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     none = [F.lit(None).cast(t).alias(n) for n, t in (("n", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("bl", "array<string>"))]
     met = matching_blocks(docs, templates, threshold, strict).select("id", "h", "label", "containment")
     if wrapped:
-        met = met.unionByName(wrapped_blocks(docs, templates, threshold, strict))
+        met = met.unionByName(wrapped_blocks(docs, templates + NOTICES, threshold, strict))
     found = met.groupBy("id", "h", "label").agg(F.max("containment").alias("c")).select("id", "h", *none, "label", "c")
     # labels are as many as templates at most, so each group is small
     out = base.unionByName(found).groupBy("id", "h").agg(
@@ -152,15 +163,26 @@ def _oracle() -> str:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     phrases = ", ".join(f"({p.split()!r}, {label!r})" for p, label in PHRASES.items())
-    sets = ", ".join(f"({label!r}, {s!r})" for label, s in template_sets())
+    def sets(templates: list[tuple[str, str]]) -> str:
+        rows = []
+        for (label, text), (_, own) in zip(templates, template_sets(templates), strict=True):
+            span = math.ceil(len([w for w in re.split(BREAKS, text.lower()) if w]) / THRESHOLD - 1e-9)
+            rows.append(f"({label!r}, {own!r}, {math.ceil(THRESHOLD * len(own) - 1e-9)}, {span}, {_needed(label, own, True)!r}::VARCHAR[])")
+        return f"(SELECT * FROM (VALUES {', '.join(rows)}) AS v(label, ts, alpha, span, needed))"
+
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all({lower}, {word}) AS w FROM documents),
      p AS (SELECT * FROM (VALUES {phrases}) AS v(ws, label)),
      places AS (SELECT doc_id, i - 1 AS i, label FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w), p WHERE w[i:i + len(ws) - 1] = ws),
      pb AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM places GROUP BY doc_id),
-     t AS (SELECT * FROM (VALUES {sets}) AS v(label, ts)),
+     t AS {sets(TEMPLATES)},
+     t2 AS {sets(TEMPLATES + NOTICES)},
      blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split({lower}, chr(10))), {word})) AS b FROM documents),
-     met AS (SELECT doc_id, label, max(len(list_intersect(b, ts)) / len(ts)) AS c FROM blocks, t WHERE len(list_intersect(b, ts)) >= ceil({THRESHOLD} * len(ts) - 1e-9) GROUP BY ALL),
+     lined AS (SELECT doc_id, label, len(list_intersect(b, ts)) / len(ts) AS c FROM blocks, t WHERE len(list_intersect(b, ts)) >= alpha AND list_has_all(b, needed)),
+     wide AS (SELECT doc_id, ws AS w, t2.* FROM (SELECT doc_id, regexp_extract_all({lower}, {word}) AS ws FROM documents WHERE contains(text, chr(10))), t2 WHERE len(list_intersect(ws, ts)) >= alpha),
+     runs AS (SELECT doc_id, label, ts, alpha, needed, list_intersect(w[i:i + span - 1], ts) AS b FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM wide) WHERE list_contains(ts, w[i])),
+     wrapped AS (SELECT doc_id, label, len(b) / len(ts) AS c FROM runs WHERE len(b) >= alpha AND list_has_all(b, needed)),
+     met AS (SELECT doc_id, label, max(c) AS c FROM (SELECT * FROM lined UNION ALL SELECT * FROM wrapped) GROUP BY ALL),
      labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM met UNION SELECT doc_id, label FROM places) GROUP BY doc_id),
      bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),
      best AS (SELECT doc_id, max(c) AS c FROM met GROUP BY doc_id)

@@ -261,10 +261,15 @@ def test_quality_base(spark, odd):
 def test_quality_divergence(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 150), "en") for i in range(60)] + [(100, "BUY NOW!! " * 3 + prose(rng, 100).upper().replace(" ", "!! "), "en"), (101, prose(rng, 150).replace(" ", "$$$ "), "en"), (102, prose(rng, 150), None)]
-    df = quality_rules.with_quality(docs(spark, rows))
+    df = quality_rules.with_quality(docs(spark, rows), quality_rules.references(docs(spark, rows)))
     assert df.columns == [*docs(spark, []).columns, "__quality"]
     got = {r["doc_id"]: r["__quality"] for r in df.collect()}
     assert all(got[i]["kept"] for i in range(60)) and got[102]["kept"] and got[102]["word_distance"] is None and not got[100]["kept"] and not got[101]["kept"]
+    plain = "the house stood on a hill and it was old, with a garden in which the children of that village came to play for hours. "
+    varied = " ".join(" ".join([w, f"x{chr(97 + i % 26)}y"][: 1 + (i % 4 == 0)]) for i, w in enumerate((plain * 5).split()))
+    rows = [(1, varied, "en"), (2, varied.upper(), "en"), (3, " ".join(f"{w}$$$" for w in varied.split()), "en"), (4, " ".join(f"word{chr(97 + i % 26)}x" for i in range(150)), "en"), (5, plain, None)]
+    own = {r["doc_id"]: r["__quality"] for r in quality_rules.with_quality(docs(spark, rows)).collect()}  # by the constants, whatever else is there
+    assert own[1]["char_distance"] < 0.2 and own[1]["word_distance"] < 0.4 and own[5]["kept"] and not any(own[i]["kept"] for i in (2, 3, 4))
     p, q = np.array([1, 2, 0, 5]) / 8, np.array([0.1, 0.2, 0.3, 0.4])
     kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b, strict=True) if x)
     m = (p + q) / 2

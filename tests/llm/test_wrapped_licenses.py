@@ -14,6 +14,19 @@ modification, are permitted provided that the following conditions are met:"""
 MPL = """# This Source Code Form is subject to the terms of the Mozilla Public
 # License, v. 2.0. If a copy of the MPL was not distributed with this
 # file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND ACME DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS."""
+
+
+def test_whole_notices(spark, tmp_path):
+    spark.createDataFrame([(1, "Copyright ACME\n" + ISC), (2, ISC.replace("fee", "charge")), (3, ISC.split("THE SOFT")[0])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.op7_license_scan(spark, str(tmp_path)).collect()}
+    assert got[1][0] == "isc" and 0.8 <= got[1][1] < 1 and got[2] == got[3] == ("", 0.0)
 
 
 def test_wrapped_statements(spark, tmp_path):
