@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +28,19 @@ class Engine:
 
     def index(self, root: str, project: str = PROJECT, mode: str = "sync", force: bool = False) -> dict:
         """Indexes a source tree. sync: changed files are replaced and vanished ones removed; append: only new chunk ids are added."""
-        began, before = time.time(), self.store.chunks()
+        began, mine = time.time(), self.store.chunks(project)
         files = scan_files(self.spark, root, project)
-        mine, others = before.where(F.col("project") == project), before.where(F.col("project") != project)
         if force:
             mine = mine.limit(0)
         n_before = catalog.list_files(mine).count()
         if mode == "append":
-            after = changes.append_new(before if not force else others, self._chunked(files))
+            after = changes.append_new(mine, self._chunked(files))
         else:
             seen = changes.detect_changes(files, mine)
             touched = seen.where("change <> 'unchanged'").select("project", "path")
             fresh = files.join(touched, ["project", "path"], "left_semi")
-            after = others.unionByName(changes.delete_paths(mine, touched)).unionByName(self._chunked(fresh), allowMissingColumns=True)
-        self.store.replace(after)
+            after = changes.delete_paths(mine, touched).unionByName(self._chunked(fresh), allowMissingColumns=True)
+        self.store.replace(after, [project])
         self.store.register(project, root, datetime.now(UTC).isoformat())
         now = self.store.chunks(project)
         return {"project": project, "files_before": n_before, "files_after": catalog.list_files(now).count(), "chunks": now.count(), "seconds": round(time.time() - began, 1)}
@@ -59,7 +59,8 @@ class Engine:
         """Hits of texts (query_id, text)."""
         chunks = self.store.chunks(project).withColumn("id", F.xxhash64("project", "chunk_id"))
         queries = embedding.embed(texts, self.embedder).select("query_id", "embedding")
-        return fusion.hybrid_search(chunks.drop("embedding"), chunks.select("id", "embedding"), texts, queries, top_k)
+        sparse = self.store.sparse(texts, fusion.OVERFETCH * top_k, project)
+        return fusion.hybrid_search(chunks.drop("embedding"), chunks.select("id", "embedding"), texts, queries, top_k, sparse=sparse)
 
     def projects(self) -> DataFrame:
         return catalog.project_stats(self.store.chunks(), self.store.registry())
@@ -83,7 +84,7 @@ class Engine:
 
         rows = [(project, p, "upsert" if Path(p).is_file() else "delete", Path(p).read_bytes().decode("utf-8", "ignore") if Path(p).is_file() else None) for p in paths]
         df = self.spark.createDataFrame(rows, "project string, path string, op string, text string")
-        self.store.replace(changes.apply_changes(self.store.chunks(), df, self._chunked))
+        self.store.replace(changes.apply_changes(self.store.chunks(project), df, self._chunked), [project])
 
     def health(self) -> DataFrame:
         """check, ok, detail."""
@@ -98,5 +99,5 @@ class Engine:
         check("embedding", lambda: embedding.backend(self.embedder).encode(["x"]).shape)
         check("store", lambda: self.store.chunks().count())
         check("search", lambda: len(self.search("health", 1, None)["results"]))
-        check("writable", lambda: self.store._point("probe", {"ok": True}))
+        check("writable", lambda: self.store._point(f"probe-{uuid.uuid4().hex}", {"number": 1}))
         return self.spark.createDataFrame(rows, "check string, ok boolean, detail string")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,6 +28,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 9
 #: Query terms (query, term, count) that are broadcast at most.
 MOST_TERMS = 100_000
+#: Terms that stand in a filter at most.
+MOST_LITERALS = 2000
 #: Queries that meet the chunks in one pass, and numbers of a block's matrix.
 QUERIES, CELLS = 1024, 2_000_000
 
@@ -52,9 +54,13 @@ def document_frequencies(toks: DataFrame) -> DataFrame:
     return toks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def raw_idf(n: Column, df: Column) -> Column:
+    return F.ln(n - df + 0.5) - F.ln(df + 0.5)
+
+
 def idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df, idf; negative values become EPSILON times the mean of all raw ones."""
-    raw = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    raw = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", raw_idf(F.col("n"), F.col("df")).alias("raw"))
     eps = raw.agg((EPSILON * F.avg("raw")).alias("eps"))
     return raw.crossJoin(F.broadcast(eps)).select("term", "df", F.when(F.col("raw") < 0, F.col("eps")).otherwise(F.col("raw")).alias("idf"))
 
@@ -86,6 +92,25 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.where("score > 0").withColumn("sparse_rank", F.row_number().over(order)).where(F.col("sparse_rank") <= k)
 
 
+def top_stored(posted: DataFrame, terms: DataFrame, n: int, length: int, raw: float | None, queries: DataFrame, k: int) -> DataFrame:
+    """What top(scores(toks, queries), k) gives, from postings (term, id, tf, dl) and terms (term, df) that are stored by term.
+
+    n, length: chunks and their tokens; raw: the mean of all raw idf values, where it is known.  Of the postings only those of the
+    queries' terms are read, by a filter that reaches the files where the terms are MOST_LITERALS at most."""
+    asked = query_terms(queries)
+    names = [r["term"] for r in asked.select("term").distinct().limit(MOST_LITERALS + 1).collect()]
+    few = len(names) <= MOST_LITERALS
+    mine = lambda df: df.where(F.col("term").isin(names)) if few else df.join(asked.select("term").distinct(), "term", "left_semi")
+    if raw is None:
+        merged = terms.groupBy("term").agg(F.sum("df").alias("df"))
+        raw = merged.agg(F.avg(raw_idf(F.lit(n), F.col("df")))).first()[0] or 0.0
+    own = mine(terms).groupBy("term").agg(F.sum("df").alias("df")).withColumn("raw", raw_idf(F.lit(n), F.col("df")))
+    weights = asked.join(own, "term").select("query_id", "term", "qtf", F.when(F.col("raw") < 0, EPSILON * raw).otherwise(F.col("raw")).alias("idf"))
+    met = mine(posted).join(F.broadcast(weights) if few else weights, "term")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(length / n if length else 1.0)))
+    return top(met.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score")), k)
+
+
 def top_batch(toks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """What top(scores(toks, queries), k) gives."""
     ship(toks.sparkSession)

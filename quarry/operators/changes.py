@@ -15,9 +15,11 @@ def parse_changed(lists: DataFrame) -> DataFrame:
 
 
 def coalesce_changes(events: DataFrame) -> DataFrame:
-    """project, path, op, event_time: each path's last event (of equal times the larger id). events: project, path, op, event_time, event_id."""
-    last = events.groupBy("project", "path").agg(F.max(F.struct("event_time", "event_id", "op")).alias("e"))
-    return last.select("project", "path", "e.op", "e.event_time")
+    """Each path's last event (of equal times the larger id) with all its columns but the id. events: project, path, op, event_time, event_id, and others."""
+    keys, order = ["project", "path"], ["event_time", "event_id", "op"]
+    others = [c for c in events.columns if c not in keys + order]
+    last = events.groupBy(*keys).agg(F.max(F.struct(*order, *others)).alias("e"))
+    return last.select(*keys, "e.op", "e.event_time", *[F.col(f"e.{c}") for c in others])
 
 
 def debounce_sessions(events: DataFrame, gap: str = "5 seconds") -> DataFrame:

@@ -29,13 +29,14 @@ def looked_up(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks, "id")
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, texts: DataFrame, queries: DataFrame, top_k: int = 5, k: int = K) -> DataFrame:
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, texts: DataFrame, queries: DataFrame, top_k: int = 5, k: int = K, sparse: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, dense_rank, sparse_rank, rank, search_type, and the chunk's columns.
 
     chunks: id, text, ...; vectors: id, embedding; texts: query_id, text; queries: query_id, embedding.  A query without any
-    sparse hit gets its first top_k dense hits, with 1 - distance as the score."""
+    sparse hit gets its first top_k dense hits, with 1 - distance as the score.  sparse: hits of texts, where an index has them."""
     near = dense.top(vectors, queries, OVERFETCH * top_k)
-    sparse = bm25.top_batch(bm25.tokens(chunks), texts, OVERFETCH * top_k)
+    if sparse is None:
+        sparse = bm25.top_batch(bm25.tokens(chunks), texts, OVERFETCH * top_k)
     fused = fuse(near, sparse, k, top_k)
     has = sparse.select("query_id").distinct()
     both = fused.join(has, "query_id", "left_semi").withColumn("search_type", F.lit("hybrid_rrf"))

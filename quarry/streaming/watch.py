@@ -17,9 +17,12 @@ def apply_batch(store: IndexStore, batch: DataFrame, batch_id: int, source: str,
     """Changed files are chunked and embedded anew.  A batch that was applied before, and comes again after a failure, is left out."""
     if store.applied([source, batch_id]):
         return
-    last = coalesce_changes(batch).select("project", "path", "op", "event_time")
-    texts = batch.select("project", "path", "event_time", "text").dropDuplicates(["project", "path", "event_time"])
-    store.replace(apply_changes(store.chunks(), last.join(texts, ["project", "path", "event_time"]), lambda files: embed(chunks(files), embedder)), [source, batch_id])
+    last = coalesce_changes(batch).persist()
+    try:
+        projects = [r["project"] for r in last.select("project").distinct().collect()]
+        store.replace(apply_changes(store.chunks_of(projects), last, lambda files: embed(chunks(files), embedder)), projects, [source, batch_id])
+    finally:
+        last.unpersist()
 
 
 def stream_changes(changes: DataFrame, store: IndexStore, checkpoint: str, debounce: str = "5 seconds", once: bool = False, embedder: str = "hashing") -> StreamingQuery:
