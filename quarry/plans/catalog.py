@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -359,19 +360,42 @@ def scan_files(s, d):
 def discover_repos(s, d):
     from quarry.sources.tree import discover_repos as discover
 
-    return discover(s, [_sample_tree()])
+    return discover(s, [_sample_tree()]).select(F.col("path").endswith(F.col("name")).alias("named"), F.col("name").startswith("quarry-tree-").alias("sample"))
 
 
 def embed_text(s, d):
-    return embed.embed(corpus(s, d)).select("id", F.size("embedding").alias("dim"), F.round(vec.norm(F.col("embedding")), 4).alias("norm"))
+    first = [F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(f"x{i}") for i in range(4)]
+    return embed.embed(corpus(s, d)).select("id", F.size("embedding").alias("dim"), F.round(vec.norm(F.col("embedding")), 4).alias("norm"), *first)
+
+
+def _base(s, name: str) -> str:
+    """A new folder where all executors see it: below spark.checkpoint.dir, or a temporary one where that is unset and Spark is local."""
+    if shared := s.conf.get("spark.checkpoint.dir", None):
+        return f"{shared}/{name}-{uuid.uuid4().hex}"
+    if not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    base = tempfile.mkdtemp(prefix=f"quarry-{name}-")
+    atexit.register(shutil.rmtree, base, True)
+    return base
 
 
 def _engine(s):
     from quarry.engine import Engine
 
-    base = tempfile.mkdtemp(prefix="quarry-index-")
-    atexit.register(shutil.rmtree, base, True)
-    return Engine(s, base)
+    return Engine(s, _base(s, "index"))
+
+
+def bm25_stored(s, d):
+    """Scores from an index's stored postings, of documents as chunks of their projects."""
+    from quarry.sources.store import CHUNK
+
+    own = files(s, d).withColumns({"chunk_id": F.col("doc_id").cast("string"), "chunk_idx": F.lit(0)})
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in CHUNK.split(", ")) if name not in own.columns]
+    store = _engine(s).store
+    store.replace(own.select("project", "path", "text", "chunk_id", "chunk_idx", *none), [r["project"] for r in own.select("project").distinct().collect()])
+    n = own.count()
+    ids = store.chunks().select(F.xxhash64("project", "chunk_id").alias("id"), F.col("chunk_id").cast("long").alias("doc_id"))
+    return store.sparse(one_text(s), n).join(ids, "id").select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
 
 
 def index_project(s, d):
@@ -389,8 +413,7 @@ def stream_changes(s, d):
     from quarry.sources.store import IndexStore
     from quarry.streaming import watch
 
-    base = tempfile.mkdtemp(prefix="quarry-stream-")
-    atexit.register(shutil.rmtree, base, True)
+    base = _base(s, "stream")
     log = code_events(s, d).select("project", F.concat("path", F.lit(".py")).alias("path"), "op", F.concat(F.lit("x = "), F.col("event_id").cast("string")).alias("text"), F.col("event_time").cast("timestamp").alias("event_time"), "event_id")
     log.write.parquet(f"{base}/log")
     store = IndexStore(s, f"{base}/index")
@@ -400,7 +423,7 @@ def stream_changes(s, d):
 
 _ALL = [
     tokenize, split_lines, chunk_lines, chunk_lines_overlap, chunk_lines_default, chunk_dispatch, lang_map, symbol_name, filter_supported, filter_ignored, scan_ragignore,
-    content_hash, chunk_symbols, bm25_tf, bm25_df, bm25_corpus_stats, bm25_idf, bm25_score, bm25_topk, bm25_empty, dense_topk, dense_rank, dense_topk_batch, vec_normalize,
+    content_hash, chunk_symbols, bm25_tf, bm25_df, bm25_corpus_stats, bm25_idf, bm25_score, bm25_topk, bm25_empty, bm25_stored, dense_topk, dense_rank, dense_topk_batch, vec_normalize,
     vec_mean_pool, rrf_fuse, rrf_k30, rrf_k90, rrf_missing, hybrid_search, hybrid_search_batch, dense_only_search, search_file_types, scan_chunks, chunks_by_path, list_files,
     list_projects, project_stats, total_chunks, dry_run, registry_upsert, registry_lookup, file_content, detect_changes, append_new_chunks, delete_paths, force_clear,
     projects_to_index, parse_changed, coalesce_changes, debounce_sessions, apply_changes, scan_files, discover_repos, embed_text, index_project, health, stream_changes,

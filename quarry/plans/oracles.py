@@ -129,3 +129,40 @@ ORACLES = {
     "debounce_sessions": f"SELECT project, strftime(min(event_time), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(event_time), '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n_events FROM (SELECT *, sum(fresh) OVER (PARTITION BY project ORDER BY event_time, event_id) AS s FROM (SELECT *, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY project ORDER BY event_time, event_id) > INTERVAL 5 SECOND THEN 1 ELSE 0 END AS fresh FROM ({_EVENTS}))) GROUP BY project, s",
     "apply_changes": f"WITH {_chunks(_NEXT, 10, 2)} SELECT project, chunk_id, file_hash, line_start, line_end FROM c",
 }
+
+_PY = "import os\n\n@deco\ndef f(x):\n    return x\n\n\nclass A:\n    async def g(self):\n        def h(): pass\n"
+#: What has no table: literals and a sample tree.
+_SYMBOLS = [
+    ("a.py", 0, "@deco\ndef f(x):\n    return x", "function", "f", 3, 5, 11, 39, "byte", _PY),
+    ("a.py", 1, "def f(x):\n    return x", "function", "f", 4, 5, 17, 39, "byte", _PY),
+    ("a.py", 2, "class A:\n    async def g(self):\n        def h(): pass", "class", "A", 8, 10, 42, 95, "byte", _PY),
+    ("a.py", 3, "async def g(self):\n        def h(): pass", "function", "g", 9, 10, 55, 95, "byte", _PY),
+    ("a.py", 4, "def h(): pass", "function", "h", 10, 10, 82, 95, "byte", _PY),
+    ("b.py", 0, "def broken(:", "block", "", 1, 1, 0, 1, "line", "def broken(:"),
+    ("c.js", 0, "function a() {}", "block", "", 1, 1, 0, 1, "line", "function a() {}"),
+    ("d.py", 0, "x = 1", "block", "", 1, 1, 0, 1, "line", "x = 1"),
+]
+
+
+def _literal(x: str | int) -> str:
+    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _rows(rows: list[tuple], names: str) -> str:
+    return f"(VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) AS v({names})"
+
+
+ORACLES |= {
+    "bm25_stored": ORACLES["bm25_score"],
+    "chunk_symbols": f"""SELECT 'p' AS project, path, chunk_idx, path || ':' || chunk_idx AS chunk_id, text, type, name, line_start, line_end, "start", "end", offset_unit, sha256(src) AS file_hash
+        FROM {_rows(_SYMBOLS, 'path, chunk_idx, text, type, name, line_start, line_end, "start", "end", offset_unit, src')}""",
+    "scan_files": f"SELECT name, n FROM {_rows([('__init__.py', 0), ('a.py', 22), ('App.tsx', 16)], 'name, n')}",
+    "discover_repos": "SELECT true AS named, true AS sample",
+    "index_project": f"SELECT 'sample' AS project, type, name, line_start, line_end, text FROM {_rows([('function', 'a', 1, 2, 'def a():' + chr(10) + '    return 1'), ('block', '', 1, 1, 'function b() {}')], 'type, name, line_start, line_end, text')}",
+    "health": f"SELECT c AS \"check\", true AS ok FROM {_rows([('embedding',), ('store',), ('search',), ('writable',)], 'c')}",
+    "stream_changes": "SELECT project, path, text FROM (SELECT (user_id % 5)::VARCHAR AS project, user_id || '.py' AS path, 'x = ' || event_id AS text, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'",
+    "embed_text": """WITH t AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'))) AS m FROM documents),
+     b AS (SELECT doc_id, ('0x' || substr(m, 1, 2))::INT & 63 AS i, sum(CASE WHEN ('0x' || substr(m, 15, 2))::INT >= 128 THEN 1 ELSE -1 END)::DOUBLE AS x FROM t GROUP BY ALL),
+     n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM b GROUP BY doc_id)
+SELECT d.doc_id AS id, 64 AS dim, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm, """ + ", ".join(f"round(coalesce((SELECT x FROM b WHERE b.doc_id = d.doc_id AND i = {i}) / nullif(n, 0), 0), 4) AS x{i}" for i in range(4)) + " FROM documents d LEFT JOIN n USING (doc_id)",
+}
