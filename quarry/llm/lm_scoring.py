@@ -209,6 +209,17 @@ def explode(space: Space, order: int):  # noqa: ANN201
     return run
 
 
+def pack_sums(v: np.ndarray) -> bytes:
+    """Numbers of 56 bits, first all their highest bytes, then all the next: like bytes stand together, which Spark compresses."""
+    return np.ascontiguousarray(v.astype("<f8").view(np.uint8).reshape(-1, 8)[:, :0:-1].T).tobytes()
+
+
+def unpack_sums(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 7, 8), np.uint8)
+    out[:, :0:-1] = np.frombuffer(blob, np.uint8).reshape(7, -1).T
+    return out.view("<f8").ravel()
+
+
 class Sums:
     """Of what is added to documents, by batch."""
 
@@ -226,7 +237,7 @@ class Sums:
             old[: len(new)] += new
 
     def rows(self) -> list[tuple]:
-        out = [(-1 - uid % 4096, uid, SUMS, v.astype("<f8").tobytes()) for uid, v in self.by.items()]
+        out = [(-1 - uid % 4096, uid, SUMS, pack_sums(v)) for uid, v in self.by.items()]
         self.by, self.size = {}, 0
         return out
 
@@ -425,7 +436,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif own != uid:
                 raise ValueError(f"sums of batch {own}, which has no documents")
             else:
-                part = np.frombuffer(blob, "<f8")
+                part = unpack_sums(blob)
                 total[: len(part)] += part
     if head is not None:
         yield out(head, total)
@@ -482,7 +493,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
      e AS (SELECT r, w[i] AS w2, CASE WHEN i > 1 THEN w[i - 1] END AS w1, CASE WHEN i > 2 THEN w[i - 2] END AS w0 FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM t)),
      c1 AS (SELECT w2 AS w, count(*) AS c FROM e GROUP BY ALL),
      c2 AS (SELECT w1, w2, count(*) AS c FROM e WHERE w1 IS NOT NULL GROUP BY ALL), o2 AS (SELECT r, w1, w2, count(*) AS o FROM e WHERE w1 IS NOT NULL GROUP BY ALL),
