@@ -40,6 +40,8 @@ from quarry.llm._shared import ascii_lower, space_words, staged, table
 from quarry.workers import ship
 
 ALPHA, HOT, BUCKET = 0.4, 2048, 1_000_000
+#: Words whose n-grams a task takes on average: the number of partitions follows the corpus.
+TASK = 4_000_000
 #: Words of the longest n-gram in op9.
 ORDER = 3
 #: Words of a batch, and numbers a task sums before it passes them on.
@@ -74,6 +76,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "uid", "kind", "blob"])
 
 
+def _short(r: np.ndarray) -> tuple[str, bytes]:
+    """Numbers below 2^32 in two bytes where all fit: places of hot words do, hashes don't."""
+    kind = "<u2" if not len(r) or r.max() < 1 << 16 else "<u4"
+    return kind[-1], r.astype(kind).tobytes()
+
+
 def _steps(d: np.ndarray) -> tuple[str, bytes]:
     """Ascending numbers as differences, in as few bytes as the largest takes."""
     diff = np.diff(d, prepend=0)
@@ -102,17 +110,17 @@ def unpack_words(space: Space, blob: bytes, at: int, n: int) -> tuple[np.ndarray
 
 
 def pack_ngrams(space: Space, order: int, d: np.ndarray, r1: np.ndarray, w2: np.ndarray, w0: np.ndarray) -> bytes:
-    size, steps = _steps(d)
-    return struct.pack("<Ic", len(d), size.encode()) + steps + r1.astype("<u4").tobytes() + pack_words(space, w2) + (pack_words(space, w0) if order == 3 else b"")
+    (size, steps), (width, names) = _steps(d), _short(r1)
+    return struct.pack("<Icc", len(d), size.encode(), width.encode()) + steps + names + pack_words(space, w2) + (pack_words(space, w0) if order == 3 else b"")
 
 
 def unpack_ngrams(space: Space, order: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """d, r1, w2, w0; bigrams have ends for w0."""
-    n, size = struct.unpack_from("<Ic", blob)
-    size, at = int(size), 5
+    n, size, width = struct.unpack_from("<Icc", blob)
+    size, width, at = int(size), int(width), 6
     d = np.cumsum(np.frombuffer(blob, f"<u{size}", n, at), dtype=np.int64)
-    r1 = np.frombuffer(blob, "<u4", n, at + size * n)
-    w2, at = unpack_words(space, blob, at + (size + 4) * n, n)
+    r1 = np.frombuffer(blob, f"<u{width}", n, at + size * n)
+    w2, at = unpack_words(space, blob, at + (size + width) * n, n)
     w0 = unpack_words(space, blob, at, n)[0] if order == 3 else np.full(n, space.end, np.uint64)
     return d, r1, w2, w0
 
@@ -210,14 +218,29 @@ def explode(space: Space, order: int):  # noqa: ANN201
 
 
 def pack_sums(v: np.ndarray) -> bytes:
-    """Numbers of 56 bits, first all their highest bytes, then all the next: like bytes stand together, which Spark compresses."""
-    return np.ascontiguousarray(v.astype("<f8").view(np.uint8).reshape(-1, 8)[:, :0:-1].T).tobytes()
+    """Numbers of 56 bits, first all their highest bytes, then all the next: like bytes stand together, which Spark compresses.
+    Where most are 0 only the others travel, with their places: however many tasks there are, no more numbers than n-grams."""
+    at, where = np.flatnonzero(v), b"0"
+    if len(at) < len(v) // 2:
+        size, steps = _steps(at)
+        v, where = v[at], struct.pack("<cI", size.encode(), len(at)) + steps
+    return where + np.ascontiguousarray(v.astype("<f8").view(np.uint8).reshape(-1, 8)[:, :0:-1].T).tobytes()
 
 
 def unpack_sums(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 7, 8), np.uint8)
-    out[:, :0:-1] = np.frombuffer(blob, np.uint8).reshape(7, -1).T
-    return out.view("<f8").ravel()
+    size, at, first = int(blob[:1]), None, 1
+    if size:
+        (n,) = struct.unpack_from("<I", blob, 1)
+        at, first = np.cumsum(np.frombuffer(blob, f"<u{size}", n, 5), dtype=np.int64), 5 + size * n
+    planes = np.frombuffer(blob, np.uint8, offset=first) if len(blob) > first else np.empty(0, np.uint8)
+    out = np.zeros((len(planes) // 7, 8), np.uint8)
+    out[:, :0:-1] = planes.reshape(7, -1).T
+    v = out.view("<f8").ravel()
+    if at is None:
+        return v
+    spread = np.zeros(at[-1] + 1 if len(at) else 0)
+    spread[at] = v
+    return spread
 
 
 class Sums:
@@ -452,9 +475,10 @@ def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     space = find_hot(docs)
-    exploded = docs.mapInArrow(explode(space, order), _ROW).repartition("bucket").sortWithinPartitions("bucket", "kind", "uid")
-    seen = exploded.mapInArrow(score_seen(space, order), _ROW).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    sums = seen.mapInArrow(score_unseen(space), _ROW).repartition("uid").sortWithinPartitions("uid", "kind")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-space.n // TASK))
+    exploded = docs.mapInArrow(explode(space, order), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "uid")
+    seen = exploded.mapInArrow(score_seen(space, order), _ROW).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    sums = seen.mapInArrow(score_unseen(space), _ROW).repartition(parts, "uid").sortWithinPartitions("uid", "kind")
     return sums.mapInArrow(_documents, "doc_id bigint, n_words bigint, score double")
 
 

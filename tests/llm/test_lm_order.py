@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quarry.llm import lm_scoring
@@ -45,3 +46,9 @@ def test_trigrams(spark, tmp_path, monkeypatch, hot, held):
             assert g[:2] == x[:2] and g[2] == (None if x[2] is None else pytest.approx(x[2], abs=1e-9))
     for g, x in zip(sorted([tuple(r) for r in got], key=key), sorted(want, key=key), strict=True):
         assert g[:2] == x[:2] and g[2] == (None if x[2] is None else pytest.approx(x[2], abs=2e-6))
+
+
+def test_sums_travel_whole():
+    for v in ([], [0.0], [1.5], [0.0] * 300 + [2.25], [0.0, 1.0, 0.0, 0.0, 0.0, -3.5], [1.0, 2.0, 0.0], [0.0] * 70_000 + [1.0]):
+        got = lm_scoring.unpack_sums(lm_scoring.pack_sums(np.array(v)))
+        assert got.tolist() == v or (not any(v) and not got.any())
