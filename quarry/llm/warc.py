@@ -2,10 +2,10 @@
 
 Pages are written as WARC/1.1 records, each a gzip member of its own.  Of records with equal payloads of MIN_REVISIT bytes or
 more, that of the smallest page_id is a response, the others revisit it.  The index's first level are blocks: captures sorted
-by reversed-host URL key (com,example,blog)/path), BLOCK lines to a zlib-compressed block.  The second is a sparse directory,
-one row a block, with the block's first and last key and its byte range.  A look-up searches the directory for the blocks
-that may hold the key, bisects the block and reads the record's byte range; reading everything walks the directory, and every
-task takes blocks and the ranges they name.
+by reversed-host URL key (com,example,blog)/path), BLOCK lines to a zlib-compressed block, a file a partition.  The second is a
+sparse directory: each block's first and last key and byte range beside its file, and each file's first and last key on top.
+A look-up searches the files, then a file's blocks, then a block's lines by bisection, and reads the records' byte ranges;
+reading everything looks up the key of every capture, in ranges.
 
 Files go to the shared folder through pyarrow's file systems, under names that no second attempt of a task reuses; the rows
 of the attempt that counts name its files, so those of a lost one are never read.
@@ -14,10 +14,12 @@ of the attempt that counts name its files, so those of a lost one are never read
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -115,8 +117,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return staged(plan_records(pages).mapInArrow(run, "key string, page_id bigint, file string, at bigint, length bigint"), "op8-captures")
 
 
-def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """The sparse directory: first, last (keys), file, at, length of each block."""
+class Directory(NamedTuple):
+    """The sparse directory's top: (first key, last key, name) of each index file, one a partition, in key order; and the table of captures."""
+
+    files: list[tuple[str, str, str]]
+    captures: DataFrame
+
+
+def write_index(captures: DataFrame, folder: str) -> Directory:
+    """Blocks of sorted captures, a file a partition, and beside each file the directory of its blocks: first, last (keys), at, length."""
     spark = captures.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +139,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
                 out = fs.open_output_stream(f"{base}/{name}", compression=None)
             block = zlib.compress("\n".join(lines).encode(), 6)
             out.write(block)
-            rows.append((lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], name, at, len(block)))
+            rows.append((lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], at, len(block)))
             at += len(block)
             lines.clear()
 
@@ -143,67 +152,116 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             close_block()
         if out is not None:
             out.close()
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["first", "last", "file", "at", "length"])
+            with fs.open_output_stream(f"{base}/{name}.dir", compression=None) as f:
+                f.write(zlib.compress("\n".join("\t".join(map(str, r)) for r in rows).encode(), 6))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (rows[0][0], rows[-1][1], name)], ["first", "last", "file"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = captures.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return staged(ranged.mapInArrow(run, "first string, last string, file string, at bigint, length bigint"), "op8-directory")
+    files = staged(ranged.mapInArrow(run, "first string, last string, file string"), "op8-directory").collect()  # n rows at most
+    return Directory(sorted(map(tuple, files)), captures)
 
 
 def block_lines(block: bytes) -> list[list[str]]:
     return [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
 
 
-def read_all(directory: DataFrame, folder: str) -> DataFrame:
-    """Every capture, by way of the directory: page_id, url, payload_bytes and payload_digest (of the full payload), record_type, refers_to, payload (null for revisits).
+def finder(files: list[tuple[str, str, str]], folder: str) -> Callable[[str], Iterator[tuple[str, int, int]]]:
+    """find(key): file, at and length of each block that may hold the key, by binary search among the files and then among the
+    blocks of those that span it.  The directory of one file, a line for each BLOCK captures of a partition, is held at a time."""
+    fs, base = _place(folder)
+    held, blocks = None, []
+
+    def find(key: str) -> Iterator[tuple[str, int, int]]:
+        nonlocal held, blocks
+        for first, _, name in files[bisect.bisect_left(files, key, key=lambda x: x[1]) :]:
+            if first > key:
+                return
+            if name != held:
+                with fs.open_input_stream(f"{base}/{name}.dir", compression=None) as f:
+                    held, blocks = name, block_lines(f.read())
+            for low, _, at, length in blocks[bisect.bisect_left(blocks, key, key=lambda x: x[1]) :]:
+                if low > key:
+                    break
+                yield name, int(at), int(length)
+
+    return find
+
+
+def of_key(lines: list[list[str]], key: str) -> list[list[str]]:
+    """A block's lines of one key."""
+    return lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]
+
+
+def read_keys(directory: Directory, folder: str, keys: DataFrame) -> DataFrame:
+    """Captures of all keys (a column key, repeats count once): page_id, url, payload_bytes and payload_digest (of the full payload), record_type, refers_to, payload (null for revisits).
 
+    Tasks look keys up in ranges; what they find is dealt by block, so that the blocks of a hot key are read by many tasks.
     Raises ValueError where a response's payload isn't that of its digest."""
     import hashlib
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _place(folder)
+    files = directory.files
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = finder(files, folder)
         for b in batches:
-            for file, at, length in zip(*[b.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
-                with fs.open_input_file(f"{base}/{file}") as f:
-                    lines = block_lines(f.read_at(length, at))
-                rows, name, archive = [], None, None
-                for _, _, own, spot, size in sorted(lines, key=lambda x: (x[2], int(x[3]))):
-                    if own != name:
-                        if archive is not None:
-                            archive.close()
-                        name, archive = own, fs.open_input_file(f"{base}/{own}")
-                    warc, http, payload = parse_record(archive.read_at(int(size), int(spot)))
-                    digest, response = warc["warc-payload-digest"].removeprefix("sha256:"), warc["warc-type"] == "response"
-                    if response and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["content-length"])):
-                        raise ValueError(f"{own} at {spot}: payload and digest differ")
-                    number = lambda x: int(x) if x else None
-                    rows.append((number(warc.get("x-page-id")), warc.get("warc-target-uri"), int(http["content-length"]), digest, warc["warc-type"], number(warc.get("x-refers-to-page")), payload if response else None))
+            rows = [(*block, key) for key in b.column(0).to_pylist() for block in find(key)]
+            for i in range(0, len(rows), 10_000):
+                part = list(zip(*rows[i : i + 10_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, [pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)], ["file", "at", "length", "key"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _place(folder)
+        named = (x for b in batches for x in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for (file, at, length), of_block in itertools.groupby(named, key=lambda x: x[:3]):
+            with fs.open_input_file(f"{base}/{file}") as f:
+                lines = block_lines(f.read_at(length, at))
+            captures = [x for _, _, _, key in of_block for x in of_key(lines, key)]
+            rows, name, archive = [], None, None
+            for _, _, own, spot, size in sorted(captures, key=lambda x: (x[2], int(x[3]))):
+                if own != name:
+                    if archive is not None:
+                        archive.close()
+                    name, archive = own, fs.open_input_file(f"{base}/{own}")
+                warc, http, payload = parse_record(archive.read_at(int(size), int(spot)))
+                digest, response = warc["warc-payload-digest"].removeprefix("sha256:"), warc["warc-type"] == "response"
+                if response and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["content-length"])):
+                    raise ValueError(f"{own} at {spot}: payload and digest differ")
+                number = lambda x: int(x) if x else None
+                rows.append((number(warc.get("x-page-id")), warc.get("warc-target-uri"), int(http["content-length"]), digest, warc["warc-type"], number(warc.get("x-refers-to-page")), payload if response else None))
+            if rows:
                 archive.close()
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return directory.repartition(n, "file", "at").mapInArrow(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keys.select("key").distinct().repartitionByRange(n, "key").sortWithinPartitions("key")
+    found = ranged.mapInArrow(look, "file string, at bigint, length bigint, key string")
+    dealt = found.repartition(n, "file", "at").sortWithinPartitions("file", "at", "key")
+    return dealt.mapInArrow(read, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
+
+
+def read_all(directory: Directory, folder: str) -> DataFrame:
+    """Every capture, each looked up by its key; columns of read_keys."""
+    return read_keys(directory, folder, directory.captures)
 
 
-def look_up(directory: DataFrame, folder: str, url: str) -> list[tuple[dict[str, str], bytes]]:
+def look_up(directory: Directory, folder: str, url: str) -> list[tuple[dict[str, str], bytes]]:
     """(WARC headers, payload) of all captures of a url; a revisit has no payload of its own."""
     key = url_key(url)
-    blocks = directory.where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("first", "file", "at").collect()
     fs, base = _place(folder)
     out = []
-    for b in blocks:
-        with fs.open_input_file(f"{base}/{b['file']}") as f:
-            lines = block_lines(f.read_at(b["length"], b["at"]))
-        for _, _, file, at, length in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]:
+    for name, at, length in finder(directory.files, folder)(key):
+        with fs.open_input_file(f"{base}/{name}") as f:
+            lines = block_lines(f.read_at(length, at))
+        for _, _, file, spot, size in of_key(lines, key):
             with fs.open_input_file(f"{base}/{file}") as f:
-                warc, _, payload = parse_record(f.read_at(int(length), int(at)))
+                warc, _, payload = parse_record(f.read_at(int(size), int(spot)))
             out.append((warc, payload))
     return out
 
 
-def archive(pages: DataFrame) -> tuple[DataFrame, str]:
+def archive(pages: DataFrame) -> tuple[Directory, str]:
     """Writes archives and index of all pages into a new shared folder; (directory, folder).
 
     Null html is an empty payload, a null url has none in its record, a null page_id is written without one and never referred
