@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import content_hash, language, split_lines
+from quarry.operators.braces import brace_symbols
 from quarry.workers import ship
 
 SIZE, OVERLAP, MOST_BYTES = 50, 5, 500 * 1024
+PARSED = ["python", "c", "cpp", "javascript", "typescript"]
 COLUMNS = ["project", "path", "chunk_idx", "chunk_id", "text", "type", "name", "line_start", "line_end", "start", "end", "offset_unit", "file_hash"]
 _SYMBOLS = "project string, path string, chunk_idx int, text string, type string, name string, line_start int, line_end int, start int, end int, file_hash string"
 
@@ -57,21 +59,21 @@ def python_symbols(source: str) -> list[tuple]:
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """COLUMNS of the symbols of Python files that parse; other files give no rows."""
+    """COLUMNS of the symbols of files in the languages of PARSED; files that don't parse and others give no rows."""
     ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for project, path, text, digest in b.itertuples(index=False):
+            for project, path, text, digest, tongue in b.itertuples(index=False):
                 try:
-                    found = python_symbols(text)
+                    found = python_symbols(text) if tongue == "python" else brace_symbols(text, tongue)
                 except (SyntaxError, ValueError, RecursionError):
                     continue
                 rows += [(project, path, i, *x, digest) for i, x in enumerate(found)]
             yield pd.DataFrame(rows, columns=["project", "path", "chunk_idx", "text", "type", "name", "line_start", "line_end", "start", "end", "file_hash"])
 
-    fit = files.where((language(F.col("path")) == "python") & (F.octet_length("text") <= MOST_BYTES)).select("project", "path", "text", content_hash(F.col("text")).alias("file_hash"))
+    fit = files.where(language(F.col("path")).isin(PARSED) & (F.octet_length("text") <= MOST_BYTES)).select("project", "path", "text", content_hash(F.col("text")).alias("file_hash"), language(F.col("path")).alias("language"))
     out = fit.mapInPandas(run, _SYMBOLS)
     return out.withColumn("chunk_id", F.concat_ws(":", "path", "chunk_idx")).withColumn("offset_unit", F.lit("byte")).select(*COLUMNS)
 
