@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+def place(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system for a URI as Spark writes it, and the path in it; Hadoop's names of the S3 connector are S3's."""
+    scheme, sep, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if sep and scheme in ("s3a", "s3n") else uri)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Within, texts go to Python in batches of so many rows at most: both sides then hold a few MB of them at a time."""

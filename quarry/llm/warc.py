@@ -22,11 +22,10 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import scratch_dir, sized, staged, table
+from quarry.llm._shared import place, scratch_dir, sized, staged, table
 from quarry.workers import ship
 
 MIN_REVISIT, BLOCK = 100, 500
@@ -75,10 +74,6 @@ def parse_record(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http), payload
 
 
-def _place(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
-
-
 def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, digest, size, refers_to, html (null for revisits)."""
     html = F.coalesce("html", F.lit(""))
@@ -95,7 +90,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _place(folder)
+        fs, base = place(folder)
         name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
         out = None
         for b in batches:
@@ -129,7 +124,7 @@ def write_index(captures: DataFrame, folder: str) -> Directory:
     spark = captures.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _place(folder)
+        fs, base = place(folder)
         name, at, out, lines, rows = f"index-{uuid.uuid4().hex}.cdxz", 0, None, [], []
 
         def close_block() -> None:
@@ -169,7 +164,7 @@ def block_lines(block: bytes) -> list[list[str]]:
 def finder(files: list[tuple[str, str, str]], folder: str) -> Callable[[str], Iterator[tuple[str, int, int]]]:
     """find(key): file, at and length of each block that may hold the key, by binary search among the files and then among the
     blocks of those that span it.  The directory of one file, a line for each BLOCK captures of a partition, is held at a time."""
-    fs, base = _place(folder)
+    fs, base = place(folder)
     held, blocks = None, []
 
     def find(key: str) -> Iterator[tuple[str, int, int]]:
@@ -211,7 +206,7 @@ def read_keys(directory: Directory, folder: str, keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, [pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)], ["file", "at", "length", "key"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _place(folder)
+        fs, base = place(folder)
         named = (x for b in batches for x in zip(*[c.to_pylist() for c in b.columns], strict=True))
         for (file, at, length), of_block in itertools.groupby(named, key=lambda x: x[:3]):
             with fs.open_input_file(f"{base}/{file}") as f:
@@ -249,7 +244,7 @@ def read_all(directory: Directory, folder: str) -> DataFrame:
 def look_up(directory: Directory, folder: str, url: str) -> list[tuple[dict[str, str], bytes]]:
     """(WARC headers, payload) of all captures of a url; a revisit has no payload of its own."""
     key = url_key(url)
-    fs, base = _place(folder)
+    fs, base = place(folder)
     out = []
     for name, at, length in finder(directory.files, folder)(key):
         with fs.open_input_file(f"{base}/{name}") as f:
