@@ -84,3 +84,10 @@ def space_words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def salted_join(big: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+    """big joined to few by keys, of which each row of few is there once for each salt, so that a hot key of big is dealt to as many
+    tasks.  big must come from a scan, whose rows keep their order when a task is repeated."""
+    dealt = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(dealt, [*keys, "__salt"], how).drop("__salt")
