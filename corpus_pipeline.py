@@ -19,8 +19,9 @@ SHINGLE, PERCENT = 5, 80
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality_rules.with_quality(docs).where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that the rules reject go.  References are fitted on those labelled good."""
+    refs = quality_rules.references(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.with_quality(docs, refs).where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._bytes import spelled_words
-from quarry.llm._shared import table
+from quarry.llm._shared import sized, staged, table
 from quarry.workers import ship
 
-#: Labelled rows that are learnt from, at most: those of the smallest xxhash64(doc_id).
+#: Labelled rows that are learnt from, at most: those of the smallest xxhash64(doc_id), of documents that are there.
 SAMPLE = 4000
+#: Labels that are broadcast at most.
+MOST_LABELS = 1_000_000
 TERMS, DIMENSIONS, NEIGHBOURS, POWER, THRESHOLD = 4096, 64, 25, 24, 0.3
 #: Rows whose terms are counted at once.
 ROWS = 256
@@ -133,11 +135,13 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, patterns: bool = True) -> Model:
     """Labels without an id or a quality, and held-out ones, are left out; without any label every score is 0.5.
 
-    At most `sample` labels are taken, and of rows of docs that have them, where ids repeat, as many: the first by hash of id and
-    text.  Only they come to the driver, as counts of terms."""
+    At most `sample` labels of documents that are there are taken, and of rows of docs that have them, where ids repeat, as many: the
+    first by hash of id and text.  Only they come to the driver, as counts of terms."""
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
-    known = known.select(F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("vote")).orderBy(F.xxhash64("__id"), "vote").limit(sample)
+    known, _ = sized(known.select(F.col("doc_id").alias("__id"), F.col("quality").cast("double").alias("vote")).distinct(), MOST_LABELS)
+    here = docs.select("doc_id").join(known, F.col("doc_id") == F.col("__id")).select("__id", "vote").distinct()
+    known = staged(here.orderBy(F.xxhash64("__id"), "vote").limit(sample), "op2-labels")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("vote", "text", F.xxhash64("__id", "text").alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

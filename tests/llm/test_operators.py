@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,13 @@ def test_classifier(spark, odd):
     assert quality_classifier.fit(many, labels, sample=7).votes.shape == (7,)
 
 
+def test_labels_without_documents(spark):
+    """The sample is taken of labels whose documents are there, however many others there are."""
+    df = docs(spark, [(i, f"text number {i}") for i in range(300)])
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    assert len(quality_classifier.fit(df, labels, sample=400).votes) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(300))
+
+
 def test_terms_of_blocks():
     rng = random.Random(14)
     texts = [None, "", "one", "a a a a", "é漢 b", *[prose(rng, rng.randrange(60)) for _ in range(600)], "w " * 300_000]
@@ -261,15 +269,14 @@ def test_quality_base(spark, odd):
 def test_quality_divergence(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 150), "en") for i in range(60)] + [(100, "BUY NOW!! " * 3 + prose(rng, 100).upper().replace(" ", "!! "), "en"), (101, prose(rng, 150).replace(" ", "$$$ "), "en"), (102, prose(rng, 150), None)]
-    df = quality_rules.with_quality(docs(spark, rows), quality_rules.references(docs(spark, rows)))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100, 0, 0), (None, 1, 0), (500, 1, 0)], "doc_id long, quality int, toxic int")
+    refs = quality_rules.references(docs(spark, rows), labels)
+    assert set(refs) == {"en"} and refs["en"].words[:4] == [w for w, _ in sorted(Counter(w for r in rows[:60] for w in words_of(r[1], LETTER)).items(), key=lambda x: (-x[1], x[0]))[:4]]
+    df = quality_rules.with_quality(docs(spark, rows), refs)
     assert df.columns == [*docs(spark, []).columns, "__quality"]
     got = {r["doc_id"]: r["__quality"] for r in df.collect()}
     assert all(got[i]["kept"] for i in range(60)) and got[102]["kept"] and got[102]["word_distance"] is None and not got[100]["kept"] and not got[101]["kept"]
-    plain = "the house stood on a hill and it was old, with a garden in which the children of that village came to play for hours. "
-    varied = " ".join(" ".join([w, f"x{chr(97 + i % 26)}y"][: 1 + (i % 4 == 0)]) for i, w in enumerate((plain * 5).split()))
-    rows = [(1, varied, "en"), (2, varied.upper(), "en"), (3, " ".join(f"{w}$$$" for w in varied.split()), "en"), (4, " ".join(f"word{chr(97 + i % 26)}x" for i in range(150)), "en"), (5, plain, None)]
-    own = {r["doc_id"]: r["__quality"] for r in quality_rules.with_quality(docs(spark, rows)).collect()}  # by the constants, whatever else is there
-    assert own[1]["char_distance"] < 0.2 and own[1]["word_distance"] < 0.4 and own[5]["kept"] and not any(own[i]["kept"] for i in (2, 3, 4))
+    assert quality_rules.references(docs(spark, rows), labels.limit(0)) == {} and quality_rules.references(docs(spark, rows), labels.where("doc_id < 19")) == {}
     p, q = np.array([1, 2, 0, 5]) / 8, np.array([0.1, 0.2, 0.3, 0.4])
     kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b, strict=True) if x)
     m = (p + q) / 2
@@ -277,6 +284,33 @@ def test_quality_divergence(spark):
     assert d == pytest.approx(math.sqrt(kl(p, m) / 2 + kl(q, m) / 2))
 
 
+RUSSIAN = "Дом стоял на холме и был старым, а в саду играли дети из деревни. Каждый вечер они возвращались домой по длинной дороге. "
+GREEK = "Το σπίτι ήταν στον λόφο και ήταν παλιό, στον κήπο έπαιζαν τα παιδιά του χωριού. Κάθε βράδυ γύριζαν στο σπίτι από τον μακρύ δρόμο. "
+CHINESE = "房子 在 山上， 很 旧。 村里 的 孩子们 在 花园 里 玩耍。 每天 晚上 他们 沿着 长长的 路 回家。 "
+CODE = "import os\n\ndef walk(root, names):\n    out = []\n    for name in names:\n        path = os.path.join(root, name)\n        if os.path.isdir(path):\n            out.append(path)\n    return out\n\nclass Tree:\n    def __init__(self, root):\n        self.root = root\n"
+LATIN = "The house stood on a hill and it was old, with a garden in which the children of that village came to play for hours. It is said that in the summer, when the days were long, they would go to the river and to the old mill. "
+
+
+def test_other_scripts_and_code_are_not_dropped(spark, tmp_path):
+    """Whatever the language column says; and the SQL has the same verdicts."""
+    rng = random.Random(30)
+    mixed = lambda text, sep: sep.join(rng.sample(text.split(sep), len(text.split(sep))))
+    good = [(i, mixed(LATIN * 3, " "), "en") for i in range(40)]
+    odd = [(100 + 10 * k + j, mixed(text * 3, " "), lang) for k, text in enumerate((RUSSIAN, GREEK, CHINESE)) for j, lang in enumerate(("en", "ru", None))] + [(200, CODE, "en"), (201, LATIN.replace("the", "The,"), "en"), (202, "# Heading\n" + mixed(LATIN * 2, " "), "en")]
+    junk = [(300, "BUY NOW!! " * 2 + mixed(LATIN, " ").upper().replace(" ", "!! "), "en"), (301, mixed(LATIN * 3, " ").replace(" ", " $$$ "), "en"), (302, " ".join(f"zq{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(150)), "en")]
+    rows = good + odd + junk
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: tuple(r) for r in quality_rules.op4_quality_rules(spark, str(tmp_path)).collect()}
+    kept = {i for i, r in got.items() if r[-1]}
+    assert kept == {r[0] for r in good + odd}, (sorted(kept ^ {r[0] for r in good + odd}))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert {r[0]: r for r in con.sql(quality_rules.ORACLE).fetchall()} == got
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------------
 
 
