@@ -9,11 +9,12 @@ that it emits (or takes back, where a merge joins tokens), so that the sum along
 has been read.  White space leads to the start.  States are compiled from the vocabulary and the merges when a transition first
 leads to them, and held in a hash table of numbers; beyond MOST_STATES they are forgotten and compiled again.
 
-Texts are joined, with white space between them, and cut into chunks of equal length.  A chunk's state map takes any entry state
-to its exit state and the tokens emitted.  White space takes all states to one, so a map is what stands before the first white
-space, which depends on the entry state, and the counts and the exit state of the rest, which don't: all chunks run at once
-from the start.  Maps compose by a prefix scan: a chunk's entry is the exit of the last chunk before it that has white space,
-carried on through those that have none; then what stands before the first white space runs again from there.
+Texts are joined, with white space between them, and cut into chunks of equal length.  A chunk's state map takes an entry state
+to its exit state and the tokens emitted.  All chunks run at once, first from the start, then, together again, those whose entry
+isn't the exit of the chunk before, each until its path meets the one it had: white space brings all paths together, and so do a few
+symbols of most other texts, so that a map is one exit state for nearly all entries.  Where a chunk's exit has changed the next one
+runs again.  Maps of chunks that are alike are kept, and composed from chunk to chunk without running: runs of one
+letter, whose paths never meet, have few entry states.
 """
 
 from __future__ import annotations
@@ -277,31 +278,35 @@ def emitted(symbols: np.ndarray, fst: Transducer, chunk: int = CHUNK) -> np.ndar
     n = -(-len(symbols) // chunk)
     padded = np.full(n * chunk, SPACE << 8)
     padded[: len(symbols)] = symbols
-    by_step = np.ascontiguousarray(padded.reshape(n, chunk).T)
-    out, states = np.zeros((chunk, n), np.int8), np.full(n, START)
+    by_chunk = padded.reshape(n, chunk)
+    by_step = np.ascontiguousarray(by_chunk.T)
+    out, path = np.zeros((chunk, n), np.int8), np.full((chunk + 1, n), START, np.int32)
     for t in range(chunk):
-        states, out[t] = fst.run(states, by_step[t])
-    # scan: a map whose chunk has white space leaves from one state, whatever came before
-    heads = (by_step == SPACE << 8).argmax(0)
-    closed = (by_step == SPACE << 8).any(0)
-    last = np.maximum.accumulate(np.where(closed, np.arange(n), -1))
-    enters = np.concatenate([[START], np.where(last >= 0, states[last], START)[:-1]])
-    after_open = np.concatenate([[False], ~closed[:-1]])
-    for i in np.flatnonzero(after_open | ~closed):  # carried on through chunks without white space, in order
-        if i and after_open[i]:
-            enters[i] = states[i - 1]
-        if not closed[i]:
-            heads[i], state = 0, enters[i : i + 1]
-            for t in range(chunk):
-                state, out[t, i : i + 1] = fst.run(state, by_step[t, i : i + 1])
-            states[i] = state[0]
-    own, t = np.flatnonzero((heads > 0) & (enters != START)), 0
-    states = enters[own]
-    while len(own):
-        states, out[t, own] = fst.run(states, by_step[t, own])
-        t += 1
-        on = heads[own] > t
-        own, states = own[on], states[on]
+        path[t + 1], out[t] = fst.run(path[t].astype(np.int64), by_step[t])
+    exits, entered, known, alike = path[chunk], path[0], {}, None  # rows of path: exits and entries as they are changed
+    while len(wrong := np.flatnonzero(entered[1:] != exits[:-1]) + 1):
+        if alike is None:
+            alike = np.unique(by_chunk.astype(np.int16).view(np.dtype((np.void, 2 * chunk))).ravel(), return_inverse=True, return_counts=True)[1:]
+        todo = {}
+        for i in wrong.tolist():  # maps that are known are followed from chunk to chunk
+            while i < n and entered[i] != exits[i - 1]:
+                key = int(alike[0][i]), int(exits[i - 1])
+                if key not in known:
+                    todo.setdefault(key, i)
+                    break
+                path[:, i], out[:, i] = known[key]
+                i += 1
+        own, t = np.array(sorted(todo.values()), np.int64), 0
+        entered[own] = exits[own - 1]
+        states = entered[own].astype(np.int64)
+        while len(own) and t < chunk:
+            states, out[t, own] = fst.run(states, by_step[t, own])
+            differ = path[t + 1, own] != states
+            path[t + 1, own] = states
+            t, own, states = t + 1, own[differ], states[differ]  # where the paths meet, the rest is as it was
+        for (like, state), i in todo.items():
+            if alike[1][like] > 1:
+                known[like, state] = path[:, i].copy(), out[:, i].copy()
     return out.T.ravel()[: len(symbols)]
 
 
