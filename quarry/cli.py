@@ -9,15 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from quarry.config import setting
 from quarry.engine import PROJECT, Engine
 from quarry.operators.catalog import dry_run, projects_to_index
 from quarry.sources.tree import discover_repos, install_hook, scan_files
-from quarry.streaming.poll import watch
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quarry")
-    p.add_argument("--index", default="data/index", help="folder of the index")
+    p.add_argument("--index", default=setting("index"), help="folder of the index"), p.add_argument("--embedder", default=setting("embedder"))
     sub = p.add_subparsers(dest="what", required=True)
     x = sub.add_parser("index")
     x.add_argument("path"), x.add_argument("--name", default=PROJECT), x.add_argument("--force", action="store_true"), x.add_argument("--dry-run", action="store_true")
@@ -42,7 +42,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(install_hook(a.path, a.name, a.index))
         return 0
     spark = spark or SparkSession.builder.getOrCreate()
-    engine = Engine(spark, a.index)
+    spark.sparkContext.setLogLevel(setting("log_level"))
+    engine = Engine(spark, a.index, a.embedder)
     if a.what == "index":
         if a.dry_run:
             dry_run(scan_files(spark, a.path, a.name)).show(1000, False)
@@ -55,7 +56,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.what == "changed":
         engine.reindex_files(a.name, [str(Path(p).resolve()) for p in a.paths])
     elif a.what == "watch":
-        watch(a.path, lambda paths: engine.reindex_files(a.name, paths))
+        engine.watch(a.path, a.name, f"{a.index}/watch-{a.name}").awaitTermination()
     elif a.what == "search":
         print(engine.search(a.query, a.top_k, a.name))
     elif a.what == "projects":

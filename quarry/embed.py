@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from quarry.workers import ship
 
 
+#: Terms whose places a worker remembers at most.
+MOST_TERMS = 1_000_000
+
+
 class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
@@ -31,6 +35,8 @@ class HashingEmbedder:
 
     def _bucket(self, term: str) -> tuple[int, int]:
         if term not in self.known:
+            if len(self.known) >= MOST_TERMS:
+                self.known.clear()
             h = int.from_bytes(hashlib.md5(term.encode()).digest()[:8], "little")  # noqa: S324
             self.known[term] = (h % self.dim, 1 if h >> 63 else -1)
         return self.known[term]
@@ -69,6 +75,11 @@ def backend(name: str) -> Embedder:
     return _made[name]
 
 
+def cache_info() -> dict:
+    """Backends that this Python process has made, and how many."""
+    return {"backends": sorted(_made), "n": len(_made)}
+
+
 def embed(df: DataFrame, name: str = "hashing", text: str = "text", batch: int = 16) -> DataFrame:
     """df with a column embedding (array<float>); rows of a partition are sorted by length, so that a batch has texts of a kind."""
     ship(df.sparkSession)

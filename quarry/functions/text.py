@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,11 +47,16 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: The name in the first line: what follows "def ", or else "class ", or else "function ", up to the bracket or colon, or the next such word.
+SYMBOL = r"^[^\n]*?def ((?:(?!def )[^(\n])*)|^(?![^\n]*def )[^\n]*?class ((?:(?!class )[^:\n])*)|^(?![^\n]*(?:def |class ))[^\n]*?function ((?:(?!function )[^(\n])*)"
+
+
 def symbol_name(text: Column) -> Column:
-    """Name in the first line: what follows 'def ', 'class ' or 'function ' there, in this order; else ''."""
-    line = F.trim(F.element_at(F.split(text, "\n"), 1))
+    """SYMBOL of a text, trimmed; '' without one."""
+    return F.coalesce(F.trim(F.concat(*[F.regexp_extract(text, SYMBOL, i) for i in (1, 2, 3)])), F.lit(""))
 
-    def after(word: str, end: str) -> Column:
-        return F.trim(F.element_at(F.split(F.element_at(F.split(line, word), 2), end), 1))
 
-    return F.when(line.contains("def "), after("def ", r"\(")).when(line.contains("class "), after("class ", ":")).when(line.contains("function "), after("function ", r"\(")).otherwise("")
+def symbol_of(text: str) -> str:
+    """The same of one string."""
+    m = re.match(SYMBOL, text)
+    return (m[1] or m[2] or m[3] or "").strip() if m else ""

@@ -4,9 +4,9 @@ Texts are tokenized once; term frequencies are pre-aggregated before they are sh
 queries' own terms past the tokenizer; document frequencies, which the floor of the idf needs for the whole vocabulary,
 are one aggregate by term.
 
-scores() gives every score, as joins.  top_batch() only gives the best of each of many queries: the queries' weights go to
-the tasks, each block of chunks meets them in one matrix product, and k hits a query leave a task, so that no posting is
-shuffled.
+scores() gives every score, as joins.  top_batch() only gives the best of each of many queries: the queries' weights meet each block
+of chunks in one matrix product, and k hits a query leave a task, so that no posting is shuffled.  Stored reads postings that an index
+keeps in blocks, and skips those that can't change the result.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenize
+from quarry.operators.grid import HITS, grid
 from quarry.workers import ship
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -30,8 +31,11 @@ DIGITS = 9
 MOST_TERMS = 100_000
 #: Terms that stand in a filter at most.
 MOST_LITERALS = 2000
-#: Queries that meet the chunks in one pass, and numbers of a block's matrix.
+#: Queries that are sent to every task at most (more meet the chunks in a grid), and numbers of a block's matrix.
 QUERIES, CELLS = 1024, 2_000_000
+#: Chunks of a bucket of stored postings, and buckets that a query's first look takes.
+BUCKET, FIRST = 128, 8
+BLOCK = "term string, bucket bigint, max_tf bigint, min_dl int, n int, postings array<struct<id:bigint,tf:bigint,dl:int>>, project string"
 
 
 def tokens(chunks: DataFrame) -> DataFrame:
@@ -92,76 +96,136 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.where("score > 0").withColumn("sparse_rank", F.row_number().over(order)).where(F.col("sparse_rank") <= k)
 
 
-def top_stored(posted: DataFrame, terms: DataFrame, n: int, length: int, raw: float | None, queries: DataFrame, k: int) -> DataFrame:
-    """What top(scores(toks, queries), k) gives, from postings (term, id, tf, dl) and terms (term, df) that are stored by term.
-
-    n, length: chunks and their tokens; raw: the mean of all raw idf values, where it is known.  Of the postings only those of the
-    queries' terms are read, by a filter that reaches the files where the terms are MOST_LITERALS at most."""
-    asked = query_terms(queries)
-    names = [r["term"] for r in asked.select("term").distinct().limit(MOST_LITERALS + 1).collect()]
-    few = len(names) <= MOST_LITERALS
-    mine = lambda df: df.where(F.col("term").isin(names)) if few else df.join(asked.select("term").distinct(), "term", "left_semi")
-    if raw is None:
-        merged = terms.groupBy("term").agg(F.sum("df").alias("df"))
-        raw = merged.agg(F.avg(raw_idf(F.lit(n), F.col("df")))).first()[0] or 0.0
-    own = mine(terms).groupBy("term").agg(F.sum("df").alias("df")).withColumn("raw", raw_idf(F.lit(n), F.col("df")))
-    weights = asked.join(own, "term").select("query_id", "term", "qtf", F.when(F.col("raw") < 0, EPSILON * raw).otherwise(F.col("raw")).alias("idf"))
-    met = mine(posted).join(F.broadcast(weights) if few else weights, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(length / n if length else 1.0)))
-    return top(met.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score")), k)
-
-
-def top_batch(toks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """What top(scores(toks, queries), k) gives."""
-    ship(toks.sparkSession)
-    schema = "query_id bigint, id bigint, score double"
+def length_class(dl: Column) -> Column:
+    """Lengths within a twelfth or so of one another are a class."""
+    return F.floor(8 * F.log2(dl)).cast("bigint")
+
+
+def blocks(toks: DataFrame) -> DataFrame:
+    """BLOCK of toks (project, id, tokens): each term's postings by buckets of some BUCKET chunks of a project.
+
+    A bucket's chunks are of like length, so that what a block can add to a score, which its largest tf and smallest length bound,
+    differs from bucket to bucket: short chunks' buckets are looked at first, long ones' are hardly ever read."""
+    own = toks.where(F.size("tokens") > 0).select("project", "id", F.size("tokens").alias("dl"), "tokens").withColumn("c", length_class(F.col("dl")))
+    sizes = own.groupBy("project", "c").agg(F.ceil(F.count("*") / BUCKET).cast("bigint").alias("parts"))
+    bucket = F.shiftleft(F.col("c"), 40) + F.pmod(F.xxhash64("id"), F.col("parts"))
+    each = own.join(sizes, ["project", "c"]).select("project", bucket.alias("bucket"), "id", "dl", F.explode("tokens").alias("term"))
+    each = each.groupBy("project", "term", "bucket", "id", "dl").agg(F.count("*").alias("tf"))
+    return each.groupBy("project", "term", "bucket").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("id", "tf", "dl")).alias("postings"))
+
+
+class Stored:
+    """Postings that are stored in blocks, and term statistics: what scores of queries come from.
+
+    posted: BLOCK; terms: term, df; n, length: chunks and their tokens; raw: the mean of all raw idf values, where it is known.  Only blocks
+    of the queries' terms are read, by a filter that reaches the files where the terms are MOST_LITERALS at most."""
+
+    def __init__(self, posted: DataFrame, terms: DataFrame, n: int, length: int, raw: float | None, queries: DataFrame):
+        asked = query_terms(queries)
+        names = [r["term"] for r in asked.select("term").distinct().limit(MOST_LITERALS + 1).collect()]
+        few = len(names) <= MOST_LITERALS
+        mine = lambda df: df.where(F.col("term").isin(names)) if few else df.join(asked.select("term").distinct(), "term", "left_semi")
+        if raw is None:
+            merged = terms.groupBy("term").agg(F.sum("df").alias("df"))
+            raw = merged.agg(F.avg(raw_idf(F.lit(n), F.col("df")))).first()[0] or 0.0
+        own = mine(terms).groupBy("term").agg(F.sum("df").alias("df")).withColumn("raw", raw_idf(F.lit(n), F.col("df")))
+        weights = asked.join(own, "term").select("query_id", "term", (F.col("qtf") * F.when(F.col("raw") < 0, EPSILON * raw).otherwise(F.col("raw")) * (K1 + 1)).alias("w"))
+        self.weights = F.broadcast(weights) if weights.limit(MOST_TERMS + 1).count() <= MOST_TERMS else weights
+        self.posted, self.avgdl = mine(posted), length / n if length else 1.0
+
+    def part(self, tf: Column, dl: Column) -> Column:
+        return F.col("w") * tf / (tf + K1 * (1 - B + B * dl / F.lit(self.avgdl)))
+
+    def bounds(self) -> DataFrame:
+        """query_id, project, bucket, bound (no score in the bucket is above it), n_blocks, from the blocks' heads only."""
+        heads = self.posted.select("project", "term", "bucket", "max_tf", "min_dl").join(self.weights, "term")
+        most = F.greatest(F.lit(0.0), self.part(F.col("max_tf"), F.col("min_dl")))
+        return heads.groupBy("query_id", "project", "bucket").agg(F.sum(most).alias("bound"), F.count("*").alias("n_blocks"))
+
+    def scores(self, buckets: DataFrame | None = None) -> DataFrame:
+        """query_id, id, score of the chunks that have a term of the query, of all or of these buckets (query_id, project, bucket)."""
+        met = self.posted.join(self.weights, "term")
+        if buckets is not None:
+            met = met.join(buckets.select("query_id", "project", "bucket"), ["query_id", "project", "bucket"])
+        each = met.select("query_id", "w", F.explode("postings").alias("p"))
+        return each.groupBy("query_id", F.col("p.id").alias("id")).agg(F.round(F.sum(self.part(F.col("p.tf"), F.col("p.dl"))), DIGITS).alias("score"))
+
+    def looks(self, k: int, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
+        """Buckets that are scored first, those of the highest bounds of each query; and those that can still beat the kth of their scores."""
+        order = W.partitionBy("query_id").orderBy(F.desc("bound"), "project", "bucket")
+        ranked = self.bounds().where("bound > 0").withColumn("r", F.row_number().over(order))
+        head = ranked.where(F.col("r") <= first)
+        kth = top(self.scores(head), k).where(F.col("sparse_rank") == k).select("query_id", F.col("score").alias("kth"))
+        rest = self.bounds().where("bound > 0").join(head.select("query_id", "project", "bucket"), ["query_id", "project", "bucket"], "left_anti")
+        rest = rest.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-6))
+        return head, rest
+
+    def top(self, k: int, first: int = FIRST) -> DataFrame:
+        """What top(scores(toks, queries), k) gives, without reading blocks of buckets that can't have any of it."""
+        head, rest = self.looks(k, max(first, -(-2 * k // BUCKET)))
+        return top(self.scores(head).unionByName(self.scores(rest)), k)
+
+
+class Weighted:
+    """The k best positive scores of each of some queries over blocks of chunks' tokens, by one matrix product a block."""
+
+    def __init__(self, ids: np.ndarray, words: pa.ListArray, weights: pa.ListArray, avgdl: float, k: int):
+        self.ids, self.avgdl, self.k = ids, avgdl, k
+        flat = words.flatten()
+        self.known = pc.unique(flat)
+        self.q = np.zeros((len(ids), len(self.known)))
+        row = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        self.q[row, pc.index_in(flat, value_set=self.known).to_numpy(zero_copy_only=False)] = weights.flatten().to_numpy(zero_copy_only=False)
+        self.best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+
+    def add(self, items: pa.RecordBatch) -> None:
+        width = len(self.known)
+        step = max(1, CELLS // max(1, width))
+        for first in range(0, len(items), step):
+            b = items.slice(first, step)
+            dl = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = pc.fill_null(pc.index_in(b.column(1).flatten(), value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            spot = (np.repeat(np.arange(len(b)), dl) * width + code)[code >= 0]
+            tf = np.bincount(spot, minlength=len(b) * width).reshape(len(b), width).astype(np.float64)
+            score = np.round((tf / (tf + (K1 * (1 - B + B * dl / self.avgdl))[:, None])) @ self.q.T, DIGITS)
+            own = b.column(0).to_numpy()
+            for j in range(len(self.ids)):
+                hit = np.flatnonzero(score[:, j] > 0)
+                if len(hit) > self.k:
+                    hit = hit[score[hit, j] >= np.partition(score[hit, j], len(hit) - self.k)[len(hit) - self.k]]
+                if len(hit):
+                    i, s = np.concatenate([self.best[j][0], own[hit]]), np.concatenate([self.best[j][1], score[hit, j]])
+                    order = np.lexsort((i, -s))[: self.k]
+                    self.best[j] = i[order], s[order]
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.repeat(self.ids, [len(i) for i, _ in self.best]), np.concatenate([np.zeros(0, np.int64), *[i for i, _ in self.best]]), np.concatenate([np.zeros(0), *[s for _, s in self.best]])
+
+
+def top_batch(toks: DataFrame, queries: DataFrame, k: int, few: int = QUERIES) -> DataFrame:
+    """What top(scores(toks, queries), k) gives.  Up to `few` queries, of MOST_TERMS terms together, are sent to every task; more meet the chunks in a grid."""
+    spark = toks.sparkSession
+    ship(spark)
     stats = corpus_stats(toks)
     n, avgdl = stats.first()
-    weighted = query_terms(queries).join(idf(document_frequencies(toks), stats), "term").select("query_id", "term", "qtf", "idf").orderBy("query_id", "term")
-    found, block, last = None, [], None
-
-    def searched(rows: list) -> DataFrame:
-        names, ids = sorted({r["term"] for r in rows}), sorted({r["query_id"] for r in rows})
-        at, row = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(ids)}
-        q = np.zeros((len(ids), len(names)))
-        for r in rows:
-            q[row[r["query_id"]], at[r["term"]]] = r["qtf"] * r["idf"] * (K1 + 1)
-        shared = toks.sparkSession.sparkContext.broadcast((names, np.array(ids, np.int64), q))
+    if not n or k <= 0 or not avgdl:
+        return top(spark.createDataFrame([], "query_id bigint, id bigint, score double"), k)
+    weighted = query_terms(queries).join(idf(document_frequencies(toks), stats), "term").select(F.col("query_id").cast("long").alias("id"), F.struct("term", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("w")).alias("t"))
+    asked = weighted.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("t")).select("id", F.col("t.term").alias("words"), F.col("t.w").alias("weights"))
+    items = toks.select(F.col("id").cast("long").alias("id"), F.col("tokens").alias("words"))
+    head = asked.limit(few + 1).toArrow()
+    if len(head) > few or sum(map(len, head.column(1))) > MOST_TERMS:
+        none = F.lit(None).cast("array<double>").alias("weights")
+        found = grid(asked, items.select("*", none), asked.count(), lambda _, q: Weighted(q.column(0).to_numpy(), q.column(1).combine_chunks(), q.column(2).combine_chunks(), avgdl, k))
+    else:
+        shared = spark.sparkContext.broadcast([c.combine_chunks() for c in head.columns])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, ids, q = shared.value
-            known, best = pa.array(names), [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
-            for big in batches:
-                step = max(1, CELLS // max(1, len(names)))
-                for first in range(0, len(big), step):
-                    b = big.slice(first, step)
-                    dl = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-                    code = pc.fill_null(pc.index_in(b.column(1).flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                    spot = (np.repeat(np.arange(len(b)), dl) * len(names) + code)[code >= 0]
-                    tf = np.bincount(spot, minlength=len(b) * len(names)).reshape(len(b), len(names)).astype(np.float64)
-                    score = np.round((tf / (tf + (K1 * (1 - B + B * dl / avgdl))[:, None])) @ q.T, DIGITS)
-                    own = b.column(0).to_numpy()
-                    for j in range(len(ids)):
-                        hit = np.flatnonzero(score[:, j] > 0)
-                        if len(hit) > k:
-                            hit = hit[score[hit, j] >= np.partition(score[hit, j], len(hit) - k)[len(hit) - k]]
-                        if len(hit):
-                            i, s = np.concatenate([best[j][0], own[hit]]), np.concatenate([best[j][1], score[hit, j]])
-                            order = np.lexsort((i, -s))[:k]
-                            best[j] = i[order], s[order]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(i) for i, _ in best]), pa.int64()), pa.array(np.concatenate([i for i, _ in best]), pa.int64()), pa.array(np.concatenate([s for _, s in best]), pa.float64())], schema_names)
-
-        return toks.select(F.col("id").cast("long"), "tokens").mapInArrow(run, schema)
-
-    schema_names = ["query_id", "id", "score"]
-    if n and k > 0 and avgdl:
-        seen = set()
-        for r in weighted.toLocalIterator():
-            if r["query_id"] != last and len(seen) == QUERIES:
-                found = searched(block) if found is None else found.unionByName(searched(block))
-                block, seen = [], set()
-            last = r["query_id"]
-            seen.add(last), block.append(r)
-        if block:
-            found = searched(block) if found is None else found.unionByName(searched(block))
-    return top(toks.sparkSession.createDataFrame([], schema) if found is None else found, k)
+            ids, words, weights = shared.value
+            work = Weighted(ids.to_numpy(), words, weights, avgdl, k)
+            for b in batches:
+                work.add(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in work.hits()], ["query_id", "id", "value"])
+
+        found = items.mapInArrow(run, HITS)
+    return top(found.withColumnRenamed("value", "score"), k)

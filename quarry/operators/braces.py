@@ -11,6 +11,8 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
+from quarry.functions.text import symbol_of
+
 _COMMENT = r"//[^\n]*|/\*.*?\*/"
 _QUOTED = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 _MASKS = {
@@ -31,6 +33,24 @@ def masked(source: str, kind: str) -> str:
     return _MASKS[kind].sub(cover, source)
 
 
+_BRANCH = re.compile(r"[ \t]*#[ \t]*(if|else|elif|endif)")
+
+
+def one_branch(source: str) -> str:
+    """source with spaces for what stands between an #else or #elif and its #endif: of branches that a preprocessor picks from, the first."""
+    out, other = [], []  # other: of the open #ifs, whether this is a later branch
+    for line in source.split("\n"):
+        m = _BRANCH.match(line)
+        if m and m[1] == "if":
+            other.append(any(other[-1:]))
+        elif m and other and m[1] in ("else", "elif"):
+            other[-1] = True
+        elif m and other and m[1] == "endif":
+            other.pop()
+        out.append(" " * len(line) if any(other[-1:]) else line)
+    return "\n".join(out)
+
+
 def pairs(code: str) -> dict[int, int] | None:
     """The place of each opening bracket's closing one; None where they don't pair."""
     found, open_ = {}, []
@@ -48,6 +68,7 @@ def pairs(code: str) -> dict[int, int] | None:
 
 _AGGREGATE = re.compile(r"\s*(?:typedef\s+)?(?:struct|class|union|enum)\b")
 _QUALIFIERS = re.compile(r"\s*(?:(?:const|volatile|noexcept|override|final|mutable|throw|try|&&?)\s*)*(?:->.*)?", re.S)
+_DECLARED = re.compile(r"\s*[A-Za-z_]\w*+(?:[\s*]+[A-Za-z_]\w*+)+(?:\s*\[\w*\])*(?:\s*,[\s*]*[A-Za-z_]\w*+(?:\s*\[\w*\])*)*\s*")
 _ACCESS = re.compile(r"\s*(?:public|private|protected)\s*")
 
 
@@ -78,20 +99,27 @@ def _c_spans(code: str, close: dict[int, int]) -> Iterator[tuple[int, int]]:
     todo = [(0, len(code))]
     while todo:
         at, end = todo.pop()
-        start, groups = at, []
+        start, groups, old = at, [], 0  # old: behind the last declaration between a head's parameters and its body
         while m := stop.search(code, at, end):
             i, at = m.start(), m.end()
             if m[0] in "([":
                 at = close[i] + 1
                 if m[0] == "(":
+                    if old:
+                        start, groups, old = old, [], 0
                     groups.append((i, close[i]))
             elif m[0] == ":":
                 if _ACCESS.fullmatch(code, start, i):
                     start = at
             elif m[0] == ";":
-                start, groups = at, []
+                if groups and _DECLARED.fullmatch(code, old or groups[-1][1] + 1, i) and not re.search(r"=|\btypedef\b", code[start : groups[0][0]]):
+                    old = at
+                else:
+                    start, groups, old = at, [], 0
             else:
-                head = _after_template(code, start, i)
+                if old and not code[old:i].isspace() and i > old:
+                    start, groups = old, []
+                old, head = 0, _after_template(code, start, i)
                 own = [g for g in groups if g[0] >= head]
                 at = close[i] + 1
                 if _is_function(code, head, i, own):
@@ -106,10 +134,25 @@ def _c_spans(code: str, close: dict[int, int]) -> Iterator[tuple[int, int]]:
 
 # --- JavaScript and TypeScript -------------------------------------------------------------------------------------
 
-_METHOD = re.compile(r"(?<![\w$#.])(?:(?:public|private|protected|static|async|override|get|set)\s+|\*\s*)*(?P<name>[\w$#]+|\[[^\[\]{}]*\])\s*\??\s*(?:<[^(){}]*>\s*)?\(")
+_METHOD = re.compile(r"(?<![\w$#.])(?P<name>[\w$#]++|\[[^\[\]{}]*+\])\s*+\??\s*+(?:<[^(){}]{0,500}>\s*+)?\(")
+_MODIFIER = re.compile(r"(?<![\w$#.])(?:public|private|protected|static|async|override|get|set)$")
 _NO_METHOD = {"if", "for", "while", "switch", "catch", "function", "with", "super", "return", "await"}
 
 
+def _with_modifiers(code: str, at: int) -> int:
+    """Where the modifiers before a method's name start."""
+    while True:
+        end = at
+        while end and code[end - 1].isspace():
+            end -= 1
+        if end and code[end - 1] == "*":
+            at = end - 1
+        elif end < at and (m := _MODIFIER.search(code, max(0, end - 10), end)):
+            at = m.start()
+        else:
+            return at
+
+
 def _body(code: str, at: int, close: dict[int, int], typed: bool) -> int | None:
     """The brace that opens a method's body, after its parameters and, where typed, the type of its result."""
     space = re.compile(r"\s*")
@@ -136,44 +179,35 @@ def _js_spans(code: str, close: dict[int, int], typed: bool) -> Iterator[tuple[i
         depths.append((m.start(), depth))
     k, at = 0, 0
     while m := _METHOD.search(code, at):
-        at = m.end()
-        while k < len(depths) and depths[k][0] < m.start():
+        at, start = m.end(), _with_modifiers(code, m.start())
+        while k < len(depths) and depths[k][0] < start:
             k += 1
         if not k or not depths[k - 1][1] or m["name"] in _NO_METHOD:
             continue
-        before = re.search(r"[\w$]*\s*\*?\s*$", code[max(0, m.start() - 40) : m.start()])[0].strip(" \t\r\n*")
+        before = re.search(r"[\w$]*\s*\*?\s*$", code[max(0, start - 40) : start])[0].strip(" \t\r\n*")
         if before in {"function", "extends", "case", "new"}:
             continue
         brace = _body(code, close[m.end() - 1] + 1, close, typed)
         if brace is not None:
-            yield m.start(), close[brace] + 1
+            yield start, close[brace] + 1
 
 
 # --- both ----------------------------------------------------------------------------------------------------------
 
 
-def text_name(text: str) -> str:
-    """The name by the first line's text: after "def ", "class " or "function ", whichever of them in this order is there."""
-    first = text.split("\n", 1)[0].strip()
-    for mark, end in (("def ", "("), ("class ", ":"), ("function ", "(")):
-        if mark in first:
-            return first.split(mark)[1].split(end)[0].strip()
-    return ""
-
-
 def brace_symbols(source: str, language: str) -> list[tuple]:
     """(text, type, name, line_start, line_end, start, end) in preorder, as chunking.python_symbols has them; offsets in bytes.
 
-    All are of type function and named by text_name.  A C++ function that is local to a function's class, and a definition by
+    All are of type function and named by symbol_of.  A C++ function that is local to a function's class, and a definition by
     `= default` or `= delete`, are none."""
     kind = {"c": "c", "cpp": "c", "javascript": "js", "typescript": "js"}.get(language)
     if not kind:
         return []
-    code = masked(source, kind)
+    code = masked(one_branch(source) if kind == "c" else source, kind)
     close = pairs(code)
     if close is None:
         return []
     spans = sorted(_c_spans(code, close) if kind == "c" else _js_spans(code, close, language == "typescript"), key=lambda s: (s[0], -s[1]))
     byte = range(len(source) + 1) if source.isascii() else [0, *accumulate(len(c.encode()) for c in source)]
     line = [0, *accumulate(c == "\n" for c in source)]
-    return [(source[lo:hi], "function", text_name(source[lo:hi]), line[lo] + 1, line[hi - 1] + 1, byte[lo], byte[hi]) for lo, hi in spans]
+    return [(source[lo:hi], "function", symbol_of(source[lo:hi]), line[lo] + 1, line[hi - 1] + 1, byte[lo], byte[hi]) for lo, hi in spans]

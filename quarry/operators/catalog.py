@@ -17,6 +17,11 @@ def list_projects(chunks: DataFrame) -> DataFrame:
 def project_stats(chunks: DataFrame, registry: DataFrame) -> DataFrame:
     """project, n_chunks, n_files, project_path ('N/A' where it isn't registered), last_indexed."""
     counts = chunks.groupBy("project", "path").agg(F.count("*").alias("k")).groupBy("project").agg(F.sum("k").alias("n_chunks"), F.count("path").alias("n_files"))
+    return with_registry(counts, registry)
+
+
+def with_registry(counts: DataFrame, registry: DataFrame) -> DataFrame:
+    """counts (project, n_chunks, n_files) with project_path and last_indexed."""
     return counts.join(registry, "project", "left").select("project", "n_chunks", "n_files", F.coalesce("project_path", F.lit("N/A")).alias("project_path"), "last_indexed")
 
 

@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import content_hash, language, split_lines
@@ -58,8 +58,8 @@ def python_symbols(source: str) -> list[tuple]:
     return out
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """COLUMNS of the symbols of files in the languages of PARSED; files that don't parse and others give no rows."""
+def _parsed(files: DataFrame) -> DataFrame:
+    """_SYMBOLS of files in the languages of PARSED; a file that doesn't parse, or has no symbols, is one row without a type that has its whole text."""
     ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,20 +69,55 @@ def symbols(files: DataFrame) -> DataFrame:
                 try:
                     found = python_symbols(text) if tongue == "python" else brace_symbols(text, tongue)
                 except (SyntaxError, ValueError, RecursionError):
-                    continue
-                rows += [(project, path, i, *x, digest) for i, x in enumerate(found)]
+                    found = []
+                rows += [(project, path, i, *x, digest) for i, x in enumerate(found)] or [(project, path, 0, text, None, None, 0, 0, 0, 0, digest)]
             yield pd.DataFrame(rows, columns=["project", "path", "chunk_idx", "text", "type", "name", "line_start", "line_end", "start", "end", "file_hash"])
 
-    fit = files.where(language(F.col("path")).isin(PARSED) & (F.octet_length("text") <= MOST_BYTES)).select("project", "path", "text", content_hash(F.col("text")).alias("file_hash"), language(F.col("path")).alias("language"))
-    out = fit.mapInPandas(run, _SYMBOLS)
+    return files.select("project", "path", "text", content_hash(F.col("text")).alias("file_hash"), language(F.col("path")).alias("language")).mapInPandas(run, _SYMBOLS)
+
+
+def _parsable() -> Column:
+    return F.coalesce(language(F.col("path")).isin(PARSED) & (F.octet_length("text") <= MOST_BYTES), F.lit(False))
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """COLUMNS of the symbols of files in the languages of PARSED; files that don't parse and others give no rows."""
+    out = _parsed(files.where(_parsable())).where("type is not null")
     return out.withColumn("chunk_id", F.concat_ws(":", "path", "chunk_idx")).withColumn("offset_unit", F.lit("byte")).select(*COLUMNS)
 
 
 def chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Symbols where a file has any, else windows of lines: other languages, over MOST_BYTES, unparsable, or without symbols."""
-    own = symbols(files)
-    rest = files.join(own.select("project", "path").distinct(), ["project", "path"], "left_anti")
-    return own.unionByName(line_windows(rest, size, overlap))
+    """Symbols where a file has any, else windows of lines: other languages, over MOST_BYTES, unparsable, or without symbols.
+
+    Each file is parsed once: what the parser gives back, symbol or text, is one stream, whose texts are cut where they stand."""
+    rest = files.where(~_parsable()).select("project", "path", F.lit(0).alias("chunk_idx"), "text", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("name"), *[F.lit(0).alias(c) for c in ("line_start", "line_end", "start", "end")], content_hash(F.col("text")).alias("file_hash"))
+    both = _parsed(files.where(_parsable())).unionByName(rest)
+    fields = ["chunk_idx", "text", "line_start", "line_end", "start", "end"]
+    step = max(1, size - overlap)
+
+    def cut(lines: Column) -> Column:
+        n = F.size(lines)
+        at = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        end = lambda i: F.least(i + size, n)
+        return F.transform(at, lambda i, k: F.struct(k.alias("chunk_idx"), F.array_join(F.slice(lines, i + 1, end(i) - i), "\n").alias("text"), (i + 1).alias("line_start"), end(i).alias("line_end"), i.alias("start"), end(i).alias("end")))
+
+    windows = F.transform(F.array(split_lines(F.col("text"))), cut)[0]  # the one-element array binds the lines to a name
+    own = F.when(F.col("type").isNull(), windows).otherwise(F.array(F.struct(*fields)))
+    out = both.select("project", "path", "type", "name", "file_hash", F.explode(own).alias("w"))
+    block = F.col("type").isNull()
+    out = out.select("project", "path", *[F.col(f"w.{c}").alias(c) for c in fields], F.coalesce("type", F.lit("block")).alias("type"), F.coalesce("name", F.lit("")).alias("name"), F.when(block, "line").otherwise("byte").alias("offset_unit"), "file_hash")
+    return out.withColumn("chunk_id", F.concat_ws(":", "path", "chunk_idx")).select(*COLUMNS)
+
+
+def windows_of_lines(lines: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """path, chunk_idx, chunk_id, text, line_start, line_end: what line_windows() gives, from lines (path, line, from 0; text) of files that needn't fit into a row.
+
+    A line goes to each window that it is in; a window is `size` lines."""
+    step = max(1, size - overlap)
+    first = F.greatest(F.lit(0), F.expr(f"(line - {size} + {step}) div {step}"))
+    each = lines.select("path", "line", "text", F.explode(F.sequence(first.cast("long"), F.expr(f"line div {step}"))).alias("chunk_idx")).where(F.col("line") < F.col("chunk_idx") * step + size)
+    own = each.groupBy("path", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("w"), F.min("line").alias("lo"), F.max("line").alias("hi"))
+    return own.select("path", F.col("chunk_idx").cast("int").alias("chunk_idx"), F.concat_ws(":", "path", "chunk_idx").alias("chunk_id"), F.array_join("w.text", "\n").alias("text"), (F.col("lo") + 1).cast("int").alias("line_start"), (F.col("hi") + 1).cast("int").alias("line_end"))
 
 
 def chunker(files: DataFrame) -> DataFrame:

@@ -198,9 +198,38 @@ def vec_mean_pool(s, d):
     return each.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
+_built: dict[tuple[str, str], object] = {}
+
+
+def search_index(s, d):
+    """The index that searches read: documents as chunks of their projects, numbered by their ids, with postings.  Built once for each application and folder."""
+    from quarry.sources.store import CHUNK, IndexStore
+
+    key = (s.sparkContext.applicationId, d)
+    if key not in _built:
+        own = files(s, d).withColumns({"project": F.coalesce("project", F.lit("none")), "chunk_id": F.col("doc_id").cast("string"), "chunk_idx": F.lit(0), "id": F.col("doc_id")})
+        none = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in CHUNK.split(", ")) if name not in own.columns]
+        store = IndexStore(s, _base(s, "search-index"))
+        store.replace(own.select("project", "path", "text", "chunk_id", "chunk_idx", "id", *none), [r["project"] for r in own.select("project").distinct().collect()])
+        _built[key] = store
+    return _built[key]
+
+
+def vector_index(s, d):
+    """The inverted-file index of all vectors.  Built once for each application and folder."""
+    from quarry.operators.ivf import VectorIndex
+
+    key = (s.sparkContext.applicationId, d + "/vectors")
+    if key not in _built:
+        index = VectorIndex(s, _base(s, "vector-index"))
+        index.build(vectors(s, d))
+        _built[key] = index
+    return _built[key]
+
+
 def _lists(s, d):
     dn = dense.top(vectors(s, d), batch_vectors(s, d), 10)
-    sp = bm25.top_batch(bm25.tokens(corpus(s, d)), batch_texts(s, d), 10)
+    sp = search_index(s, d).sparse(batch_texts(s, d), 10)
     return dn, sp
 
 
@@ -220,24 +249,30 @@ def rrf_missing(s, d):
     return fusion.looked_up(fusion.fuse(*_lists(s, d)), corpus(s, d).where("id % 2 = 0").select("id")).select("query_id", "id", "rank")
 
 
+def _hybrid(s, d, texts, queries, top_k):
+    """Hits of both sides: postings that are stored, and all vectors."""
+    index = search_index(s, d)
+    chunks = index.chunks().select("id", "path", "text")
+    return fusion.hybrid_search(chunks, vectors(s, d), texts, queries, top_k, sparse=index.sparse(texts, fusion.OVERFETCH * top_k))
+
+
 def hybrid_search(s, d):
     q = vectors(s, d).where("id = 0").select(F.lit(0).cast("long").alias("query_id"), "embedding")
-    return fusion.hybrid_search(corpus(s, d), vectors(s, d), one_text(s), q).select("id", "rank", F.round("score", 9).alias("score"), "search_type", F.sha2("text", 256).alias("text_hash"))
+    return _hybrid(s, d, one_text(s), q, 5).select("id", "rank", F.round("score", 9).alias("score"), "search_type", F.sha2("text", 256).alias("text_hash"))
 
 
 def hybrid_search_batch(s, d):
-    return fusion.hybrid_search(corpus(s, d), vectors(s, d), batch_texts(s, d), batch_vectors(s, d), 10).select("query_id", "id", "rank", F.round("score", 9).alias("score"), "search_type")
+    return _hybrid(s, d, batch_texts(s, d), batch_vectors(s, d), 10).select("query_id", "id", "rank", F.round("score", 9).alias("score"), "search_type")
 
 
 def dense_only_search(s, d):
     q = vectors(s, d).where("id = 0").select(F.lit(0).cast("long").alias("query_id"), "embedding")
-    return fusion.hybrid_search(corpus(s, d), vectors(s, d), one_text(s, "zzzzqq"), q).select("id", "rank", F.round("score", 6).alias("score"), "search_type")
+    return _hybrid(s, d, one_text(s, "zzzzqq"), q, 5).select("id", "rank", F.round("score", 6).alias("score"), "search_type")
 
 
 def search_file_types(s, d):
     q = vectors(s, d).where("id = 0").select(F.lit(0).cast("long").alias("query_id"), "embedding")
-    chunks = files(s, d).select(F.col("doc_id").alias("id"), "path", "text")
-    return fusion.hybrid_search(chunks, vectors(s, d), one_text(s), q, 10).where(tx.suffix(F.col("path")).isin(".en")).select("id", "path", "rank")
+    return _hybrid(s, d, one_text(s), q, 10).where(tx.suffix(F.col("path")).isin(".en")).select("id", "path", "rank")
 
 
 # --- catalog -------------------------------------------------------------------------------------------------------
@@ -386,16 +421,61 @@ def _engine(s):
 
 
 def bm25_stored(s, d):
-    """Scores from an index's stored postings, of documents as chunks of their projects."""
-    from quarry.sources.store import CHUNK
+    """All scores of a query, from an index's stored postings."""
+    return _hits(search_index(s, d).stored(one_text(s)).scores(), "id")
+
+
+def bm25_skipping(s, d):
+    """The best of each benchmark text, from those stored blocks only that can have any of them."""
+    return _hits(search_index(s, d).sparse(batch_texts(s, d), 10), "query_id", "id", "sparse_rank")
+
+
+def bm25_grid(s, d):
+    """The best of each benchmark text, by a grid of queries and chunks."""
+    return _hits(bm25.top_batch(bm25.tokens(corpus(s, d)), batch_texts(s, d), 10, few=0), "query_id", "id", "sparse_rank")
+
+
+def dense_grid(s, d):
+    """The nearest of all vectors to each one whose id is divisible by 10, by a grid of both."""
+    return _hits(dense.top(vectors(s, d), _tenth(s, d), 10, few=0), "query_id", "id", "dense_rank")
+
+
+def _tenth(s, d):
+    return vectors(s, d).where("id % 10 = 0").withColumnRenamed("id", "query_id")
+
+
+def ivf_exact(s, d):
+    """The same from the inverted-file index, by the cells that may have any of them."""
+    return _hits(vector_index(s, d).search_exact(_tenth(s, d), 10), "query_id", "id", "dense_rank")
+
+
+def ivf_search(s, d):
+    """Nearly the same, from the nearest cells, candidates by their codes."""
+    return _hits(vector_index(s, d).search(_tenth(s, d), 10), "query_id", "id", "dense_rank")
+
+
+def vec_masked_mean(s, d):
+    """Means of the vectors of even label in each run of eight ids."""
+    runs = tbl(s, d, "embeddings").groupBy(F.expr("vec_id div 8").alias("run")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding", (1 - F.col("label") % 2).alias("m")))).alias("r"))
+    pooled = runs.select("run", vec.masked_mean(F.col("r.embedding"), F.col("r.m")).alias("v"))
+    return pooled.select("run", F.posexplode("v").alias("dim", "x")).select("run", "dim", F.round("x", 6).alias("mean"))
+
+
+def chunk_splits(s, d):
+    """Windows of lines of files that are read in byte ranges: 200 documents are a file."""
+    from quarry.sources.lines import file_lines
 
-    own = files(s, d).withColumns({"chunk_id": F.col("doc_id").cast("string"), "chunk_idx": F.lit(0)})
-    none = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in CHUNK.split(", ")) if name not in own.columns]
-    store = _engine(s).store
-    store.replace(own.select("project", "path", "text", "chunk_id", "chunk_idx", *none), [r["project"] for r in own.select("project").distinct().collect()])
-    n = own.count()
-    ids = store.chunks().select(F.xxhash64("project", "chunk_id").alias("id"), F.col("chunk_id").cast("long").alias("doc_id"))
-    return store.sparse(one_text(s), n).join(ids, "id").select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
+    base = _base(s, "splits")
+    own = corpus(s, d).withColumn("file", F.expr("id div 200"))
+    own.repartition("file").sortWithinPartitions("file", "id").select("file", "text").write.partitionBy("file").text(f"{base}/files")
+    key, old = "spark.sql.files.maxPartitionBytes", s.conf.get("spark.sql.files.maxPartitionBytes")
+    s.conf.set(key, "65536")
+    try:
+        lines = file_lines(s, f"{base}/files", base)
+    finally:
+        s.conf.set(key, old)
+    lines = lines.withColumn("path", F.regexp_extract("path", "file=([0-9]+)", 1))
+    return chunking.windows_of_lines(lines, 10, 2)
 
 
 def index_project(s, d):
@@ -423,8 +503,8 @@ def stream_changes(s, d):
 
 _ALL = [
     tokenize, split_lines, chunk_lines, chunk_lines_overlap, chunk_lines_default, chunk_dispatch, lang_map, symbol_name, filter_supported, filter_ignored, scan_ragignore,
-    content_hash, chunk_symbols, bm25_tf, bm25_df, bm25_corpus_stats, bm25_idf, bm25_score, bm25_topk, bm25_empty, bm25_stored, dense_topk, dense_rank, dense_topk_batch, vec_normalize,
-    vec_mean_pool, rrf_fuse, rrf_k30, rrf_k90, rrf_missing, hybrid_search, hybrid_search_batch, dense_only_search, search_file_types, scan_chunks, chunks_by_path, list_files,
+    content_hash, chunk_symbols, bm25_tf, bm25_df, bm25_corpus_stats, bm25_idf, bm25_score, bm25_topk, bm25_empty, bm25_stored, bm25_skipping, bm25_grid, dense_topk, dense_rank, dense_topk_batch, dense_grid, ivf_exact, ivf_search, vec_normalize,
+    vec_mean_pool, vec_masked_mean, chunk_splits, rrf_fuse, rrf_k30, rrf_k90, rrf_missing, hybrid_search, hybrid_search_batch, dense_only_search, search_file_types, scan_chunks, chunks_by_path, list_files,
     list_projects, project_stats, total_chunks, dry_run, registry_upsert, registry_lookup, file_content, detect_changes, append_new_chunks, delete_paths, force_clear,
     projects_to_index, parse_changed, coalesce_changes, debounce_sessions, apply_changes, scan_files, discover_repos, embed_text, index_project, health, stream_changes,
 ]

@@ -166,3 +166,14 @@ ORACLES |= {
      n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM b GROUP BY doc_id)
 SELECT d.doc_id AS id, 64 AS dim, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm, """ + ", ".join(f"round(coalesce((SELECT x FROM b WHERE b.doc_id = d.doc_id AND i = {i}) / nullif(n, 0), 0), 4) AS x{i}" for i in range(4)) + " FROM documents d LEFT JOIN n USING (doc_id)",
 }
+
+_TENTH = "SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 10 = 0"
+_WHOLE = "SELECT 'p' AS project, doc_id // 200 AS path, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY doc_id // 200"
+ORACLES |= {
+    "bm25_skipping": f"WITH {_scores(_BATCH)} SELECT query_id, id, sparse_rank::INT AS sparse_rank, round(score, 6) AS score FROM sp WHERE sparse_rank <= 10",
+    "bm25_grid": f"WITH {_scores(_BATCH)} SELECT query_id, id, sparse_rank::INT AS sparse_rank, round(score, 6) AS score FROM sp WHERE sparse_rank <= 10",
+    "dense_grid": f"WITH {_dense(_TENTH)} SELECT query_id, id, dense_rank::INT AS dense_rank, round(score, 6) AS score FROM dn WHERE dense_rank <= 10",
+    "ivf_exact": f"WITH {_dense(_TENTH)} SELECT query_id, id, dense_rank::INT AS dense_rank, round(score, 6) AS score FROM dn WHERE dense_rank <= 10",
+    "vec_masked_mean": "SELECT run, dim::INT AS dim, round(sum(CASE WHEN label % 2 = 0 THEN x::DOUBLE ELSE 0 END) / greatest(count(*) FILTER (label % 2 = 0), 1e-9), 6) AS mean FROM (SELECT vec_id // 8 AS run, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY ALL",
+    "chunk_splits": f"WITH {_chunks(_WHOLE, 10, 2)} SELECT path::VARCHAR AS path, chunk_idx, chunk_id, text, line_start, line_end FROM c",
+}

@@ -1,4 +1,4 @@
-"""The index: chunks, postings and term statistics by project, and the registry of projects.
+"""The index: chunks, blocks of postings and term statistics by project, and the registry of projects.
 
 A change writes the projects it touches, and no others, under a new version; then a numbered pointer names each project's
 version.  Pointers are made under another name and renamed, never written over and never deleted before a newer one is there:
@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import bm25
 
-CHUNK = "path string, chunk_idx int, chunk_id string, text string, type string, name string, line_start int, line_end int, start int, end int, offset_unit string, file_hash string, embedding array<float>, project string"
-POSTING = "term string, id bigint, tf bigint, dl int, project string"
+CHUNK = "path string, chunk_idx int, chunk_id string, text string, type string, name string, line_start int, line_end int, start int, end int, offset_unit string, file_hash string, embedding array<float>, id bigint, project string"
 TERM = "term string, df bigint, project string"
 REGISTRY = "project string, project_path string, first_indexed timestamp, last_indexed timestamp"
 #: Pointers that are kept, and versions that a reader of all projects unites at most before a change writes all of them anew.
@@ -108,6 +107,8 @@ class IndexStore:
         version, columns = uuid.uuid4().hex, [c.split()[0] for c in CHUNK.split(", ")]
         if "embedding" not in df.columns:
             df = df.withColumn("embedding", F.lit(None).cast("array<float>"))
+        own = F.xxhash64("project", "chunk_id")
+        df = df.withColumn("id", F.coalesce("id", own) if "id" in df.columns else own)
         df.where(F.col("project").isin(projects)).select(*columns).write.partitionBy("project").parquet(f"{self.base}/chunks/{version}")
         stats = self._write_postings(version)
         parts = {k: v for k, v in old["parts"].items() if k not in projects} | stats
@@ -116,28 +117,41 @@ class IndexStore:
         self._swept("chunks", ["chunks", "postings", "terms"])
 
     def _write_postings(self, version: str) -> dict:
-        """Postings and document frequencies of a version, sorted by term, so that a search skips what hasn't its terms; statistics by project."""
+        """Postings in blocks and document frequencies of a version, sorted by term, so that a search skips what hasn't its terms; statistics by project."""
         chunks = self.spark.read.schema(CHUNK).parquet(f"{self.base}/chunks/{version}")
-        own = chunks.where("text <> ''").select("project", F.xxhash64("project", "chunk_id").alias("id"), bm25.tokenize(F.col("text")).alias("tokens"))
-        each = own.select("project", "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("project", "term", "id", "dl").agg(F.count("*").alias("tf"))
-        each.repartitionByRange("project", "term").sortWithinPartitions("project", "term").write.partitionBy("project").parquet(f"{self.base}/postings/{version}")
-        postings = self.spark.read.schema(POSTING).parquet(f"{self.base}/postings/{version}")
-        postings.groupBy("project", "term").agg(F.count("*").alias("df")).repartitionByRange("project", "term").sortWithinPartitions("project", "term").write.partitionBy("project").parquet(f"{self.base}/terms/{version}")
-        sizes = {r["project"]: r for r in own.groupBy("project").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("length")).collect()}
+        own = chunks.where("text <> ''").select("project", "id", bm25.tokenize(F.col("text")).alias("tokens"))
+        bm25.blocks(own).repartitionByRange("project", "term", "bucket").sortWithinPartitions("project", "term", "bucket").write.partitionBy("project").parquet(f"{self.base}/postings/{version}")
+        posted = self.spark.read.schema(bm25.BLOCK).parquet(f"{self.base}/postings/{version}")
+        posted.groupBy("project", "term").agg(F.sum("n").alias("df")).repartitionByRange("project", "term").sortWithinPartitions("project", "term").write.partitionBy("project").parquet(f"{self.base}/terms/{version}")
+        counted = chunks.groupBy("project").agg(F.count("*").alias("chunks"), F.count_if((F.col("chunk_idx") == 0) & (F.col("path") != "")).alias("files"), F.count_if(F.col("text") != "").alias("n"))
+        lengths = own.groupBy("project").agg(F.sum(F.size("tokens")).alias("length"))
+        sizes = {r["project"]: r for r in counted.join(lengths, "project", "left").collect()}
         count = self.spark.createDataFrame([(p, r["n"]) for p, r in sizes.items()], "project string, n bigint")
         terms = self.spark.read.schema(TERM).parquet(f"{self.base}/terms/{version}").join(F.broadcast(count), "project")
         raws = {r["project"]: r["raw"] for r in terms.groupBy("project").agg(F.avg(bm25.raw_idf(F.col("n"), F.col("df"))).alias("raw")).collect()}
-        found = [r["project"] for r in chunks.select("project").distinct().collect()]  # projects of this change
-        return {p: {"version": version, "n": sizes[p]["n"] if p in sizes else 0, "length": sizes[p]["length"] if p in sizes else 0, "raw": raws.get(p)} for p in found}
+        return {p: {"version": version, "n": r["n"], "length": r["length"] or 0, "raw": raws.get(p), "chunks": r["chunks"], "files": r["files"]} for p, r in sizes.items()}
+
+    def stats(self, project: str | None = None) -> dict[str, int]:
+        """chunks and files of a project or of all, as they were counted when they were written."""
+        parts = self._pointer("chunks")["parts"]
+        own = [v for k, v in parts.items() if project is None or k == project]
+        return {c: sum(v[c] for v in own) for c in ("chunks", "files")}
+
+    def counts(self) -> DataFrame:
+        """project, n_chunks, n_files, from the same."""
+        return self.spark.createDataFrame([(k, v["chunks"], v["files"]) for k, v in self._pointer("chunks")["parts"].items()], "project string, n_chunks bigint, n_files bigint")
 
     def sparse(self, texts: DataFrame, k: int, project: str | None = None) -> DataFrame:
-        """query_id, id, score, sparse_rank of texts (query_id, text) by BM25, from the stored postings of the queries' terms."""
+        """query_id, id, score, sparse_rank of texts (query_id, text) by BM25, from the stored blocks that can matter."""
+        return self.stored(texts, project).top(k)
+
+    def stored(self, texts: DataFrame, project: str | None = None) -> bm25.Stored:
         parts = self._pointer("chunks")["parts"]
         own = [p for p in parts if project is None or p == project]
         n, length = sum(parts[p]["n"] for p in own), sum(parts[p]["length"] for p in own)
         terms = self._table("terms", TERM, own)
         raw = parts[own[0]]["raw"] if len(own) == 1 else None
-        return bm25.top_stored(self._table("postings", POSTING, own), terms, n, length, raw, texts, k)
+        return bm25.Stored(self._table("postings", bm25.BLOCK, own), terms, n, length, raw, texts)
 
     def applied(self, batch: list) -> bool:
         """Whether a source's batch, whose numbers ascend, has been applied."""

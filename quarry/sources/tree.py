@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -87,6 +88,22 @@ def scan_files(spark: SparkSession, root: str, project: str = "default") -> Data
     return df.select(F.lit(project).alias("project"), "path", "text")
 
 
+def read_files(files: DataFrame) -> DataFrame:
+    """files (project, path) with op and text, read by tasks: upsert and the text, without bytes that aren't UTF-8, or delete and null where there is no file."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for project, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    text = Path(path).read_bytes().decode("utf-8", "ignore")
+                except (FileNotFoundError, IsADirectoryError, NotADirectoryError):
+                    text = None
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (project, path, "delete" if text is None else "upsert", text)], ["project", "path", "op", "text"])
+
+    return files.select("project", "path").mapInArrow(run, "project string, path string, op string, text string")
+
+
 def discover_repos(spark: SparkSession, roots: list[str]) -> DataFrame:
     """path, name of every folder below roots that holds a .git folder; roots that don't exist are reported and left out."""
     ship(spark)

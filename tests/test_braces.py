@@ -100,3 +100,19 @@ def test_chunks_of_braces(spark: SparkSession):
     got = chunking.chunks(spark.createDataFrame(rows, "project string, path string, text string")).collect()
     kinds = {path: sorted((r["type"], r["line_start"], r["line_end"]) for r in got if r["path"] == path) for path in ("a.c", "b.ts", "c.js", "d.java")}
     assert kinds == {"a.c": [("function", 9, 13), ("function", 14, 14)], "b.ts": [("function", 2, 2), ("function", 4, 4), ("function", 6, 6)], "c.js": [("block", 1, 1)], "d.java": [("block", 1, 1)]}
+
+
+def test_runs_of_modifiers_take_linear_time():
+    import time
+
+    for body in ("static " * 60_000, "a<" * 30_000, "get set " * 30_000 + "x", "[" * 1 + "a " * 60_000 + "]"):
+        began = time.time()
+        brace_symbols("class A {\n" + body + "\nstatic async f() { }\n}\n", "javascript")
+        assert time.time() - began < 5, body[:20]
+    assert [x[0] for x in brace_symbols("class A { static async f() { } get (x) { } *gen() { } static get y() { } }", "javascript")] == ["static async f() { }", "get (x) { }", "*gen() { }", "static get y() { }"]
+
+
+def test_first_branch_and_old_heads():
+    source = "#ifdef A\nint f(int x) {\n#else\nint f(long x) {\n#endif\n  return x;\n}\nint g(a, b) int a; char *b, c[2]; { return a; }\nint h(int);\nint k(void) { return 1; }\nMACRO(z) int q; int m() { return 2; }\n"
+    got = [x[0].split("{")[0].strip().split("(")[0].split()[-1] for x in brace_symbols(source, "c")]
+    assert got == ["f", "g", "k", "m"]

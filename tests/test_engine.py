@@ -290,21 +290,6 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT quarry_tokenize('A bc D_e') t, quarry_squared_l2(array(1f, 2f), array(3f, 5f)) d").first()[:] == (["bc", "d_e"], 13.0)
 
 
-def test_watch_waits_until_the_tree_is_quiet(tree):
-    from quarry.streaming.poll import watch
-
-    now, calls, steps = [0.0], [], iter([("pkg/b.py", "1"), None, ("pkg/b.py", "22"), None, None, None, ("own/z.py", "ignored"), None, None])
-
-    def sleep(seconds):
-        now[0] += 2
-        step = next(steps)
-        if step:
-            (tree / step[0]).write_text(step[1])
-
-    watch(str(tree), calls.append, debounce=5, looks=range(9), clock=lambda: now[0], sleep=sleep)
-    assert calls == [[f"{tree}/pkg/b.py"]]
-
-
 def test_hook(tree):
     from quarry.sources.tree import install_hook
 
