@@ -67,17 +67,27 @@ def terms(column: pa.Array, patterns: bool = True) -> Iterator[tuple[int, int, n
             yield at + i, at + j, np.bincount(np.concatenate(found), minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
 
 
+def _length(x: np.ndarray) -> np.ndarray:
+    """Of each row; 1 of a zero row."""
+    n = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return np.where(n == 0, 1, n)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return x / _length(x)
 
 
 class Model:
-    """idf, mean, basis: term counts to latent dimensions; vectors, votes: of the labelled rows; curve: slope and offset."""
+    """idf, mean, basis: term counts to latent dimensions; vectors, votes: of the labelled rows; curve: slope and offset.
+
+    x, the labelled rows' counts, is overwritten: it is the largest thing that the driver holds."""
 
     def __init__(self, x: np.ndarray, votes: np.ndarray):
         rng = np.random.default_rng(11)
         self.idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
-        c = _unit(np.log1p(x) * self.idf)
+        c = np.log1p(x, out=x)
+        c *= self.idf
+        c /= _length(c)
         self.mean = c.mean(0) if len(x) else np.zeros(TERMS, np.float32)
         c -= self.mean
         k = min(DIMENSIONS, *c.shape) if len(x) else 1
