@@ -42,7 +42,16 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("gpl-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("eupl", "Licensed under the European Union Public Licence EUPL"),
+    ("artistic", "distributed under the terms of the Artistic License"),
 ]
+#: Licenses by their identifiers in the tag that source files have on one line; the label is the identifier.
+TAGGED = ["MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EUPL-1.2", "Artistic-2.0", "Unlicense"]
+TAGS = [(x.lower(), f"SPDX-License-Identifier: {x}") for x in TAGGED]
 #: Whole license texts, or the whole notice that a license asks for, which stand on several lines.
 NOTICES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
@@ -54,7 +63,7 @@ NOTICES = [
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 #: Words that tell a license from its siblings, by label; a template that has them isn't met without.
-DISTINGUISHING = {"mit": ["mit"], "apache-2.0": ["apache", "2"], "gpl-3.0": ["3"], "lgpl": ["lesser"], "cc-by-nc-4.0": ["nc", "4"], "cc-by-sa-4.0": ["sharealike", "4"], "mpl-2.0": ["mozilla", "2"], "isc": ["fee"]}
+DISTINGUISHING = {"mit": ["mit"], "apache-2.0": ["apache", "2"], "gpl-3.0": ["3"], "lgpl": ["lesser"], "cc-by-nc-4.0": ["nc", "4"], "cc-by-sa-4.0": ["sharealike", "4"], "mpl-2.0": ["mozilla", "2"], "isc": ["fee"], "gpl-2.0": ["2"], "agpl": ["affero"], "cc0-1.0": ["waived"], "cc-4.0": ["attribution", "4"], "eupl": ["eupl"], "artistic": ["artistic"]}
 
 
 def template_sets(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, list[str]]]:
@@ -62,6 +71,8 @@ def template_sets(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[st
 
 
 def _needed(label: str, words: list[str], strict: bool) -> list[str]:
+    if strict and "spdx" in words:  # all that the identifier says
+        return sorted(set(words) - {"license", "identifier"})
     return [w for w in DISTINGUISHING.get(label, []) if w in words] if strict else []
 
 
@@ -132,18 +143,18 @@ def _base_places(words: Column) -> Column:
     return F.when(some, F.filter(F.transform(words, place), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<i:int,label:string>>"))
 
 
-def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False, strict: bool = False) -> DataFrame:
+def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, wrapped: bool = False, strict: bool = False, tags: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 with a base phrase, else the best containment that meets the threshold, else 0.  Null and empty texts have
     no words and no labels ('').  Equal rows give equal results, one each; rows of one id and other texts are kept apart.
     Null ids count as an id.  wrapped: statements that line breaks cut, and NOTICES, count too.  strict: only
-    with the words that tell a license from its siblings.  Other columns are not read."""
+    with the words that tell a license from its siblings.  tags: lines with an SPDX identifier count.  Other columns are not read."""
     base = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), pinned(letter_words(F.col("text"))).alias("words"))
     base = base.select("id", "h", F.size("words").cast("long").alias("n"), pinned(_base_places(F.col("words"))).alias("at"))
     base = base.select("id", "h", "n", F.size("at").cast("long").alias("n_base"), F.array_min("at.i").cast("long").alias("first_word"), F.array_max("at.i").cast("long").alias("last_word"), F.array_distinct("at.label").alias("bl"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("c"))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("n", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("bl", "array<string>"))]
-    met = matching_blocks(docs, templates, threshold, strict).select("id", "h", "label", "containment")
+    met = matching_blocks(docs, templates + TAGS if tags else templates, threshold, strict).select("id", "h", "label", "containment")
     if wrapped:
         met = met.unionByName(wrapped_blocks(docs, templates + NOTICES, threshold, strict))
     found = met.groupBy("id", "h", "label").agg(F.max("containment").alias("c")).select("id", "h", *none, "label", "c")
@@ -156,7 +167,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True, strict=True)
+    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True, strict=True, tags=True)
 
 
 def _oracle() -> str:
@@ -175,7 +186,7 @@ WITH w AS (SELECT doc_id, regexp_extract_all({lower}, {word}) AS w FROM document
      p AS (SELECT * FROM (VALUES {phrases}) AS v(ws, label)),
      places AS (SELECT doc_id, i - 1 AS i, label FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w), p WHERE w[i:i + len(ws) - 1] = ws),
      pb AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM places GROUP BY doc_id),
-     t AS {sets(TEMPLATES)},
+     t AS {sets(TEMPLATES + TAGS)},
      t2 AS {sets(TEMPLATES + NOTICES)},
      blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split({lower}, chr(10))), {word})) AS b FROM documents),
      lined AS (SELECT doc_id, label, len(list_intersect(b, ts)) / len(ts) AS c FROM blocks, t WHERE len(list_intersect(b, ts)) >= alpha AND list_has_all(b, needed)),
