@@ -35,6 +35,8 @@ MOST_LITERALS = 2000
 QUERIES, CELLS = 1024, 2_000_000
 #: Chunks of a bucket of stored postings, and buckets that a query's first look takes.
 BUCKET, FIRST = 128, 8
+#: Chunks of an index from which a second look costs less than the blocks that it saves.
+SKIPS = 200_000
 BLOCK = "term string, bucket bigint, max_tf bigint, min_dl int, n int, postings array<struct<id:bigint,tf:bigint,dl:int>>, project string"
 
 
@@ -121,16 +123,24 @@ class Stored:
     of the queries' terms are read, by a filter that reaches the files where the terms are MOST_LITERALS at most."""
 
     def __init__(self, posted: DataFrame, terms: DataFrame, n: int, length: int, raw: float | None, queries: DataFrame):
-        asked = query_terms(queries)
-        names = [r["term"] for r in asked.select("term").distinct().limit(MOST_LITERALS + 1).collect()]
-        few = len(names) <= MOST_LITERALS
-        mine = lambda df: df.where(F.col("term").isin(names)) if few else df.join(asked.select("term").distinct(), "term", "left_semi")
+        spark, asked = queries.sparkSession, query_terms(queries)
+        rows = asked.limit(MOST_TERMS + 1).collect()
+        names = sorted({r["term"] for r in rows})
+        few = len(rows) <= MOST_TERMS
+        known = F.broadcast(spark.createDataFrame([(x,) for x in names], "term string")) if few else asked.select("term").distinct()
+        mine = lambda df: df.where(F.col("term").isin(names)) if few and len(names) <= MOST_LITERALS else df.join(known, "term", "left_semi")
         if raw is None:
             merged = terms.groupBy("term").agg(F.sum("df").alias("df"))
             raw = merged.agg(F.avg(raw_idf(F.lit(n), F.col("df")))).first()[0] or 0.0
         own = mine(terms).groupBy("term").agg(F.sum("df").alias("df")).withColumn("raw", raw_idf(F.lit(n), F.col("df")))
-        weights = asked.join(own, "term").select("query_id", "term", (F.col("qtf") * F.when(F.col("raw") < 0, EPSILON * raw).otherwise(F.col("raw")) * (K1 + 1)).alias("w"))
-        self.weights = F.broadcast(weights) if weights.limit(MOST_TERMS + 1).count() <= MOST_TERMS else weights
+        own = own.select("term", F.when(F.col("raw") < 0, EPSILON * raw).otherwise(F.col("raw")).alias("idf"))
+        if few:  # a number for each of the queries' terms
+            idf = {r["term"]: r["idf"] for r in own.collect()}
+            weights = [(r["query_id"], r["term"], r["qtf"] * idf[r["term"]] * (K1 + 1)) for r in rows if r["term"] in idf]
+            self.weights = F.broadcast(spark.createDataFrame(weights, f"query_id {asked.schema['query_id'].dataType.simpleString()}, term string, w double"))
+        else:
+            self.weights = asked.join(own, "term").select("query_id", "term", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("w"))
+        self.n = n
         self.posted, self.avgdl = mine(posted), length / n if length else 1.0
 
     def part(self, tf: Column, dl: Column) -> Column:
@@ -160,8 +170,10 @@ class Stored:
         rest = rest.join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-6))
         return head, rest
 
-    def top(self, k: int, first: int = FIRST) -> DataFrame:
-        """What top(scores(toks, queries), k) gives, without reading blocks of buckets that can't have any of it."""
+    def top(self, k: int, first: int = FIRST, least: int = SKIPS) -> DataFrame:
+        """What top(scores(toks, queries), k) gives, without reading blocks of buckets that can't have any of it; all blocks of an index under `least` chunks."""
+        if self.n < least:
+            return top(self.scores(), k)
         head, rest = self.looks(k, max(first, -(-2 * k // BUCKET)))
         return top(self.scores(head).unionByName(self.scores(rest)), k)
 

@@ -11,17 +11,23 @@ from quarry.operators import bm25, dense
 K, OVERFETCH = 60, 2
 
 
+def _fused(dense_hits: DataFrame, sparse_hits: DataFrame, k: int) -> DataFrame:
+    """All hits of both lists: query_id, id, dense_rank, near (the dense score), sparse_rank, score, rank."""
+    near = F.max("score") if "score" in dense_hits.columns else F.lit(None).cast("double")
+    d = dense_hits.groupBy("query_id", "id").agg(F.max("dense_rank").alias("dense_rank"), near.alias("near"))
+    s = sparse_hits.groupBy("query_id", "id").agg(F.min("sparse_rank").alias("sparse_rank"))
+    part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(c)), F.lit(0.0))
+    both = d.join(s, ["query_id", "id"], "full_outer").withColumn("score", part("dense_rank") + part("sparse_rank"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("dense_rank"), "sparse_rank")
+    return both.withColumn("rank", F.row_number().over(order))
+
+
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, k: int = K, top_k: int = 10) -> DataFrame:
     """query_id, id, score, dense_rank, sparse_rank, rank: 1 / (k + rank) of both lists, summed.
 
     Of an id's ranks in the dense list the last counts, in the sparse list the first.  Equal scores go by dense rank, then
     by sparse rank.  The cut to top_k comes before any look-up."""
-    d = dense_hits.groupBy("query_id", "id").agg(F.max("dense_rank").alias("dense_rank"))
-    s = sparse_hits.groupBy("query_id", "id").agg(F.min("sparse_rank").alias("sparse_rank"))
-    part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(c)), F.lit(0.0))
-    both = d.join(s, ["query_id", "id"], "full_outer").withColumn("score", part("dense_rank") + part("sparse_rank"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("dense_rank"), "sparse_rank")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return _fused(dense_hits, sparse_hits, k).where(F.col("rank") <= top_k).drop("near")
 
 
 def looked_up(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -37,9 +43,7 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, texts: DataFrame, queri
     near = dense.top(vectors, queries, OVERFETCH * top_k)
     if sparse is None:
         sparse = bm25.top_batch(bm25.tokens(chunks), texts, OVERFETCH * top_k)
-    fused = fuse(near, sparse, k, top_k)
-    has = sparse.select("query_id").distinct()
-    both = fused.join(has, "query_id", "left_semi").withColumn("search_type", F.lit("hybrid_rrf"))
-    only = near.join(has, "query_id", "left_anti").where(F.col("dense_rank") <= top_k)
-    only = only.select("query_id", "id", "score", "dense_rank", F.lit(None).cast("int").alias("sparse_rank"), F.col("dense_rank").alias("rank"), F.lit("dense_only").alias("search_type"))
-    return looked_up(both.select(*only.columns).unionByName(only), chunks)
+    has = F.max(F.col("sparse_rank").isNotNull()).over(W.partitionBy("query_id"))  # each side is searched once
+    hits = _fused(near, sparse, k).withColumn("has", has)
+    hits = hits.select("query_id", "id", F.when(F.col("has"), F.col("score")).otherwise(F.col("near")).alias("score"), "dense_rank", "sparse_rank", F.when(F.col("has"), F.col("rank")).otherwise(F.col("dense_rank")).alias("rank"), F.when(F.col("has"), "hybrid_rrf").otherwise("dense_only").alias("search_type"))
+    return looked_up(hits.where(F.col("rank") <= top_k), chunks)

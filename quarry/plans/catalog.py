@@ -256,6 +256,17 @@ def _hybrid(s, d, texts, queries, top_k):
     return fusion.hybrid_search(chunks, vectors(s, d), texts, queries, top_k, sparse=index.sparse(texts, fusion.OVERFETCH * top_k))
 
 
+def sql_fuse(s, d):
+    """The same by the table function."""
+    from quarry.functions import sql
+
+    sql.register(s)
+    dn, sp = _lists(s, d)
+    side = lambda df, word: df.select("query_id", "id", F.lit(word).alias("side"), F.col(f"{word}_rank").alias("rank"))
+    side(dn, "dense").unionByName(side(sp, "sparse")).createOrReplaceTempView("quarry_hits")
+    return s.sql("SELECT query_id, id, round(score, 9) AS score, rank FROM quarry_fuse(TABLE(quarry_hits) PARTITION BY query_id ORDER BY rank)")
+
+
 def hybrid_search(s, d):
     q = vectors(s, d).where("id = 0").select(F.lit(0).cast("long").alias("query_id"), "embedding")
     return _hybrid(s, d, one_text(s), q, 5).select("id", "rank", F.round("score", 9).alias("score"), "search_type", F.sha2("text", 256).alias("text_hash"))
@@ -335,6 +346,16 @@ def detect_changes(s, d):
     return changes.detect_changes(next_files(s, d), old_chunks(s, d))
 
 
+def detect_by_digest(s, d):
+    """Files that differ, by digests of folders, a level at a time."""
+    from quarry.operators import digests
+
+    own = lambda df: df.select("project", "path", tx.content_hash(F.col("text")).alias("digest"))
+    old = own(files(s, d).withColumn("path", F.concat(F.col("path"), F.lit(".py"))))
+    found, _ = digests.compared(digests.nodes(own(next_files(s, d)), 2), digests.nodes(old, 2), 2)
+    return found.select("project", F.concat(F.lit("/"), "path").alias("path"), "change")
+
+
 def append_new_chunks(s, d):
     old, new = old_chunks(s, d), chunking.line_windows(next_files(s, d), 8, 0)
     return changes.append_new(old, new).select("project", "chunk_id", "line_start", "line_end")
@@ -367,6 +388,21 @@ def debounce_sessions(s, d):
     return out.select("project", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), F.date_format("session_end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "n_events")
 
 
+def stream_debounce(s, d):
+    """The log as a stream; bursts wait in state for the watermark."""
+    from quarry.streaming.debounce import debounced
+
+    base = _base(s, "bursts")
+    log = code_events(s, d).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    log.write.parquet(f"{base}/log")
+    last = log.agg(F.max("event_time").alias("t"))  # time goes on after the log
+    last.select(F.lit("~").alias("project"), F.lit("~").alias("path"), F.lit("upsert").alias("op"), (F.col("t") + F.expr("interval 3000 days")).alias("event_time"), F.lit(0).cast("bigint").alias("event_id")).write.mode("append").parquet(f"{base}/log")
+    stream = debounced(s.readStream.schema(log.schema).parquet(f"{base}/log"), 5000, "1000 days")
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
+    out = s.read.schema(stream.schema).parquet(f"{base}/out")
+    return out.select("project", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), F.date_format("session_end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "n_events")
+
+
 def apply_changes(s, d):
     new = next_files(s, d).select("project", "path", F.lit("upsert").alias("op"), "text")
     gone = files(s, d).where("doc_id % 10 = 1").select("project", F.concat("path", F.lit(".py")).alias("path"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("text"))
@@ -427,7 +463,7 @@ def bm25_stored(s, d):
 
 def bm25_skipping(s, d):
     """The best of each benchmark text, from those stored blocks only that can have any of them."""
-    return _hits(search_index(s, d).sparse(batch_texts(s, d), 10), "query_id", "id", "sparse_rank")
+    return _hits(search_index(s, d).sparse(batch_texts(s, d), 10, least=0), "query_id", "id", "sparse_rank")
 
 
 def bm25_grid(s, d):
@@ -504,9 +540,9 @@ def stream_changes(s, d):
 _ALL = [
     tokenize, split_lines, chunk_lines, chunk_lines_overlap, chunk_lines_default, chunk_dispatch, lang_map, symbol_name, filter_supported, filter_ignored, scan_ragignore,
     content_hash, chunk_symbols, bm25_tf, bm25_df, bm25_corpus_stats, bm25_idf, bm25_score, bm25_topk, bm25_empty, bm25_stored, bm25_skipping, bm25_grid, dense_topk, dense_rank, dense_topk_batch, dense_grid, ivf_exact, ivf_search, vec_normalize,
-    vec_mean_pool, vec_masked_mean, chunk_splits, rrf_fuse, rrf_k30, rrf_k90, rrf_missing, hybrid_search, hybrid_search_batch, dense_only_search, search_file_types, scan_chunks, chunks_by_path, list_files,
-    list_projects, project_stats, total_chunks, dry_run, registry_upsert, registry_lookup, file_content, detect_changes, append_new_chunks, delete_paths, force_clear,
-    projects_to_index, parse_changed, coalesce_changes, debounce_sessions, apply_changes, scan_files, discover_repos, embed_text, index_project, health, stream_changes,
+    vec_mean_pool, vec_masked_mean, chunk_splits, rrf_fuse, rrf_k30, rrf_k90, sql_fuse, rrf_missing, hybrid_search, hybrid_search_batch, dense_only_search, search_file_types, scan_chunks, chunks_by_path, list_files,
+    list_projects, project_stats, total_chunks, dry_run, registry_upsert, registry_lookup, file_content, detect_changes, detect_by_digest, append_new_chunks, delete_paths, force_clear,
+    projects_to_index, parse_changed, coalesce_changes, debounce_sessions, stream_debounce, apply_changes, scan_files, discover_repos, embed_text, index_project, health, stream_changes,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -30,7 +30,7 @@ class ConcurrentUpdate(RuntimeError):
 
 class IndexStore:
     def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
+        self.spark, self.base, self._raws = spark, base.rstrip("/"), {}
 
     def _fs(self, path: str):  # noqa: ANN202
         jvm = self.spark.sparkContext._jvm
@@ -141,18 +141,25 @@ class IndexStore:
         """project, n_chunks, n_files, from the same."""
         return self.spark.createDataFrame([(k, v["chunks"], v["files"]) for k, v in self._pointer("chunks")["parts"].items()], "project string, n_chunks bigint, n_files bigint")
 
-    def sparse(self, texts: DataFrame, k: int, project: str | None = None) -> DataFrame:
-        """query_id, id, score, sparse_rank of texts (query_id, text) by BM25, from the stored blocks that can matter."""
-        return self.stored(texts, project).top(k)
+    def sparse(self, texts: DataFrame, k: int, project: str | None = None, least: int = bm25.SKIPS) -> DataFrame:
+        """query_id, id, score, sparse_rank of texts (query_id, text) by BM25, from the stored blocks; from `least` chunks on from those that can matter."""
+        return self.stored(texts, project).top(k, least=least)
 
     def stored(self, texts: DataFrame, project: str | None = None) -> bm25.Stored:
         parts = self._pointer("chunks")["parts"]
         own = [p for p in parts if project is None or p == project]
         n, length = sum(parts[p]["n"] for p in own), sum(parts[p]["length"] for p in own)
         terms = self._table("terms", TERM, own)
-        raw = parts[own[0]]["raw"] if len(own) == 1 else None
+        raw = parts[own[0]]["raw"] if len(own) == 1 else self._raw(sorted({parts[p]["version"] for p in own}), tuple(sorted(own)), n, terms)
         return bm25.Stored(self._table("postings", bm25.BLOCK, own), terms, n, length, raw, texts)
 
+    def _raw(self, versions: list[str], projects: tuple[str, ...], n: int, terms: DataFrame) -> float:
+        """The mean of all raw idf values of some projects; remembered, for as long as their versions are the same."""
+        key = (*versions, *projects)
+        if key not in self._raws:
+            self._raws = {key: terms.groupBy("term").agg(F.sum("df").alias("df")).agg(F.avg(bm25.raw_idf(F.lit(n), F.col("df")))).first()[0] or 0.0}
+        return self._raws[key]
+
     def applied(self, batch: list) -> bool:
         """Whether a source's batch, whose numbers ascend, has been applied."""
         return self._pointer("chunks")["batches"].get(batch[0], -1) >= batch[1]

@@ -146,3 +146,37 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("QUARRY_INDEX", "/env")
     monkeypatch.setenv("QUARRY_EMBEDDER", "")
     assert config.setting("index") == "/env" and config.setting("embedder") == "hashing"
+
+
+def test_digests_descend_to_what_differs(spark):
+    """One file of many changes: one path of folders is looked at."""
+    from quarry.operators import digests
+
+    paths = [f"a{i}/b{j}/f{k}.py" for i in range(6) for j in range(5) for k in range(4)] + ["top.py"]
+    old = [("p", x, "1") for x in paths] + [("q", "x/y/z.py", "1")]
+    new = [("p", x, "2" if x == "a3/b2/f1.py" else "1") for x in paths] + [("q", "x/y/z.py", "1"), ("q", "x/new.py", None)]
+    frame = lambda rows: digests.nodes(spark.createDataFrame(rows, "project string, path string, digest string"), 3)
+    found, seen = digests.compared(frame(new), frame(old), 3)
+    assert sorted(map(tuple, found.collect())) == [("p", "a3/b2/f1.py", "changed"), ("q", "x/new.py", "added")]
+    looked = [sorted(r["path"] for r in x.where("project = 'p'").collect()) for x in seen]
+    assert looked == [sorted([f"a{i}" for i in range(6)] + ["top.py"]), [f"a3/b{j}" for j in range(5)], [f"a3/b2/f{k}.py" for k in range(4)]]
+    gone, _ = digests.compared(frame(old[:5]), frame(old), 3)
+    assert sorted(r["path"] for r in gone.collect()) == sorted([x for _, x, _ in old[5:]]) and {r["change"] for r in gone.collect()} == {"removed"}
+    same, _ = digests.compared(frame(old), frame(list(reversed(old))), 3)
+    assert same.count() == 0
+
+
+def test_fuse_in_sql(spark):
+    from quarry.functions import sql
+    from quarry.operators import fusion
+
+    sql.register(spark)
+    dense = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 10, 1)], "query_id long, id long, dense_rank int")
+    sparse = spark.createDataFrame([(1, 11, 1), (1, 10, 2), (1, 13, 3)], "query_id long, id long, sparse_rank int")
+    side = lambda df, w: df.select("query_id", "id", F.lit(w).alias("side"), F.col(f"{w}_rank").alias("rank"))
+    side(dense, "dense").unionByName(side(sparse, "sparse")).createOrReplaceTempView("hits")
+    got = spark.sql("SELECT * FROM quarry_fuse(k => 60, top_k => 3, hits => TABLE(hits) PARTITION BY query_id ORDER BY rank)")
+    want = fusion.fuse(dense, sparse, 60, 3).select("query_id", "id", "score", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(Exception, match="has no"):
+        spark.sql("SELECT * FROM quarry_fuse(TABLE(SELECT 1 AS x) PARTITION BY x)").collect()
