@@ -35,7 +35,7 @@ class Engine:
             mine = mine.limit(0)
         n_before = 0 if force else self.store.stats(project)["files"]
         if mode == "append":
-            after = changes.append_new(mine, self._chunked(files))
+            after = changes.append_new(mine, self._chunked(files), None if force else self.store.known(project))
         else:
             seen = changes.detect_changes(files, mine)
             touched = seen.where("change <> 'unchanged'").select("project", "path")

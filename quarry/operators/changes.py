@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import content_hash, is_supported
+from quarry.operators import bloom
 
 
 def parse_changed(lists: DataFrame) -> DataFrame:
@@ -38,10 +39,18 @@ def detect_changes(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select("project", "path", change.alias("change"))
 
 
-def append_new(chunks: DataFrame, more: DataFrame) -> DataFrame:
-    """chunks and those of more whose (project, chunk_id) is new; the first of more's own repeats, by text, is taken."""
-    fresh = more.join(chunks.select("project", "chunk_id"), ["project", "chunk_id"], "left_anti")
-    one = fresh.groupBy("project", "chunk_id").agg(F.min(F.struct("text", F.struct(*more.columns).alias("r"))).alias("m"))
+def append_new(chunks: DataFrame, more: DataFrame, known: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """chunks and those of more whose (project, chunk_id) is new; the first of more's own repeats, by text, is taken.
+
+    known: a Bloom filter of chunks' ids (bloom.build) and its number of bitmaps; only rows that it can't tell reach the anti-join."""
+    keys = ["project", "chunk_id"]
+    if known:
+        told = bloom.tested(more, keys, *known)
+        maybe = told.where("__maybe").drop("__maybe").join(chunks.select(*keys), keys, "left_anti")
+        fresh = told.where("not __maybe").drop("__maybe").unionByName(maybe)
+    else:
+        fresh = more.join(chunks.select(*keys), keys, "left_anti")
+    one = fresh.groupBy(*keys).agg(F.min(F.struct("text", F.struct(*more.columns).alias("r"))).alias("m"))
     return chunks.unionByName(one.select(*[F.col(f"m.r.{c}").alias(c) for c in more.columns]), allowMissingColumns=True)
 
 

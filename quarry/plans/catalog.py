@@ -361,6 +361,16 @@ def append_new_chunks(s, d):
     return changes.append_new(old, new).select("project", "chunk_id", "line_start", "line_end")
 
 
+def append_bloom(s, d):
+    """The same; a Bloom filter tells most rows."""
+    from quarry.operators import bloom
+
+    old, new = old_chunks(s, d), chunking.line_windows(next_files(s, d), 8, 0)
+    bitmaps = bloom.bitmaps(old.count())
+    known = bloom.build(old, ["project", "chunk_id"], bitmaps), bitmaps
+    return changes.append_new(old, new, known).select("project", "chunk_id", "line_start", "line_end")
+
+
 def delete_paths(s, d):
     gone = files(s, d).where("doc_id % 7 = 0").select("project", "path")
     return changes.delete_paths(code_chunks(s, d), gone).select("chunk_id")
@@ -541,7 +551,7 @@ _ALL = [
     tokenize, split_lines, chunk_lines, chunk_lines_overlap, chunk_lines_default, chunk_dispatch, lang_map, symbol_name, filter_supported, filter_ignored, scan_ragignore,
     content_hash, chunk_symbols, bm25_tf, bm25_df, bm25_corpus_stats, bm25_idf, bm25_score, bm25_topk, bm25_empty, bm25_stored, bm25_skipping, bm25_grid, dense_topk, dense_rank, dense_topk_batch, dense_grid, ivf_exact, ivf_search, vec_normalize,
     vec_mean_pool, vec_masked_mean, chunk_splits, rrf_fuse, rrf_k30, rrf_k90, sql_fuse, rrf_missing, hybrid_search, hybrid_search_batch, dense_only_search, search_file_types, scan_chunks, chunks_by_path, list_files,
-    list_projects, project_stats, total_chunks, dry_run, registry_upsert, registry_lookup, file_content, detect_changes, detect_by_digest, append_new_chunks, delete_paths, force_clear,
+    list_projects, project_stats, total_chunks, dry_run, registry_upsert, registry_lookup, file_content, detect_changes, detect_by_digest, append_new_chunks, append_bloom, delete_paths, force_clear,
     projects_to_index, parse_changed, coalesce_changes, debounce_sessions, stream_debounce, apply_changes, scan_files, discover_repos, embed_text, index_project, health, stream_changes,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

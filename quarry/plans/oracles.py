@@ -176,6 +176,7 @@ ORACLES |= {
     "ivf_exact": f"WITH {_dense(_TENTH)} SELECT query_id, id, dense_rank::INT AS dense_rank, round(score, 6) AS score FROM dn WHERE dense_rank <= 10",
     "vec_masked_mean": "SELECT run, dim::INT AS dim, round(sum(CASE WHEN label % 2 = 0 THEN x::DOUBLE ELSE 0 END) / greatest(count(*) FILTER (label % 2 = 0), 1e-9), 6) AS mean FROM (SELECT vec_id // 8 AS run, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY ALL",
     "chunk_splits": f"WITH {_chunks(_WHOLE, 10, 2)} SELECT path::VARCHAR AS path, chunk_idx, chunk_id, text, line_start, line_end FROM c",
+    "append_bloom": ORACLES["append_new_chunks"],
     "sql_fuse": _rrf(60),
     "detect_by_digest": f"SELECT * FROM ({ORACLES['detect_changes']}) WHERE change <> 'unchanged'",
     "stream_debounce": ORACLES["debounce_sessions"],

@@ -1,4 +1,4 @@
-"""The index: chunks, blocks of postings and term statistics by project, and the registry of projects.
+"""The index: chunks, blocks of postings, term statistics and a Bloom filter of ids by project, and the registry of projects.
 
 A change writes the projects it touches, and no others, under a new version; then a numbered pointer names each project's
 version.  Pointers are made under another name and renamed, never written over and never deleted before a newer one is there:
@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import bm25
+from quarry.operators import bloom, bm25
 
 CHUNK = "path string, chunk_idx int, chunk_id string, text string, type string, name string, line_start int, line_end int, start int, end int, offset_unit string, file_hash string, embedding array<float>, id bigint, project string"
 TERM = "term string, df bigint, project string"
@@ -114,7 +114,7 @@ class IndexStore:
         parts = {k: v for k, v in old["parts"].items() if k not in projects} | stats
         batches = old["batches"] | ({batch[0]: batch[1]} if batch else {})
         self._point("chunks", {"number": old["number"] + 1, "parts": parts, "batches": batches})
-        self._swept("chunks", ["chunks", "postings", "terms"])
+        self._swept("chunks", ["chunks", "postings", "terms", "bloom"])
 
     def _write_postings(self, version: str) -> dict:
         """Postings in blocks and document frequencies of a version, sorted by term, so that a search skips what hasn't its terms; statistics by project."""
@@ -126,10 +126,17 @@ class IndexStore:
         counted = chunks.groupBy("project").agg(F.count("*").alias("chunks"), F.count_if((F.col("chunk_idx") == 0) & (F.col("path") != "")).alias("files"), F.count_if(F.col("text") != "").alias("n"))
         lengths = own.groupBy("project").agg(F.sum(F.size("tokens")).alias("length"))
         sizes = {r["project"]: r for r in counted.join(lengths, "project", "left").collect()}
+        bitmaps = bloom.bitmaps(sum(r["chunks"] for r in sizes.values()))
+        bloom.build(chunks, ["project", "chunk_id"], bitmaps).write.parquet(f"{self.base}/bloom/{version}")
         count = self.spark.createDataFrame([(p, r["n"]) for p, r in sizes.items()], "project string, n bigint")
         terms = self.spark.read.schema(TERM).parquet(f"{self.base}/terms/{version}").join(F.broadcast(count), "project")
         raws = {r["project"]: r["raw"] for r in terms.groupBy("project").agg(F.avg(bm25.raw_idf(F.col("n"), F.col("df"))).alias("raw")).collect()}
-        return {p: {"version": version, "n": r["n"], "length": r["length"] or 0, "raw": raws.get(p), "chunks": r["chunks"], "files": r["files"]} for p, r in sizes.items()}
+        return {p: {"version": version, "n": r["n"], "length": r["length"] or 0, "raw": raws.get(p), "chunks": r["chunks"], "files": r["files"], "bitmaps": bitmaps} for p, r in sizes.items()}
+
+    def known(self, project: str) -> tuple[DataFrame, int] | None:
+        """A Bloom filter of ids that has all of a project's, and its number of bitmaps; None without the project."""
+        part = self._pointer("chunks")["parts"].get(project)
+        return (self.spark.read.schema("bitmap int, bits binary").parquet(f"{self.base}/bloom/{part['version']}"), part["bitmaps"]) if part else None
 
     def stats(self, project: str | None = None) -> dict[str, int]:
         """chunks and files of a project or of all, as they were counted when they were written."""

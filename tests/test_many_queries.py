@@ -112,3 +112,18 @@ def test_searches_read_the_index(spark):
     for name in ("hybrid_search", "hybrid_search_batch", "rrf_fuse", "bm25_stored"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert "documents.parquet" not in plan and "postings" in plan, name
+
+
+@pytest.mark.parametrize("bitmaps", [1, 3])
+def test_bloom_filter_tells_most_new_rows(spark, bitmaps):
+    from quarry.operators import bloom, changes
+
+    old = spark.range(2000).select(F.lit("p").alias("project"), F.col("id").cast("string").alias("chunk_id"), F.lit("t").alias("text"))
+    more = spark.range(1000, 4000).select(F.lit("p").alias("project"), F.col("id").cast("string").alias("chunk_id"), F.lit("n").alias("text")).unionByName(spark.createDataFrame([("p", None, "n"), ("p", "9999", "b"), ("p", "9999", "a")], "project string, chunk_id string, text string"))
+    keys = ["project", "chunk_id"]
+    found = bloom.build(old, keys, bitmaps)
+    told = bloom.tested(more, keys, found, bitmaps)
+    assert told.where("cast(chunk_id as int) < 2000 and not __maybe").count() == 0 and told.where("__maybe").count() < 1000 + 0.1 * 2000
+    assert rows(changes.append_new(old, more, (found, bitmaps)).fillna("")) == rows(changes.append_new(old, more).fillna(""))
+    none = bloom.build(old.limit(0), keys, 1)
+    assert bloom.tested(more, keys, none, 1).where("__maybe").count() == 0
