@@ -75,7 +75,9 @@ def parse_record(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, digest, size, refers_to, html (null for revisits)."""
+    """page_id, url, digest, size, refers_to, html (null for revisits).
+
+    Of equal payloads of MIN_REVISIT bytes or more that of the smallest page_id is kept, and rows that repeat this id are too; a null page_id refers to it, and is kept where there is no other."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("size"), html.alias("html"))
     copied = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
