@@ -211,7 +211,7 @@ class Weighted:
                     self.best[j] = i[order], s[order]
 
     def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.repeat(self.ids, [len(i) for i, _ in self.best]), np.concatenate([np.zeros(0, np.int64), *[i for i, _ in self.best]]), np.concatenate([np.zeros(0), *[s for _, s in self.best]])
+        return np.repeat(self.ids, np.array([len(i) for i, _ in self.best], np.int64)), np.concatenate([np.zeros(0, np.int64), *[i for i, _ in self.best]]), np.concatenate([np.zeros(0), *[s for _, s in self.best]])
 
 
 def top_batch(toks: DataFrame, queries: DataFrame, k: int, few: int = QUERIES) -> DataFrame:

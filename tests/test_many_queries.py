@@ -43,6 +43,7 @@ def test_sparse_grid_equals_joins(spark, monkeypatch):
     for few in (0, 1000):
         got = {(q, i): (s, r) for q, i, s, r in map(tuple, bm25.top_batch(toks, queries, 7, few).collect())}
         assert got.keys() == want.keys() and all(got[x] == (pytest.approx(want[x][0], abs=1e-8), want[x][1]) for x in got)
+        assert bm25.top_batch(toks, queries.where("query_id < 0"), 7, few).count() == bm25.top_batch(toks, spark.createDataFrame([(1, "none other")], queries.schema), 7, few).count() == 0
 
 
 def stored(spark, base, texts, projects=2):
