@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 A document's histograms of character classes and of its language's common words are held against references of the language,
-by Jensen-Shannon distance (base 2, 0 to 1).  References are fitted on trusted documents: those labelled good, at most
-MOST_TRUSTED of them, by the hash of their ids.  A language with fewer than MIN_TRUSTED of them has no reference, and a
+by Jensen-Shannon distance (base 2, 0 to 1).  References are fitted on trusted documents: all that are labelled good.  A
+language with fewer than MIN_TRUSTED of them has no reference, and a
 document without a reference is not judged by distance; neither is one in another script than the reference's, whatever its
 language column says, nor source code.  Base rules hold for all.  References are a few numbers a language; no document is shuffled.
 """
@@ -18,7 +18,9 @@ from pyspark.sql import Window as W
 from quarry.llm._shared import letter_words, pinned, sized, space_words, staged, table
 
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "wide")
-N_COMMON, MOST_TRUSTED, MIN_TRUSTED, MOST_LABELS = 20, 1000, 20, 1_000_000
+N_COMMON, MIN_TRUSTED, MOST_LABELS = 20, 20, 1_000_000
+#: Trusted documents that the SQL takes; up to so many it and references() fit on the same ones.
+MOST_TRUSTED = 1000
 MIN_WORDS_CHARS, MIN_WORDS_WORDS = 20, 100
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.28
 #: Share of characters beyond ASCII, among those that aren't white space, above the reference's, from which a text is of another script.
@@ -100,28 +102,33 @@ def repeated_words(words: Column, hashes: Column) -> Column:
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """id of documents that are there and labelled good: MOST_TRUSTED at most, by the md5 of the id."""
-    good, _ = sized(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct(), MOST_LABELS)
-    here = docs.select(F.col("doc_id").cast("long").alias("id")).join(good, "id", "left_semi").distinct()
-    return here.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(MOST_TRUSTED)
+    """docs that are labelled good."""
+    good, _ = sized(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct(), MOST_LABELS)
+    return docs.join(good, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
 
 
 def references(docs: DataFrame, labels: DataFrame) -> References:
-    """Fitted on trusted documents with MIN_WORDS_CHARS words or more; no labels, no references."""
-    ids = F.broadcast(staged(trusted(docs, labels), "op4-trusted"))  # MOST_TRUSTED rows
-    one = docs.where("lang is not null").select(F.col("doc_id").cast("long").alias("id"), "lang", F.coalesce("text", F.lit("")).alias("text")).join(ids, "id", "left_semi")
+    """Fitted on all trusted documents with MIN_WORDS_CHARS words or more; no labels, no references.
+
+    One pass: a document's words, and what its characters and itself add, are counts under names.  Names of the latter begin with a
+    blank, which no word has.  What is left is a row for each word of a language."""
+    one = trusted(docs.where("lang is not null"), labels).select("lang", F.coalesce("text", F.lit("")).alias("text"))
     one = one.withColumn("words", pinned(space_words(F.col("text")))).where(F.size("words") >= MIN_WORDS_CHARS).withColumn("marks", pinned(_marks(F.col("text"))))
     text, words, marks = F.col("text"), F.col("words"), F.col("marks")
-    one = staged(one.select("lang", _classes(text, F.char_length(F.array_join(words, "")), marks, _symbols(marks)).alias("c"), letter_words(text).alias("w")), "op4-references")
-    sums = one.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words"), *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]).where(F.col("n") >= MIN_TRUSTED)
-    counts = one.select("lang", F.explode("w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("k"))
-    first = counts.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("k"), "word"))).where(F.col("r") <= N_COMMON)
+    one = one.select("lang", pinned(_classes(text, F.char_length(F.array_join(words, "")), marks, _symbols(marks))).alias("c"), pinned(letter_words(text)).alias("w"))
+    named = lambda name, k: F.struct(F.lit(name).alias("word"), k.cast("long").alias("k"))
+    own = F.array(named(" n", F.lit(1)), named(" words", F.size("w")), *[named(f" {i}", F.get("c", F.lit(i))) for i in range(len(CLASSES))])
+    each = one.select("lang", F.explode(F.concat(F.transform("w", lambda w: F.struct(w.alias("word"), F.lit(1).cast("long").alias("k"))), own)).alias("x"))
+    counts = staged(each.groupBy("lang", F.col("x.word").alias("word")).agg(F.sum("x.k").alias("k")), "op4-references")
+    total = lambda name: F.sum(F.when(F.col("word") == name, F.col("k"))).alias(name.strip())
+    sums = counts.where("word like ' %'").groupBy("lang").agg(*[total(f" {x}") for x in ("n", "words", *range(len(CLASSES)))]).where(F.col("n") >= MIN_TRUSTED)
+    first = counts.where("word not like ' %'").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("k"), "word"))).where(F.col("r") <= N_COMMON)
     tops: dict[str, list] = {}
-    for r in first.orderBy("lang", "r").collect():  # N_COMMON of each language in MOST_TRUSTED documents
+    for r in first.join(F.broadcast(sums.select("lang")), "lang", "left_semi").orderBy("lang", "r").collect():  # N_COMMON of each language
         tops.setdefault(r["lang"], []).append((r["word"], r["k"]))
     out = {}
     for r in sums.orderBy("lang").collect():
-        cs, top = [r[f"c{i}"] for i in range(len(CLASSES))], tops.get(r["lang"], [])
+        cs, top = [r[str(i)] for i in range(len(CLASSES))], tops.get(r["lang"], [])
         total = r["words"] or 1
         out[r["lang"]] = Reference([c / sum(cs) for c in cs], [w for w, _ in top], [k / total for _, k in top] + [(total - sum(k for _, k in top)) / total])
     return out

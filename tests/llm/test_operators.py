@@ -284,6 +284,20 @@ def test_quality_divergence(spark):
     assert d == pytest.approx(math.sqrt(kl(p, m) / 2 + kl(q, m) / 2))
 
 
+def test_quality_references_of_all_trusted(spark):
+    """Also of more than a thousand, and of documents whose id repeats."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(("alpha", "beta", "Gamma1", "delta;", f"w{i}x"), (5, 4, 3, 2, 1), k=30)), "en") for i in range(1500)]
+    rows += [rows[3], (2000, "too few", "en"), (2001, "omega " * 40, None), (2002, "omega " * 40, "en")]
+    labels = spark.createDataFrame([(r[0], int(r[0] != 2002), 0) for r in rows], "doc_id long, quality int, toxic int")
+    ref = quality_rules.references(docs(spark, rows), labels)["en"]
+    words = Counter(w for _, text, _ in rows[:1501] for w in words_of(text, LETTER))
+    top = sorted(words.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.N_COMMON]
+    assert ref.words == [w for w, _ in top] and ref.shares == pytest.approx([k / words.total() for _, k in top] + [1 - sum(k for _, k in top) / words.total()])
+    whole = "".join(text for _, text, _ in rows[:1501])
+    assert ref.chars == pytest.approx([len(re.findall(p, whole)) / len(whole) for p in ("[a-z]", "[A-Z]", "[0-9]", " ", ";", "#", "[^\x00-\x7F]")])
+
+
 RUSSIAN = "Дом стоял на холме и был старым, а в саду играли дети из деревни. Каждый вечер они возвращались домой по длинной дороге. "
 GREEK = "Το σπίτι ήταν στον λόφο και ήταν παλιό, στον κήπο έπαιζαν τα παιδιά του χωριού. Κάθε βράδυ γύριζαν στο σπίτι από τον μακρύ δρόμο. "
 CHINESE = "房子 在 山上， 很 旧。 村里 的 孩子们 在 花园 里 玩耍。 每天 晚上 他们 沿着 长长的 路 回家。 "
