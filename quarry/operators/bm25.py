@@ -6,7 +6,8 @@ are one aggregate by term.
 
 scores() gives every score, as joins.  top_batch() only gives the best of each of many queries: the queries' weights meet each block
 of chunks in one matrix product, and k hits a query leave a task, so that no posting is shuffled.  Stored reads postings that an index
-keeps in blocks, and skips those that can't change the result.
+keeps in blocks, and skips those that can't change the result; where queries and postings meet in more than PAIRS pairs, it brings a
+bucket's blocks together once for all queries, so that what is shuffled are the postings, whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ QUERIES, CELLS = 1024, 2_000_000
 BUCKET, FIRST = 128, 8
 #: Chunks of an index from which a second look costs less than the blocks that it saves.
 SKIPS = 200_000
+#: Pairs of a query and a posting of its terms that are joined at most, and chunks whose blocks are scored at once.
+PAIRS, AT_ONCE = 2_000_000, 1024
+#: Tokens of a task that makes blocks.
+PART_TOKENS = 2_000_000
 BLOCK = "term string, bucket bigint, max_tf bigint, min_dl int, n int, postings array<struct<id:bigint,tf:bigint,dl:int>>, project string"
 
 
@@ -103,15 +108,19 @@ def length_class(dl: Column) -> Column:
     return F.floor(8 * F.log2(dl)).cast("bigint")
 
 
-def blocks(toks: DataFrame) -> DataFrame:
-    """BLOCK of toks (project, id, tokens): each term's postings by buckets of some BUCKET chunks of a project.
+def blocks(toks: DataFrame, length: int = 0) -> DataFrame:
+    """BLOCK of toks (project, id, tokens; of `length` tokens together): each term's postings by buckets of some BUCKET chunks of a project.
+
+    Chunks are shuffled, with all their tokens, by bucket, and their postings made there: no posting is shuffled before it is in a block.
 
     A bucket's chunks are of like length, so that what a block can add to a score, which its largest tf and smallest length bound,
     differs from bucket to bucket: short chunks' buckets are looked at first, long ones' are hardly ever read."""
     own = toks.where(F.size("tokens") > 0).select("project", "id", F.size("tokens").alias("dl"), "tokens").withColumn("c", length_class(F.col("dl")))
     sizes = own.groupBy("project", "c").agg(F.ceil(F.count("*") / BUCKET).cast("bigint").alias("parts"))
     bucket = F.shiftleft(F.col("c"), 40) + F.pmod(F.xxhash64("id"), F.col("parts"))
-    each = own.join(sizes, ["project", "c"]).select("project", bucket.alias("bucket"), "id", "dl", F.explode("tokens").alias("term"))
+    n = max(int(toks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-length // PART_TOKENS))
+    each = own.join(sizes, ["project", "c"]).select("project", bucket.alias("bucket"), "id", "dl", "tokens").repartition(n, "project", "bucket")
+    each = each.select("project", "bucket", "id", "dl", F.explode("tokens").alias("term"))
     each = each.groupBy("project", "term", "bucket", "id", "dl").agg(F.count("*").alias("tf"))
     return each.groupBy("project", "term", "bucket").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("id", "tf", "dl")).alias("postings"))
 
@@ -133,10 +142,16 @@ class Stored:
             merged = terms.groupBy("term").agg(F.sum("df").alias("df"))
             raw = merged.agg(F.avg(raw_idf(F.lit(n), F.col("df")))).first()[0] or 0.0
         own = mine(terms).groupBy("term").agg(F.sum("df").alias("df")).withColumn("raw", raw_idf(F.lit(n), F.col("df")))
-        own = own.select("term", F.when(F.col("raw") < 0, EPSILON * raw).otherwise(F.col("raw")).alias("idf"))
-        if few:  # a number for each of the queries' terms
-            idf = {r["term"]: r["idf"] for r in own.collect()}
+        own = own.select("term", "df", F.when(F.col("raw") < 0, EPSILON * raw).otherwise(F.col("raw")).alias("idf"))
+        self.asked, self.pairs = None, 0
+        if few:  # two numbers for each of the queries' terms
+            found = own.collect()
+            idf, df = {r["term"]: r["idf"] for r in found}, {r["term"]: r["df"] for r in found}
+            self.pairs = sum(df.get(r["term"], 0) for r in rows)
             weights = [(r["query_id"], r["term"], r["qtf"] * idf[r["term"]] * (K1 + 1)) for r in rows if r["term"] in idf]
+            self.kind = asked.schema["query_id"].dataType.simpleString()
+            if self.kind in ("tinyint", "smallint", "int", "bigint"):
+                self.asked = [w for w in weights if w[0] is not None]
             self.weights = F.broadcast(spark.createDataFrame(weights, f"query_id {asked.schema['query_id'].dataType.simpleString()}, term string, w double"))
         else:
             self.weights = asked.join(own, "term").select("query_id", "term", (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("w"))
@@ -171,13 +186,129 @@ class Stored:
         return head, rest
 
     def top(self, k: int, first: int = FIRST, least: int = SKIPS) -> DataFrame:
-        """What top(scores(toks, queries), k) gives, without reading blocks of buckets that can't have any of it; all blocks of an index under `least` chunks."""
+        """What top(scores(toks, queries), k) gives, without scoring buckets that can't have any of it; all of an index under `least` chunks.
+
+        Up to PAIRS pairs, blocks are joined to queries, and those of buckets that can't matter aren't read; more, by together()."""
+        if self.asked and self.pairs > PAIRS and k > 0:
+            return top(self.together(k), k)
         if self.n < least:
             return top(self.scores(), k)
         head, rest = self.looks(k, max(first, -(-2 * k // BUCKET)))
         return top(self.scores(head).unionByName(self.scores(rest)), k)
 
 
+    def together(self, k: int) -> DataFrame:
+        """query_id, id, score: the k best of each query of each task, to which a bucket's blocks are brought together."""
+        spark = self.posted.sparkSession
+        ship(spark)
+        names = sorted({t for _, t, _ in self.asked})
+        ids, place = sorted({q for q, _, _ in self.asked}), {t: i for i, t in enumerate(names)}
+        number = {q: i for i, q in enumerate(ids)}
+        triples = sorted((place[t], number[q], w) for q, t, w in self.asked)
+        term, query, weight = (np.array(x) for x in zip(*triples, strict=True))
+        shared = spark.sparkContext.broadcast((np.array(ids, np.int64), np.searchsorted(term, np.arange(len(names) + 1)), query, weight))
+        avgdl = self.avgdl
+        codes = F.broadcast(spark.createDataFrame(list(enumerate(names)), "code int, term string"))
+        each = self.posted.join(codes, "term").select(F.xxhash64("project", "bucket").alias("key"), "code", "max_tf", "min_dl", F.col("postings.id").alias("ids"), F.col("postings.tf").alias("tfs"), F.col("postings.dl").alias("dls"))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.n // 50_000)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            work = Gathered(*shared.value, avgdl, k)
+            for b in batches:
+                work.add(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in work.hits()], ["query_id", "id", "value"])
+
+        return each.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, HITS).select(F.col("query_id").cast(self.kind).alias("query_id"), "id", F.col("value").alias("score"))
+
+
+class Gathered:
+    """The k best positive scores of each query over blocks that come bucket by bucket: columns key, code, max_tf, min_dl, ids, tfs, dls.
+
+    Weights are (query, weight) by code: of code c those from first[c] to first[c + 1].  Buckets are put together until they have AT_ONCE
+    chunks or so; those whose bound is under what every query holds already are not scored."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, query: np.ndarray, weight: np.ndarray, avgdl: float, k: int):
+        self.ids, self.first, self.query, self.weight, self.avgdl, self.k = ids, first, query, weight, avgdl, k
+        self.best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+        self.least = np.zeros(len(ids))
+        self.key, self.parts, self.held = None, [], 0
+        self.ready: list[list[pa.RecordBatch]] = []
+
+    def add(self, b: pa.RecordBatch) -> None:
+        key = b.column(0).to_numpy()
+        edges = (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()
+        for lo, hi in zip([0, *edges], [*edges, len(b)], strict=True):
+            if hi == lo:
+                continue
+            if self.parts and key[lo] != self.key:
+                self._whole()
+            self.key = key[lo]
+            self.parts.append(b.slice(lo, hi - lo))
+
+    def _whole(self) -> None:
+        """The bucket at hand is whole: it waits to be scored, unless it can't matter."""
+        own, self.parts = self.parts, []
+        code, tf, dl = (np.concatenate([p.column(i).to_numpy() for p in own]).astype(np.float64 if i > 1 else np.int64) for i in (1, 2, 3))
+        most, (row, query, weight) = self._part(tf, dl), self._weights(code)
+        bound = np.bincount(query, np.maximum(0, weight * most[row]), len(self.ids))
+        if (bound >= self.least - 1e-6).any() and (bound > 0).any():
+            self.ready.append(own)
+            self.held += max(pc.max(pc.list_value_length(p.column(4))).as_py() or 0 for p in own)
+            if self.held >= AT_ONCE:
+                self._score()
+
+    def _part(self, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf / (tf + K1 * (1 - B + B * dl / self.avgdl))
+
+    def _weights(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each of the rows of these codes its weights: row, query, weight."""
+        n = self.first[code + 1] - self.first[code]
+        row = np.repeat(np.arange(len(code)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[code], n)
+        return row, self.query[at], self.weight[at]
+
+    def _score(self) -> None:
+        own = [p for parts in self.ready for p in parts]
+        self.ready, self.held = [], 0
+        if not own:
+            return
+        code = np.concatenate([p.column(1).to_numpy() for p in own]).astype(np.int64)
+        size = np.concatenate([pc.list_value_length(p.column(4)).to_numpy(zero_copy_only=False) for p in own]).astype(np.int64)
+        ids, tf, dl = (np.concatenate([p.column(i).flatten().to_numpy(zero_copy_only=False) for p in own]) for i in (4, 5, 6))
+        chunk, at = np.unique(ids, return_inverse=True)
+        term, of = np.unique(code, return_inverse=True)
+        of, value = np.repeat(of, size), self._part(tf.astype(np.float64), dl.astype(np.float64))
+        row, query, weight = self._weights(term)
+        step = max(1, CELLS // len(term))
+        for lo in range(0, len(chunk), step):
+            hi = min(lo + step, len(chunk))
+            mine = (at >= lo) & (at < hi)
+            a = np.bincount((at[mine] - lo) * len(term) + of[mine], value[mine], (hi - lo) * len(term)).reshape(hi - lo, len(term))
+            wide = max(1, CELLS // max(len(term), hi - lo))
+            for q in range(0, len(self.ids), wide):
+                some = (query >= q) & (query < q + wide)
+                w = np.zeros((len(term), min(wide, len(self.ids) - q)))
+                w[row[some], query[some] - q] = weight[some]
+                self._keep(chunk[lo:hi], np.round(a @ w, DIGITS), q)
+
+    def _keep(self, chunk: np.ndarray, score: np.ndarray, q: int) -> None:
+        full = np.array([len(i) == self.k for i, _ in self.best[q : q + score.shape[1]]])
+        good = (score > 0) & (~full | (score >= self.least[q : q + score.shape[1]]))
+        for j in np.flatnonzero(good.any(0)).tolist():
+            hit = np.flatnonzero(good[:, j])
+            i, s = np.concatenate([self.best[q + j][0], chunk[hit]]), np.concatenate([self.best[q + j][1], score[hit, j]])
+            order = np.lexsort((i, -s))[: self.k]
+            self.best[q + j] = i[order], s[order]
+            if len(order) == self.k:
+                self.least[q + j] = s[order[-1]]
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.parts:
+            self._whole()
+        self._score()
+        return np.repeat(self.ids, np.array([len(i) for i, _ in self.best], np.int64)), np.concatenate([np.zeros(0, np.int64), *[i for i, _ in self.best]]), np.concatenate([np.zeros(0), *[s for _, s in self.best]])
+
+
 class Weighted:
     """The k best positive scores of each of some queries over blocks of chunks' tokens, by one matrix product a block."""
 

@@ -120,18 +120,18 @@ class IndexStore:
         """Postings in blocks and document frequencies of a version, sorted by term, so that a search skips what hasn't its terms; statistics by project."""
         chunks = self.spark.read.schema(CHUNK).parquet(f"{self.base}/chunks/{version}")
         own = chunks.where("text <> ''").select("project", "id", bm25.tokenize(F.col("text")).alias("tokens"))
-        bm25.blocks(own).repartitionByRange("project", "term", "bucket").sortWithinPartitions("project", "term", "bucket").write.partitionBy("project").parquet(f"{self.base}/postings/{version}")
+        lengths = {r["project"]: r["length"] for r in own.groupBy("project").agg(F.sum(F.size("tokens")).alias("length")).collect()}
+        bm25.blocks(own, sum(lengths.values())).repartitionByRange("project", "term", "bucket").sortWithinPartitions("project", "term", "bucket").write.partitionBy("project").parquet(f"{self.base}/postings/{version}")
         posted = self.spark.read.schema(bm25.BLOCK).parquet(f"{self.base}/postings/{version}")
         posted.groupBy("project", "term").agg(F.sum("n").alias("df")).repartitionByRange("project", "term").sortWithinPartitions("project", "term").write.partitionBy("project").parquet(f"{self.base}/terms/{version}")
         counted = chunks.groupBy("project").agg(F.count("*").alias("chunks"), F.count_if((F.col("chunk_idx") == 0) & (F.col("path") != "")).alias("files"), F.count_if(F.col("text") != "").alias("n"))
-        lengths = own.groupBy("project").agg(F.sum(F.size("tokens")).alias("length"))
-        sizes = {r["project"]: r for r in counted.join(lengths, "project", "left").collect()}
+        sizes = {r["project"]: r for r in counted.collect()}
         bitmaps = bloom.bitmaps(sum(r["chunks"] for r in sizes.values()))
         bloom.build(chunks, ["project", "chunk_id"], bitmaps).write.parquet(f"{self.base}/bloom/{version}")
         count = self.spark.createDataFrame([(p, r["n"]) for p, r in sizes.items()], "project string, n bigint")
         terms = self.spark.read.schema(TERM).parquet(f"{self.base}/terms/{version}").join(F.broadcast(count), "project")
         raws = {r["project"]: r["raw"] for r in terms.groupBy("project").agg(F.avg(bm25.raw_idf(F.col("n"), F.col("df"))).alias("raw")).collect()}
-        return {p: {"version": version, "n": r["n"], "length": r["length"] or 0, "raw": raws.get(p), "chunks": r["chunks"], "files": r["files"], "bitmaps": bitmaps} for p, r in sizes.items()}
+        return {p: {"version": version, "n": r["n"], "length": lengths.get(p, 0), "raw": raws.get(p), "chunks": r["chunks"], "files": r["files"], "bitmaps": bitmaps} for p, r in sizes.items()}
 
     def known(self, project: str) -> tuple[DataFrame, int] | None:
         """A Bloom filter of ids that has all of a project's, and its number of bitmaps; None without the project."""

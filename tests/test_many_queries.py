@@ -73,6 +73,28 @@ def test_skipped_blocks_change_nothing(spark, tmp_path, monkeypatch, bucket):
         assert 0 < count(head) + count(rest) < 0.7 * count(asked.bounds())
 
 
+@pytest.mark.parametrize("cells", [64, 2_000_000])
+def test_many_pairs_meet_by_bucket(spark, tmp_path, monkeypatch, cells):
+    """Beyond PAIRS no row a query and a chunk is shuffled, and nothing changes; ties too."""
+    monkeypatch.setattr(bm25, "PAIRS", 0)
+    monkeypatch.setattr(bm25, "BUCKET", 8)
+    monkeypatch.setattr(bm25, "AT_ONCE", 20)
+    monkeypatch.setattr(bm25, "CELLS", cells)
+    rng = random.Random(cells)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.08)), 60)}x" for _ in range(rng.choice([1, 3, 10, 80, 300]))) for _ in range(300)]
+    store = stored(spark, tmp_path, texts + texts[:50])
+    queries = spark.createDataFrame([(i, f"w{i}x w{i * 3 + 1}x w{i}x none") for i in range(12)] + [(50, "none"), (51, None)], "query_id long, text string")
+    toks = bm25.tokens(store.chunks())
+    for k in (0, 1, 10, 1000):
+        want = {(r["query_id"], r["id"]): (pytest.approx(r["score"], abs=1e-8), r["sparse_rank"]) for r in bm25.top(bm25.scores(toks, queries), k).collect()}
+        found = store.stored(queries).top(k)
+        assert want == {(r["query_id"], r["id"]): (r["score"], r["sparse_rank"]) for r in found.collect()}
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "query_id" not in "".join(x for x in plan.split("== Physical Plan ==")[1].split("\n") if "Exchange hashpartitioning" in x and "key#" in x)
+    blocks = bm25.blocks(store.chunks().select("project", "id", bm25.tokenize(F.col("text")).alias("tokens")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(project" in blocks and not [x for x in blocks.split("\n") if "Exchange hashpartitioning" in x and "term#" in x]
+
+
 def test_ivf_recall_and_pruning(spark, tmp_path):
     """On the test vectors, and where a third of all are one vector."""
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
