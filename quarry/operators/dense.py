@@ -17,6 +17,8 @@ from quarry.workers import ship
 
 #: Queries that are sent to every task at most; more meet the vectors in a grid.
 BLOCK = 1024
+#: Distances of queries and vectors that a task holds at once.
+CELLS = 1_000_000
 
 
 def matrices(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -30,20 +32,28 @@ def matrices(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def stretches(n: int, width: int) -> Iterator[slice]:
+    """Of n rows, parts that have CELLS numbers at most where a row has `width`; a row at least."""
+    step = max(1, CELLS // max(1, width))
+    for lo in range(0, n, step):
+        yield slice(lo, min(lo + step, n))
+
+
 class Nearest:
     """The k nearest vectors of each of some queries.  A matrix product picks candidates; exact distances come from the
-    differences.  Vectors of another length than a query's are not near it, whatever they hold."""
+    differences; a matrix has CELLS numbers, whatever the number of queries.  Vectors of another length than a query's are not near it, whatever they hold."""
 
     def __init__(self, ids: np.ndarray, vectors: pa.ListArray, k: int):
         self.k = k
-        self.parts = {dim: [ids[rows], q, np.zeros((len(rows), 0)), np.zeros((len(rows), 0), np.int64)] for dim, (rows, q) in matrices(vectors).items()}
+        self.parts = {dim: [ids[rows], q, np.full((len(rows), k), np.inf), np.zeros((len(rows), k), np.int64)] for dim, (rows, q) in matrices(vectors).items()}
 
     def add(self, items: pa.RecordBatch) -> None:
         ids, found = items.column(0).to_numpy(), matrices(items.column(1))
         for dim, part in self.parts.items():
             if dim in found:
                 rows, v = found[dim]
-                part[2:] = self._nearer(part[1], part[2], part[3], ids[rows], v)
+                for at in stretches(len(part[1]), len(v)):
+                    part[2][at], part[3][at] = self._nearer(part[1][at], part[2][at], part[3][at], ids[rows], v)
 
     def _nearer(self, q: np.ndarray, best_d: np.ndarray, best_i: np.ndarray, own: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
         rough = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T

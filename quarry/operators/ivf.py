@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import squared_l2
-from quarry.operators.dense import Nearest, matrices, ranked, top
+from quarry.operators.dense import Nearest, matrices, ranked, stretches, top
 from quarry.operators.grid import QUERIES, met
 from quarry.workers import ship
 
@@ -33,6 +33,8 @@ PARTS, VALUES, CODED = 8, 256, 16_384
 TUNED, RECALL = 200, 0.985
 #: Vectors of a cell that one task's stream reads; more are dealt to several.
 BLOCK = 65_536
+#: Pairs of a query and a cell that leave a task at once.
+PROBED = 16_384
 CELL = "id bigint, embedding array<float>, cell int, code binary"
 
 
@@ -41,6 +43,26 @@ def nearest_cells(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.maximum((v * v).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :] - 2 * v @ centroids.T, 0)
 
 
+def nearest_cell(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each vector."""
+    return np.concatenate([np.zeros(0, np.int64), *[nearest_cells(v[at], centroids).argmin(1) for at in stretches(len(v), len(centroids))]])
+
+
+def pairs(q: np.ndarray, centroids: np.ndarray, n: np.ndarray, radius: np.ndarray, most: int, reach: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of vectors and of their `most` nearest cells of those that hold any (n), PROBED of them at a time; with reach, of all that may hold something so near."""
+    m = min(most, int((n > 0).sum()))
+    for at in stretches(len(q), len(centroids)):
+        far = nearest_cells(q[at], centroids)
+        far[:, n == 0] = np.inf
+        if reach is not None:
+            own, cell = np.nonzero(np.isfinite(far) & (np.sqrt(far) - radius[None, :] <= np.sqrt(reach[at])[:, None] + 1e-6))
+        else:
+            cell = np.argsort(far, 1, kind="stable")[:, :m].ravel()
+            own = np.repeat(np.arange(len(far)), m)
+        for lo in range(0, len(own), PROBED):
+            yield at.start + own[lo : lo + PROBED], cell[lo : lo + PROBED]
+
+
 def lloyd_step(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """Means of the vectors nearest to each centroid; one without any stays.  Tasks pass on a sum for each cell."""
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
@@ -51,7 +73,7 @@ def lloyd_step(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
         for b in batches:
             for dim, (_, v) in matrices(b.column(0)).items():
                 if dim == c.shape[1]:
-                    own = nearest_cells(v, c).argmin(1)
+                    own = nearest_cell(v, c)
                     np.add.at(total, own, v)
                     n += np.bincount(own, minlength=len(c))
         has = np.flatnonzero(n)
@@ -87,18 +109,20 @@ class Coded:
         for book in books:
             self.tables.append(nearest_cells(residuals[:, at : at + book.shape[1]], book))
             at += book.shape[1]
-        self.d, self.i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        self.d, self.i = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
 
     def add(self, items: pa.RecordBatch) -> None:
         own = items.column(0).to_numpy()
         codes = np.frombuffer(b"".join(items.column(2).to_pylist()), np.uint8).reshape(len(own), -1)
-        d = sum(t[:, codes[:, j]] for j, t in enumerate(self.tables))
-        d, i = np.concatenate([self.d, d], 1), np.concatenate([self.i, np.broadcast_to(own, d.shape)], 1)
-        keep = np.lexsort((i, d), axis=1)[:, : self.k]
-        self.d, self.i = np.take_along_axis(d, keep, 1), np.take_along_axis(i, keep, 1)
+        for at in stretches(len(self.ids), len(own)):
+            d = sum(t[at][:, codes[:, j]] for j, t in enumerate(self.tables))
+            d, i = np.concatenate([self.d[at], d], 1), np.concatenate([self.i[at], np.broadcast_to(own, d.shape)], 1)
+            keep = np.lexsort((i, d), axis=1)[:, : self.k]
+            self.d[at], self.i[at] = np.take_along_axis(d, keep, 1), np.take_along_axis(i, keep, 1)
 
     def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.repeat(self.ids, self.d.shape[1]), self.i.ravel(), self.d.ravel()
+        found = np.isfinite(self.d)
+        return np.repeat(self.ids, found.sum(1)), self.i[found], self.d[found]
 
 
 class VectorIndex:
@@ -125,7 +149,7 @@ class VectorIndex:
         c = c if len(c) else np.zeros((1, dim))
         some = [np.array(r["embedding"], np.float64) for r in learnt.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CODED).collect()]
         some = np.array(some).reshape(-1, dim)
-        residuals = some - c[nearest_cells(some, c).argmin(1)]
+        residuals = some - c[nearest_cell(some, c)]
         books = [codebook(x) for x in np.array_split(residuals, min(PARTS, dim), axis=1)]
         self._write(own, c, books)
         self._tuned(own.select("id", "embedding"))
@@ -152,8 +176,7 @@ class VectorIndex:
             c, books = shared.value
             for b in batches:
                 v = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(b), c.shape[1])
-                far = nearest_cells(v, c)
-                cell = far.argmin(1)
+                cell = nearest_cell(v, c)
                 rest, at, code = v - c[cell], 0, []
                 for book in books:
                     code.append(nearest_cells(rest[:, at : at + book.shape[1]], book).argmin(1).astype(np.uint8))
@@ -195,17 +218,9 @@ class VectorIndex:
                 for dim, (rows, q) in matrices(b.column(1)).items():
                     if dim != c.shape[1] or not n.any():
                         continue
-                    far = nearest_cells(q, c)
-                    far[:, n == 0] = np.inf
-                    if within:
-                        reach = b.column(2).to_numpy()[rows]
-                        own, cell = np.nonzero(np.isfinite(far) & (np.sqrt(far) - radius[None, :] <= np.sqrt(reach)[:, None] + 1e-6))
-                    else:
-                        m = min(most, int((n > 0).sum()))
-                        cell = np.argsort(far, 1, kind="stable")[:, :m].ravel()
-                        own = np.repeat(np.arange(len(rows)), m)
-                    part = b.take(pa.array(rows[own]))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell.astype(np.int32))], ["id", "embedding", "cell"])
+                    for own, cell in pairs(q, c, n, radius, most, b.column(2).to_numpy()[rows] if within else None):
+                        part = b.take(pa.array(rows[own]))
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell.astype(np.int32))], ["id", "embedding", "cell"])
 
         return queries.select(*names).mapInArrow(run, "id bigint, embedding array<float>, cell int")
 

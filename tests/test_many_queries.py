@@ -95,6 +95,60 @@ def test_many_pairs_meet_by_bucket(spark, tmp_path, monkeypatch, cells):
     assert "Exchange hashpartitioning(project" in blocks and not [x for x in blocks.split("\n") if "Exchange hashpartitioning" in x and "term#" in x]
 
 
+def held(work) -> float:
+    """MB that work() holds at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_of_vectors_is_met_in_parts():
+    """What a task holds does not grow with queries times vectors, nor with queries times cells; ids of equal distance go in order."""
+    import pyarrow as pa
+
+    from quarry.operators import ivf
+
+    rng = np.random.default_rng(5)
+    q, v = rng.normal(size=(2000, 8)), rng.normal(size=(4000, 8))
+    v[2000:] = v[:2000]
+    lists = lambda x: pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(lo, lo + 2000)), lists(v[lo : lo + 2000])], ["id", "embedding"]) for lo in (2000, 0)]
+    near = dense.Nearest(np.arange(2000), lists(q), 4)
+    assert held(lambda: [near.add(b) for b in batches]) < 60
+    ids, items, d = near.hits()
+    want = ((q[7].astype(np.float32).astype(float) - v.astype(np.float32)) ** 2).sum(1)
+    assert len(ids) == 8000 and items[ids == 7].tolist() == np.lexsort((np.arange(4000), want))[:4].tolist() and d[ids == 7] == pytest.approx(np.sort(want)[:4])
+    books = [rng.normal(size=(256, 4)) for _ in range(2)]
+    codes = rng.integers(0, 256, (2000, 2), np.uint8)
+    coded = ivf.Coded(np.arange(2000), q, books, 5)
+    packed = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.nulls(2000), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "embedding", "code"])
+    assert held(lambda: coded.add(packed)) < 60
+    want = sum(((q[9, 4 * j : 4 * j + 4] - books[j][codes[:, j]]) ** 2).sum(1) for j in range(2))
+    ids, items, d = coded.hits()
+    assert d[ids == 9] == pytest.approx(np.sort(want)[:5])
+    c, n, radius = rng.normal(size=(1500, 8)), np.ones(1500, np.int64), np.zeros(1500)
+    n[3] = 0
+    reach = np.full(2000, np.inf)
+    met = {}
+
+    def count():
+        for own, cell in ivf.pairs(q, c, n, radius, 0, reach):
+            assert len(own) == len(cell) <= ivf.PROBED and 3 not in cell
+            met["n"] = met.get("n", 0) + len(own)
+
+    assert held(count) < 80 and met["n"] == 2000 * 1499
+    first = [x for own, cell in ivf.pairs(q[:30], c, n, radius, 4) for x in zip(own.tolist(), cell.tolist(), strict=True)]
+    far = ivf.nearest_cells(q[:30], c)
+    far[:, 3] = np.inf
+    assert first == [(i, j) for i in range(30) for j in np.argsort(far[i], kind="stable")[:4].tolist()]
+    assert ivf.nearest_cell(q, c).tolist() == ivf.nearest_cells(q, c).argmin(1).tolist()
+
+
 def test_ivf_recall_and_pruning(spark, tmp_path):
     """On the test vectors, and where a third of all are one vector."""
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
