@@ -1,9 +1,9 @@
 """Bursts of changes as a stream: a project's events wait in state until the project has been silent, then come out together.
 
-The state of a project is a list of its waiting events, on which a timer stands.  In event time a burst is over once the watermark
-is more than the gap behind its last event, whatever order events came in: the bursts are those of debounce_sessions() on the
-same log, without what was late.  In processing time it is over once nothing has come for the gap: for a tree that is
-watched, where time goes on though nothing happens."""
+In event time a burst is a session window: each has a state of its own, and is over once the watermark is more than the gap behind its
+last event, whatever order events came in: the bursts are those of debounce_sessions() on the same log, without what was late.  In
+processing time it is over once nothing has come for the gap: for a tree that is watched, where time goes on though nothing happens.
+Then the state of a project is a list of its waiting events, on which a timer stands."""
 
 from __future__ import annotations
 
@@ -20,20 +20,9 @@ BURST = "project string, session_start timestamp, session_end timestamp, n_event
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def bursts(events: list[tuple[int, int, str, str]], gap: int) -> list[list[tuple]]:
-    """events (microseconds, id, path, op) in order, apart where there is more than `gap` between two."""
-    out: list[list[tuple]] = []
-    for e in sorted(events):
-        if out and e[0] - out[-1][-1][0] <= gap:
-            out[-1].append(e)
-        else:
-            out.append([e])
-    return out
-
-
 class Debounce(StatefulProcessor):
-    def __init__(self, gap_ms: int, live: bool):
-        self.gap, self.live = gap_ms, live
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -45,31 +34,18 @@ class Debounce(StatefulProcessor):
         self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        last = None
         for part in rows:
             own = [(int(a), int(i), p, o) for a, i, p, o in zip(part["at"], part["event_id"], part["path"], part["op"], strict=True)]
             if own:
                 self.waiting.appendList(own)
-                last = max([x[0] for x in own] + [last or 0])
-        if self.live:
-            self._timer(timerValues.getCurrentProcessingTimeInMs() + self.gap)
-        elif last is not None and not any(True for _ in self.handle.listTimers()):
-            self.handle.registerTimer(last // 1000 + self.gap + 1)
+        self._timer(timerValues.getCurrentProcessingTimeInMs() + self.gap)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        held = [tuple(x) for x in self.waiting.get()]
-        over = 1000 * (timerValues.getCurrentProcessingTimeInMs() if self.live else timerValues.getCurrentWatermarkInMs())
-        found = [sorted(held)] if self.live and held else bursts(held, 1000 * self.gap)
-        done = found if self.live else [b for b in found if b[-1][0] + 1000 * self.gap < over]
-        left = [e for b in found if b not in done for e in b]
-        if left:
-            self.waiting.put(left)
-            self.handle.registerTimer(max(left)[0] // 1000 + self.gap + 1)
-        else:
-            self.waiting.clear()
-        if done:
-            yield pd.DataFrame([self._burst(key[0], b) for b in done])
+        held = sorted(tuple(x) for x in self.waiting.get())
+        self.waiting.clear()
+        if held:
+            yield pd.DataFrame([self._burst(key[0], held)])
 
     @staticmethod
     def _burst(project: str, events: list[tuple]) -> dict:
@@ -80,14 +56,25 @@ class Debounce(StatefulProcessor):
         pass
 
 
+def _sessions(events: DataFrame, gap_ms: int) -> DataFrame:
+    """BURST of events with a watermark, by the engine's own session windows."""
+    each = events.groupBy("project", F.session_window("event_time", f"{gap_ms} milliseconds").alias("w")).agg(
+        F.min("event_time").alias("session_start"), F.max("event_time").alias("session_end"), F.count("*").alias("n_events"), F.array_sort(F.collect_list(F.struct("path", "at", "event_id", "op"))).alias("e")
+    )
+    last = F.filter("e", lambda x, i: ~F.get(F.col("e"), i + 1)["path"].eqNullSafe(x["path"]) | (i == F.size("e") - 1))
+    of = lambda op: F.transform(F.filter("last", lambda x: x["op"] == op), lambda x: x["path"])
+    return each.withColumn("last", last).select("project", "session_start", "session_end", "n_events", of("upsert").alias("upserts"), of("delete").alias("deletes"))
+
+
 def debounced(events: DataFrame, gap_ms: int = 5000, late: str | None = "10 seconds") -> DataFrame:
     """BURST rows of a stream of events (project, path, op, event_time, event_id).
 
-    late: how far behind the newest an event may be; those later than that are dropped.  None: by processing time.  A project's
-    waiting events are one state, in one task: a burst must fit there."""
+    late: how far behind the newest an event may be; those later than that are dropped, but for what a burst that still waits takes in.
+    None: by processing time.  A burst's events are one state, in one task, and must fit there."""
     spark = events.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    own = events.withColumn("event_time", F.col("event_time").cast("timestamp"))
-    own = (own.withWatermark("event_time", late) if late else own).withColumn("at", F.unix_micros("event_time")).select("project", "path", "op", "event_id", "at", *(["event_time"] if late else []))
-    return own.groupBy("project").transformWithStateInPandas(Debounce(gap_ms, late is None), BURST, "append", "EventTime" if late else "ProcessingTime")
+    own = events.withColumn("event_time", F.col("event_time").cast("timestamp")).withColumn("at", F.unix_micros("event_time"))
+    if late:
+        return _sessions(own.withWatermark("event_time", late), gap_ms)
+    return own.select("project", "path", "op", "event_id", "at").groupBy("project").transformWithStateInPandas(Debounce(gap_ms), BURST, "append", "ProcessingTime")

@@ -115,6 +115,15 @@ def test_bursts_equal_sessions(spark, tmp_path):
     assert newest == {r["path"]: r["op"] for r in last}
 
 
+def test_bursts_in_event_time_are_the_engines_sessions(spark, tmp_path):
+    """A burst is a state of its own; no event goes to Python, and no project's events are one list."""
+    spark.createDataFrame([], "project string, path string, op string, event_time timestamp, event_id long").write.parquet(f"{tmp_path}/log")
+    log = spark.readStream.schema("project string, path string, op string, event_time timestamp, event_id long").parquet(f"{tmp_path}/log")
+    plan = debounced(log, 5000, "1 day")._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan and "TransformWithState" not in plan
+    assert "TransformWithState" in debounced(log, 5000, None)._jdf.queryExecution().analyzed().toString()
+
+
 def test_watch_applies_what_changes(spark, tmp_path):
     tree = tmp_path / "tree"
     tree.mkdir()
