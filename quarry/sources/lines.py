@@ -14,13 +14,19 @@ from pyspark.sql import functions as F
 from quarry.functions.text import split_lines
 
 
+#: Tasks to each core that read ranges, and as many as a shuffle has at least.
+TASKS = 8
+
+
 def file_lines(spark: SparkSession, paths: str | list[str], scratch: str) -> DataFrame:
     """path, line (from 0), text of the lines of text files, as str.splitlines has them; bytes that aren't UTF-8 are dropped.
 
-    Ranges are of spark.sql.files.maxPartitionBytes.  scratch: a folder that all executors share, for the lines of each range: a range
+    Ranges are of spark.sql.files.maxPartitionBytes; a task reads as many of them as leave TASKS to each core, so that small ranges of a large input
+    are not a task each.  scratch: a folder that all executors share, for the lines of each range: a range
     is read once, and keeps its order, whatever happens to a task.  A file without lines has none; a line must fit into a row."""
     raw = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"), F.col("_metadata.file_size").alias("size"))
     valid = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")))
+    raw = raw.coalesce(max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     own = raw.select("path", "range", "size", F.monotonically_increasing_id().alias("at"), (F.octet_length("value") + 1).alias("bytes"), F.posexplode(split_lines(F.concat(valid, F.lit("\n")))).alias("part", "text"))
     place = f"{scratch}/lines-{uuid.uuid4().hex}"
     own.write.parquet(place)

@@ -11,6 +11,7 @@ from quarry.engine import Engine
 from quarry.operators import changes, chunking
 from quarry.sources.events import file_events
 from quarry.sources.lines import file_lines
+from quarry.plans import catalog
 from quarry.streaming.debounce import debounced
 
 
@@ -124,6 +125,28 @@ def test_bursts_in_event_time_are_the_engines_sessions(spark, tmp_path):
     assert "TransformWithState" in debounced(log, 5000, None)._jdf.queryExecution().analyzed().toString()
 
 
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    """Ranges of a few bytes are no task each, and lines keep their numbers."""
+    from quarry.sources import lines
+
+    monkeypatch.setattr(lines, "TASKS", 1)
+    (tmp_path / "in").mkdir()
+    want = {}
+    for k in range(7):
+        text = "".join(f"{k} {i}\r\n" if i % 5 else f"{k}\x0b{i}\n" for i in range(60))
+        (tmp_path / f"in/{k}.txt").write_bytes(text.encode())
+        want |= {(str(k), i): x for i, x in enumerate(text.splitlines())}
+    key, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "40")
+    try:
+        found = lines.file_lines(spark, f"{tmp_path}/in", str(tmp_path))
+    finally:
+        spark.conf.set(key, old)
+    got = found.select(F.regexp_extract("path", "([0-9]).txt", 1).alias("p"), "line", "text").collect()
+    assert len(got) == len(want) and {(r["p"], r["line"]): r["text"] for r in got} == want
+    assert len([x for x in next(tmp_path.glob("lines-*")).iterdir() if x.suffix == ".parquet"]) <= spark.sparkContext.defaultParallelism
+
+
 def test_watch_applies_what_changes(spark, tmp_path):
     tree = tmp_path / "tree"
     tree.mkdir()
