@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ from quarry.workers import ship
 
 
 #: Terms whose places a worker remembers at most.
-MOST_TERMS = 1_000_000
+MOST_TERMS = 100_000
+#: Rows whose texts are strings in Python at once.
+ROWS = 256
 
 
 class Embedder(Protocol):
@@ -81,16 +84,24 @@ def cache_info() -> dict:
 
 
 def embed(df: DataFrame, name: str = "hashing", text: str = "text", batch: int = 16) -> DataFrame:
-    """df with a column embedding (array<float>); rows of a partition are sorted by length, so that a batch has texts of a kind."""
+    """df with a column embedding (array<float>).  Of ROWS texts those of like length are a batch; no more of them are held at once beside Spark's own batch."""
     ship(df.sparkSession)
     if "embedding" in df.columns:
         df = df.drop("embedding")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, embedding array<float>"
+    place = df.columns.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = backend(name)
         for b in batches:
-            parts = [model.encode(list(b[text].iloc[i : i + batch])) for i in range(0, len(b), batch)]
-            yield b.assign(embedding=[r for p in parts for r in p.astype(np.float32)])
-
-    return df.sortWithinPartitions(F.length(text)).mapInPandas(run, schema)
+            for lo in range(0, len(b), ROWS):
+                own = b.slice(lo, ROWS)
+                order = np.argsort(pc.fill_null(pc.binary_length(own.column(place)), 0).to_numpy(zero_copy_only=False), kind="stable")
+                texts = own.column(place).to_pylist()
+                found = [model.encode([texts[j] for j in order[i : i + batch]]) for i in range(0, len(order), batch)]
+                vectors = np.concatenate(found).astype(np.float32)[np.argsort(order)]
+                width = vectors.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * width), pa.array(vectors.ravel()))
+                yield pa.RecordBatch.from_arrays([*own.columns, lists], [*own.schema.names, "embedding"])
+
+    return df.mapInArrow(run, schema)

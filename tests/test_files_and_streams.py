@@ -147,6 +147,22 @@ def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
     assert len([x for x in next(tmp_path.glob("lines-*")).iterdir() if x.suffix == ".parquet"]) <= spark.sparkContext.defaultParallelism
 
 
+def test_embedding_holds_few_texts(spark, monkeypatch):
+    """Rows aren't sorted into batches of the longest texts; a text has its own vector, beside all columns."""
+    from quarry import embed
+
+    rows = [(i, None if i % 50 == 7 else " ".join(f"w{j * i % 97}" for j in range(i * 7 % 60)), [i]) for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, text string, more array<int>").coalesce(1)
+    out = embed.embed(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "MapInArrow" in plan
+    model = embed.HashingEmbedder()
+    got = out.collect()
+    assert [(r["id"], r["text"], r["more"]) for r in got] == rows
+    assert all(r["embedding"] == pytest.approx(model.encode([r["text"]])[0].tolist()) for r in got)
+    assert embed.embed(df.limit(0)).count() == 0 and embed.ROWS <= 256
+
+
 def test_watch_applies_what_changes(spark, tmp_path):
     tree = tmp_path / "tree"
     tree.mkdir()
