@@ -365,7 +365,8 @@ def append_bloom(s, d):
     """The same; a Bloom filter tells most rows."""
     from quarry.operators import bloom
 
-    old, new = old_chunks(s, d), chunking.line_windows(next_files(s, d), 8, 0)
+    base = _base(s, "append")  # both are read several times, and cut once
+    old, new = _written(old_chunks(s, d), f"{base}/old"), _written(chunking.line_windows(next_files(s, d), 8, 0), f"{base}/new")
     bitmaps = bloom.bitmaps(old.count())
     known = bloom.build(old, ["project", "chunk_id"], bitmaps), bitmaps
     return changes.append_new(old, new, known).select("project", "chunk_id", "line_start", "line_end")
@@ -460,6 +461,11 @@ def _base(s, name: str) -> str:
     return base
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _engine(s):
     from quarry.engine import Engine
 

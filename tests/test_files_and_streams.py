@@ -163,6 +163,11 @@ def test_embedding_holds_few_texts(spark, monkeypatch):
     assert embed.embed(df.limit(0)).count() == 0 and embed.ROWS <= 256
 
 
+def test_chunks_of_an_append_are_cut_once(spark):
+    plan = catalog.append_bloom(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "documents.parquet" not in plan
+
+
 def test_watch_applies_what_changes(spark, tmp_path):
     tree = tmp_path / "tree"
     tree.mkdir()
