@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules
-from quarry.llm._shared import sized, staged, table
+from quarry.llm._shared import arrow_rows, sized, staged, table
 
 #: Ids of rows to keep or to drop that are broadcast at most; more are joined by shuffle.
 MOST_IDS = 500_000
@@ -25,10 +25,13 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under the threshold go.  Learns from labelled documents that are still there."""
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.with_scores(docs, model)
-    return scored.where(F.col("__score") >= quality_classifier.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents whose score is under the threshold go.  Learns from labelled documents that are still there.
+
+    Rows are scored, and what is left is written, here: whoever writes the result would send texts to Python in batches of 10,000."""
+    with arrow_rows(spark):
+        model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+        scored = quality_classifier.with_scores(docs, model)
+        return staged(scored.where(F.col("__score") >= quality_classifier.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns]), "pipeline-scored")
 
 
 def _rows_of(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm._bytes import FOLD, distinct, exact_sets, shingles, spelled_words
 from quarry.llm._shared import arrow_rows, sized, staged, table
-from quarry.workers import ship
+from quarry.workers import give_back, ship
 
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
@@ -72,6 +72,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 ends, raw = (first + lens).tolist(), data.tobytes().translate(FOLD)
                 digests = [hashlib.blake2b(b" ".join(raw[first[lo] : ends[hi - 1]].split()) if hi > lo else b"", digest_size=16).digest() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(offs)), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "registers"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
@@ -143,6 +144,8 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, size: int, pe
                     if 100 * both >= percent * (len(own) + len(held) - both) > 0:
                         out.append((rep, c))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["x", "c"])
+        hub, held, names = None, None, {}
+        give_back()
 
     return texts.mapInArrow(run, "x bigint, c bigint")
 
@@ -209,6 +212,8 @@ def _rest(known: DataFrame, docs: DataFrame, places: DataFrame, size: int, perce
                 group.append(row)
         if group:
             yield compare(group)
+        group = []
+        give_back()
 
     return texts.mapInArrow(run, "x bigint, c bigint")
 

@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from quarry.llm._bytes import spelled_words
 from quarry.llm._shared import arrow_rows, staged, table
 from quarry.llm.tokens import BYTE_LEVEL, vocabulary
-from quarry.workers import ship
+from quarry.workers import give_back, ship
 
 CAPACITY, END = 2048, 0
 #: Pieces of one length that a task ranks, about.
 SALTED = 4_000
 #: What a worker holds of words and of their letters, at most.
-MOST_WORDS, MOST_CORES = 1_000_000, 150_000
+MOST_WORDS, MOST_CORES = 300_000, 60_000
+#: Bytes of texts whose words are looked up at once.
+BLOCK = 1 << 18
 #: Letters that stay themselves in the tokenizer's normal form, in lower case; marks that it splits off a word's end.
 LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 MARKS = ".,;:!?"
@@ -136,7 +138,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
         pool = _pools[path]
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, j, words, offs, first, lens, data in spelled_words(b.column(1), fold=False, block=1 << 20):
+            for i, j, words, offs, first, lens, data in spelled_words(b.column(1), fold=False, block=BLOCK):
                 ids, ends = pool.tokens(words, offs, first, lens, data)
                 raw, ends = memoryview(ids.astype("<u4").tobytes()), ends.tolist()
                 for row in range(i, j):
@@ -146,6 +148,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
                         own = zlib.crc32(raw[4 * (lo + s) : 4 * min(lo + s + n, hi)])
                         at.append(row), piece.append(k), start.append(s), length.append(n), crc.append(zlib.crc32(end, own) if lo + s + n > hi else own)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")

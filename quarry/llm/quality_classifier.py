@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm._bytes import spelled_words
 from quarry.llm._shared import sized, staged, table
-from quarry.workers import ship
+from quarry.workers import give_back, ship
 
 #: Labelled rows that are learnt from, at most: those of the smallest xxhash64(doc_id), of documents that are there.
 SAMPLE = 4000
@@ -175,10 +175,12 @@ def with_scores(docs: DataFrame, model: Model, name: str = "__score") -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         # only the text goes to Python and only the score comes back
-        scores = [shared.value.score(x) for _, _, x in terms(text)]
-        return pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
+        for text in texts:
+            scores = [shared.value.score(x) for _, _, x in terms(text)]
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
+        give_back()
 
     return docs.drop(name).withColumn(name, score("text"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
@@ -22,3 +24,12 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(home / "quarry", base / "src/quarry", ignore=shutil.ignore_patterns("__pycache__"))
     spark.sparkContext.addPyFile(shutil.make_archive(str(base / "quarry"), "zip", base / "src"))
     _shipped.add(app)
+
+
+def give_back() -> None:
+    """At a task's end: what this worker has freed goes back to the system.  A worker that waits for its next task, beside the
+    executor's heap, else keeps the largest arrays' room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
